@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import quality_rules
+from siftline.llm import line_dedup, packing, pieces, quality_rules, secrets
 from siftline.llm.common import documents
 
 
@@ -22,7 +23,60 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    cleaned = line_dedup.without_boilerplate(docs)
+    return cleaned.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(documents(spark, sf_dir), keep=["doc_id"])
+    s = F.col("secrets")
+    base = F.filter(s, lambda x: x["k"] < 3)
+    number = lambda k: F.size(F.filter(s, lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(s).alias("spans"),
+        F.size(F.filter(s, lambda x: x["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).drop("differing")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_secrets": op5_secrets,
+    "op7_packing": op7_packing,
+    "op10_sentencepiece": op10_sentencepiece,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT DISTINCT doc_id, source, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+      FROM (SELECT doc_id, source, unnest(ls) AS x FROM d)),
+t AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 20),
+b AS (SELECT l.source, line FROM l JOIN t USING (source) WHERE line <> ''
+      GROUP BY l.source, line, pages HAVING count(*) >= 5 AND count(*) > pages * 0.05),
+p AS (SELECT doc_id, source, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS kept FROM p LEFT JOIN b
+      ON p.source = b.source AND b.line = trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))
+      WHERE b.line IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE length(coalesce(kept, ''))::BIGINT END AS n_kept_chars,
+       CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
