@@ -37,15 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._siftline_path = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._siftline_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

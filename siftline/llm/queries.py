@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import line_dedup, packing, pieces, quality_rules, secrets
+from siftline.llm import line_dedup, packing, pieces, quality_rules, secrets, substring_dedup
 from siftline.llm.common import documents
 
 
@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduped(documents(spark, sf_dir), with_text=False)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     cleaned = line_dedup.without_boilerplate(docs)
@@ -59,6 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
