@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import line_dedup, packing, pieces, quality_rules, secrets, substring_dedup
+from siftline.llm import line_dedup, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup
 from siftline.llm.common import documents
 
 
@@ -58,6 +58,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).drop("differing")
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
