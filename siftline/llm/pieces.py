@@ -101,7 +101,10 @@ class Pieces:
 
 
 class Chunks(dict):
-    """chunk -> (ids as bytes, decoded bytes); bounded, checked against the library when filled."""
+    """chunk -> (ids as bytes, decoded bytes), checked against the library when filled.
+
+    Bounded: a full table becomes the old one, from which chunks that come again are taken over.
+    """
 
     LIMIT = 400_000
 
@@ -109,11 +112,18 @@ class Chunks(dict):
         super().__init__()
         self.pieces = pieces
         self.differing = 0
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
-    def fill(self, chunks: list[str]) -> None:
+    def make_room(self) -> None:
         if len(self) > self.LIMIT:
+            self.old = dict(self)
             self.clear()
+
+    def fill(self, chunks: list[str]) -> None:
         sp = self.pieces.library
+        known = [c for c in chunks if c in self.old]
+        self.update((c, self.old[c]) for c in known)
+        chunks = [c for c in chunks if c not in self.old] if known else chunks
         for k in range(0, len(chunks), 4096):
             part = chunks[k : k + 4096]
             own = [self.pieces.encode(c) for c in part]
@@ -135,20 +145,15 @@ def encoder(model_file: str, key: str, text: str):
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 batch = big.slice(lo, 256)
+                known.make_room()
                 rows, new = [], {}
                 for value in batch.column(text).to_pylist():
                     value = (MARK + value.replace(" ", MARK)) if value else ""
                     row = cut.findall(value) if pieces.cuts else [value] if value else []
                     rows.append(row)
                     new.update(dict.fromkeys(c for c in row if c not in known))
-                room = dict(known) if len(known) > known.LIMIT else None
                 if new:
                     known.fill(list(new))
-                if room is not None:  # the table was emptied: this batch still needs its old entries
-                    for row in rows:
-                        for c in row:
-                            if c not in known:
-                                known[c] = room[c]
                 counts, id_hashes, text_hashes = [], [], []
                 for row in rows:
                     found = [known[c] for c in row]

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import line_dedup, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup
+from siftline.llm import (
+    html_text,
+    line_dedup,
+    lm_scores,
+    ngram_join,
+    packing,
+    pieces,
+    quality_rules,
+    secrets,
+    substring_dedup,
+    topk,
+)
 from siftline.llm.common import documents
 
 
@@ -28,6 +39,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     cleaned = line_dedup.without_boilerplate(docs)
@@ -54,10 +70,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores.scored(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
@@ -71,13 +96,38 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_topk": op3_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
+    "op6_html_text": op6_html_text,
     "op7_packing": op7_packing,
+    "op8_lm_scores": op8_lm_scores,
     "op9_ngram_join": op9_ngram_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": r"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5""",
+    "op8_lm_scores": r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT doc_id, unnest(list_prepend(NULL, ws[:-2])) AS v, unnest(ws) AS w FROM t WHERE len(ws) > 0),
+g AS (SELECT doc_id, v, w, count(*) AS n FROM b GROUP BY ALL),
+c2 AS (SELECT v, w, sum(n) AS c, count(*) AS d FROM g GROUP BY v, w),
+cv AS (SELECT v, sum(n) AS c FROM g GROUP BY v),
+cw AS (SELECT w, sum(n) AS c FROM g GROUP BY w),
+s AS (SELECT doc_id, n, CASE WHEN d > 1 THEN 0 ELSE n END AS off,
+        n * CASE WHEN d > 1 THEN ln((c2.c - n)::DOUBLE / cv.c) ELSE ln(0.4::DOUBLE * greatest(cw.c - n, 0.5) / (SELECT sum(n) FROM g)) END AS x
+      FROM g JOIN c2 ON g.w = c2.w AND g.v IS NOT DISTINCT FROM c2.v
+      JOIN cv ON g.v IS NOT DISTINCT FROM cv.v JOIN cw ON g.w = cw.w),
+a AS (SELECT doc_id, sum(n)::BIGINT AS n_tokens, sum(off)::BIGINT AS n_backed_off, sum(x) AS log_score FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backed_off, 0) AS n_backed_off,
+       round(coalesce(log_score, 0), 6) AS log_score, round(log_score / n_tokens, 6) AS mean_log_score
+FROM t LEFT JOIN a USING (doc_id)""",
     "op4_line_dedup": r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT DISTINCT doc_id, source, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
