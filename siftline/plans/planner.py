@@ -343,7 +343,7 @@ class Plan:
         for p in parts[1:]:
             rows = rows.unionByName(p)
         frame = self.sources[0].frame
-        if "parse" in self.clauses and len(frame.columns) == 1 and mode.kind != "line":
+        if "parse" in self.clauses and len(frame.columns) == 1:
             return self._parsed(rows.drop("_c1"), mode, None)
         if "parse" in self.clauses:
             raise QueryError("a table with several columns needs no parse clause")
@@ -563,7 +563,7 @@ class Plan:
             values = [Scope(self).value(self.normal(syntax.expression(e))) for e, _ in items]
             names = {}
             for i, (e, alias) in enumerate(items, 1):
-                for n in {x for x in (alias, e.strip().upper().removeprefix("@")) if x and not x.isdigit()}:
+                for n in {x for x in (alias.upper(), e.strip().upper().removeprefix("@")) if x and not x.isdigit()}:
                     names[n] = i
             cols = [v.col.alias(f"_s{i}") for i, v in enumerate(values, 1)]
             line = [F.col("_line").alias("_sline")] if "_line" in rows.columns else []
@@ -610,17 +610,21 @@ class Plan:
     def join_sides(self, rows: DataFrame, leaves: list, sets: list[dict], main_file: int | None, keep: bool) -> tuple[DataFrame, dict]:
         """Joins of all conditions that name side sets; known: the side columns that later stages may use."""
         known: dict = {}
-        by_sets: dict[tuple, list] = {}
+        pending: list = []
         for leaf in leaves:
             if isinstance(leaf, In) and isinstance(leaf.items, Side):
                 rows = self._semi(rows, leaf, sets, main_file)
             else:
-                ids = tuple(sorted({s.set_id for s in _sides(leaf)}))
-                by_sets.setdefault(ids, []).append(leaf)
-        for ids, tests in by_sets.items():
-            if len(ids) > 1:
-                raise QueryError("one condition may name one side set; join several by AND")
-            n = ids[0]
+                pending.append((leaf, {s.set_id for s in _sides(leaf)}))
+        joined: set[int] = set()
+        while pending:
+            # the next set that a condition ties to the row and to sets joined before
+            n = next((k for _, ids in pending for k in sorted(ids) if ids <= joined | {k}), None)
+            if n is None:
+                raise QueryError("a side set is tied to another side set only, not to the row")
+            joined.add(n)
+            tests = [leaf for leaf, ids in pending if ids <= joined]
+            pending = [(leaf, ids) for leaf, ids in pending if not ids <= joined]
             found = sets[n - 1]
             side = found["frame"]
             renamed = side.select(*[F.col(c).alias(f"_j{n}{c}") for c in side.columns])
@@ -633,14 +637,14 @@ class Plan:
                         mine[Side(n, name)] = v
             condition = None
             for t in tests:
-                c = Scope(self, mine).test(t)
-                c = _bare(c, Scope(self, mine), t)
+                both = Scope(self, known | mine)
+                c = _bare(both.test(t), both, t)
                 condition = c if condition is None else condition & c
             if not self._visible(found, main_file):
                 line, own = F.col(f"_j{n}_sline"), F.col("_line")
                 condition = condition & (line <= own if found["sees"] == "<=" else line < own)
-            rows = rows.join(renamed, condition, "inner" if keep else "left_semi")
-            if keep:
+            rows = rows.join(renamed, condition, "inner" if keep or pending else "left_semi")
+            if keep or pending:
                 known.update(mine)
         return rows, known
 
@@ -739,7 +743,7 @@ def _where(part: str) -> tuple[str, str, str]:
 
 def _aliased(item: str) -> tuple[str, str]:
     m = re.search(r"\s+as\s+(\w+)\s*$", item, re.I)
-    return (item[: m.start()].strip(), m[1].upper()) if m else (item.strip(), "")
+    return (item[: m.start()].strip(), m[1]) if m else (item.strip(), "")
 
 
 def _conjuncts(node) -> list:
