@@ -1,0 +1,325 @@
+"""Each operator against a brute-force version on a small table with nulls, ties, copies and long texts."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from siftline.llm import (
+    components, html_text, line_dedup, lm_scores, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup, topk,
+)
+from tests.llm.fixtures import documents, empty
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+
+
+def test_quality_counts(spark, docs, rows):
+    got = Counter(
+        (r["doc_id"], *(r["quality"][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")))
+        for r in quality_rules.judged(docs).collect()
+    )
+    want = Counter()
+    for i, text, _ in rows:
+        t = text or ""
+        w = WORD.findall(t)
+        tri = Counter(zip(w, w[1:], w[2:]))
+        cover = {k for j in range(len(w) - 2) if tri[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        want[(i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), failed)] += 1
+    assert got == want
+    assert quality_rules.judged(empty(spark)).count() == 0
+    assert quality_rules.kept(docs).columns == docs.columns
+
+
+def test_quality_verdict_is_free_of_order(spark, docs):
+    one = quality_rules.judged(docs).select("doc_id", "quality.kept")
+    two = quality_rules.judged(docs, rules=tuple(reversed(quality_rules.RULES))).select("doc_id", "quality.kept")
+    assert sorted(one.collect(), key=repr) == sorted(two.collect(), key=repr)
+
+
+def brute_removed(rows, length=50):
+    words = [(i, WORD.findall(t or "")) for i, t, _ in rows]
+    least = {}
+    for i, w in words:
+        for j in range(len(w) - length + 1):
+            if i is not None:
+                k = tuple(w[j : j + length])
+                least[k] = min(least.get(k, i), i)
+    out = Counter()
+    for i, w in words:
+        gone = [False] * len(w)
+        for j in range(len(w) - length + 1):
+            if i is not None and least[tuple(w[j : j + length])] < i:
+                gone[j : j + length] = [True] * length
+        out[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))] += 1
+    return out
+
+
+def test_substring_dedup(spark, docs, rows):
+    got = Counter(tuple(r) for r in substring_dedup.deduped(docs).collect())
+    want = brute_removed(rows)
+    assert got == want
+    assert sum(k[2] for k in want) > 200
+    assert substring_dedup.deduped(empty(spark)).count() == 0
+
+
+def test_substring_dedup_of_partial_overlaps(spark):
+    a, b, c = ([f"{p}{i}" for i in range(80)] for p in "abc")
+    texts = [a + b, b[:60] + c, a[20:] + b + c[:55], b[5:75], ["x"] * 200, ["x"] * 120, a[:49]]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.deduped(frame).collect())
+    assert got == brute_removed([(i, " ".join(t), None) for i, t in enumerate(texts)])
+
+
+def brute_topk(vectors, queries, k):
+    out = set()
+    for q, x in queries.items():
+        scores = sorted((-int(np.dot(x, y)), v) for v, y in vectors if v != q and len(y) == len(x))
+        out |= {(q, n + 1, v, -s) for n, (s, v) in enumerate(scores[:k])}
+    return out
+
+
+def test_topk(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 8)).round(2)
+    x[100:180] = x[100]  # ties
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    data += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1050, [0.5, 0.25])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = topk.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=90, block_rows=3)
+    good = [(i, [int(np.floor(256 * v)) for v in row]) for i, row in data if row and all(v is not None and np.isfinite(v) for v in row)]
+    want = brute_topk(good, {i: v for i, v in good if i % 50 == 0}, 5)
+    assert {tuple(r) for r in got.collect()} == want
+    assert topk.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_cover_tree_covers():
+    r = np.random.default_rng(2)
+    tree = topk.CoverTree(r.integers(-50, 50, (500, 6)))
+    assert sorted(tree.order) == list(range(500))
+    for n in range(len(tree.centre)):
+        below = tree.order[tree.lo[n] : tree.hi[n]]
+        far = np.sqrt(((tree.x[below] - tree.x[tree.centre[n]]) ** 2).sum(axis=1)).max()
+        assert far <= tree.radius[n]
+
+
+def test_line_dedup(spark):
+    texts = [(i, f"Home | About\nown {i}\n\n  Home | About ", "a") for i in range(30)]
+    texts += [(100 + i, f"Home | About\nown {i}", "b") for i in range(3)] + [(200, None, "a"), (201, "Home | About", None), (202, "", "a")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_boilerplate(frame).collect()}
+    assert got[3] == "own 3\n" and got[101] == "Home | About\nown 1"
+    assert got[200] is None and got[201] == "Home | About" and got[202] == ""
+    assert line_dedup.without_boilerplate(frame.limit(0)).count() == 0
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def test_secrets(spark, docs, rows):
+    got = defaultdict(list)
+    for r in secrets.scanned(docs).select("doc_id", "secrets").collect():
+        got[r["doc_id"]].append([(s["start"], s["k"], s["stop"], s["live"]) for s in r["secrets"]])
+    for i, text, _ in rows:
+        t = text or ""
+        want = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        base = [[s[:3] for s in found if s[1] < 3] for found in got[i]]
+        assert sorted(want) in base
+    assert any(s[1] == 3 for s in got[15][0])
+    assert [s[3] for s in got[16][0]] == [False]  # three owners hold it: an example
+    assert all(s[3] for s in got[14][0])
+    clean = secrets.scanned(docs).withColumn("t", secrets.redacted(F.col("text"), F.col("secrets")))
+    shown = {r["doc_id"]: r["t"] for r in clean.collect()}
+    assert "abcdefghijklmnop" not in shown[14] and shown[14].startswith("naïve “quotes” 漢字 😀 [SECRET]")
+    assert shown[16] == "x token=shared_example_value_1" and shown[4] is None
+    assert secrets.scanned(empty(spark)).count() == 0
+
+
+def test_html():
+    page = (
+        "<title>t</title><p>One<p>Two <b>bold</b>&amp;<ul><li>a<li>b<ol start=3><li>n1<li>n2</ol></ul>"
+        "<table><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td>12</table><pre>  x\n   y</pre>"
+        "<div hidden>no</div><div style='display: none'>no</div>end<br>line<!-- c --><script>var a='<p>'</script>"
+    )
+    assert html_text.visible_text(page) == (
+        "One\n\nTwo bold&\n\n- a\n- b\n  3. n1\n  4. n2\n\nName          Qty\napple         3\nbanana split  12\n\n  x\n   y\n\nend\nline"
+    )
+    assert html_text.visible_text(None) is None and html_text.visible_text("") == ""
+    assert html_text.visible_text("<p>open <!-- never closed") == "open"
+    assert html_text.visible_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_html_frame(spark):
+    frame = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "y"), (1, "<p>a</p>", "x")], "page_id long, html string, text string")
+    assert sorted(html_text.extracted(frame).collect(), key=repr) == [(1, "a"), (1, "a"), (2, None)]
+
+
+def test_packing(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    known = Tokenizer.from_file(file)
+    got, bins = Counter(), defaultdict(list)
+    for r in packing.packed(docs, file, room=512).collect():
+        got[(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])] += 1
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    want, total = Counter(), 0
+    for i, text, _ in rows:
+        ids = known.encode(text or "", add_special_tokens=False).ids + [1]
+        total += len(ids)
+        for n, at in enumerate(range(0, len(ids), 512)):
+            part = np.array(ids[at : at + 512], "<u4")
+            want[(i, n, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert got == want
+    for found in bins.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(bins) <= -(-total // 512) + 1
+    assert packing.packed(empty(spark), file).count() == 0
+
+
+def test_fullest_bin_is_fullest():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        sizes = [r.randint(1, 40) for _ in range(9)]
+        counts = Counter(sizes)
+        chosen = packing.fullest(sorted(counts, reverse=True), dict(counts), 60)
+        assert all(used <= counts[s] for s, used in chosen)
+        first = max(sizes)
+        rest = list(sizes)
+        rest.remove(first)
+        best = max(first + sum(c) for n in range(len(rest) + 1) for c in itertools.combinations(rest, n) if first + sum(c) <= 60)
+        assert sum(s * used for s, used in chosen) == best
+
+
+def test_lm_scores(spark, docs, rows):
+    import math
+
+    uni, bi, held, firsts = Counter(), Counter(), Counter(), Counter()
+    for _, t, _ in rows:
+        w = (t or "").split()
+        uni.update(w)
+        pairs = Counter(zip([None, *w], w))
+        bi.update(pairs)
+        held.update(dict.fromkeys(pairs, 1))
+        firsts.update([None, *w][:-1] if w else [])
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_backed_off"], round(r["log_score"], 5)) for r in lm_scores.scored(docs).collect()), key=repr)
+    want = []
+    for i, t, _ in rows:
+        w = (t or "").split()
+        score, off = 0.0, 0
+        for (v, x), n in Counter(zip([None, *w], w)).items():
+            if held[(v, x)] > 1:
+                score += n * math.log((bi[(v, x)] - n) / firsts[v])
+            else:
+                score += n * math.log(0.4 * max(uni[x] - n, 0.5) / sum(uni.values()))
+                off += n
+        want.append((i, len(w), off, round(score, 5)))
+    assert got == sorted(want, key=repr)
+    assert lm_scores.scored(empty(spark)).count() == 0
+
+
+def brute_groups(rows, num=80, den=100):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t, _ in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and den * common >= num * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    ids = defaultdict(list)
+    for a in range(len(rows)):
+        if rows[a][0] is not None:
+            ids[find(a)].append(rows[a][0])
+    return Counter((rows[a][0], len(sets[a]), min(ids[find(a)], default=None)) for a in range(len(rows)))
+
+
+def test_ngram_join(spark, docs, rows):
+    assert Counter(tuple(r) for r in ngram_join.grouped(docs).collect()) == brute_groups(rows)
+    assert ngram_join.grouped(empty(spark)).count() == 0
+    first = ngram_join.one_per_group(docs)
+    assert first.columns == docs.columns
+
+
+def test_ngram_join_of_families(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ngram_join, "FEW", 6)  # both ways of making candidates
+    r = random.Random(9)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}x{i}" for i in range(120)]
+        for _ in range(24):
+            w = list(base)
+            for _ in range(r.randint(0, 9)):
+                w[r.randrange(len(w))] = f"e{r.random()}"
+            rows.append((len(rows), " ".join(w), None))
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    got = Counter(tuple(x) for x in ngram_join.grouped(frame, block=10, sample_rows=40).collect())
+    assert got == brute_groups(rows)
+
+
+def test_components(spark):
+    links = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (20, 20)] + [(100 + i, 100) for i in range(50)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = {r["node"]: r["label"] for r in components.labelled(frame).collect()}
+    assert got == {**dict.fromkeys((2, 3, 4, 5), 2), **dict.fromkeys((7, 8, 9), 7), **dict.fromkeys(range(100, 150), 100)}
+
+
+def test_sentencepiece(spark, docs, rows):
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=file)
+    got = Counter(tuple(r) for r in pieces.digests(docs, file).collect())
+    want = Counter()
+    for i, text, _ in rows:
+        ids = sp.encode(text or "", add_bos=True, add_eos=True)
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        want[(i, len(ids), digest, hashlib.sha256(sp.decode(ids).encode()).hexdigest(), 0)] += 1
+    assert got == want
+    assert pieces.digests(empty(spark), file).count() == 0
+
+
+def test_agendas_agree():
+    import random
+
+    p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r, known = random.Random(1), [x for x in p.ids if len(x) < 4]
+    for _ in range(400):
+        text = "".join(r.choice(known) for _ in range(r.randint(1, 15)))
+        assert p.merged_short(list(text)) == p.merged(list(text))
