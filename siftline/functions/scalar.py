@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from siftline.functions import dates
 from siftline.functions.values import (
@@ -529,21 +530,21 @@ def _scalbn(a: Val, n: Val) -> Val:
     return D(number(a) * F.pow(F.lit(2.0), number(n)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erf_udf(x: pd.Series) -> pd.Series:
     import math
 
     return x.map(lambda v: None if pd.isna(v) else math.erf(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _lgamma_udf(x: pd.Series) -> pd.Series:
     import math
 
     return x.map(lambda v: None if pd.isna(v) or (v <= 0 and v == int(v)) else math.lgamma(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gamma_udf(x: pd.Series) -> pd.Series:
     import math
 
@@ -905,7 +906,7 @@ def _myips(start: Val | None = None, stop: Val | None = None, mark: Val | None =
 
 
 def _path_function(name: str, kind: str, test) -> None:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def ask(paths: pd.Series) -> pd.Series:
         return paths.map(lambda p: None if p is None else str(test(p)))
 

@@ -24,12 +24,12 @@ class Text:
     whole: bool = False
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        reader = spark.read.option("wholetext", self.whole)
+        reader = spark.read
         if self.recursive:
             reader = reader.option("recursiveFileLookup", True)
         if self.glob:
             reader = reader.option("pathGlobFilter", self.glob)
-        return reader.text(self.path).select(
+        return reader.text(self.path, wholetext=self.whole).select(
             F.col("value").alias("_raw"),
             F.col("_metadata.file_path").alias("_file"),
             F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
