@@ -59,11 +59,11 @@ class Builder:
         if grouped:
             rows = self.grouped(rows, nodes)
             for h in having:
-                rows = rows.where(self.scope.test(h))
+                rows = rows.where(self.scope.kept(h))
             rows = self.duplicated(rows)
         rows = self.windowed(rows, nodes)
         for q in qualify:
-            rows = rows.where(self.scope.test(q))
+            rows = rows.where(self.scope.kept(q))
         return self.projected(rows, items, keys)
 
     # clauses
@@ -116,7 +116,7 @@ class Builder:
             else:
                 plain.append(leaf)
         for leaf in plain:
-            rows = rows.where(Scope(plan).test(leaf))
+            rows = rows.where(Scope(plan).kept(leaf))
         if sides:
             guards = [g for g in map(_file_guard, plain) if g is not None]
             nodes = [n for n, _ in items] + plan.group_nodes
@@ -415,7 +415,7 @@ class Builder:
         node = inner.normal(syntax.condition(condition))
         if has(node, AGGREGATES) or has(node, ANALYTIC):
             raise QueryError("extrafilter takes no aggregates or analytic functions")
-        out = out.where(Scope(inner).test(node))
+        out = out.where(Scope(inner).kept(node))
         if not trim:
             return out, names, kinds
         kept = []

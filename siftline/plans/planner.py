@@ -136,6 +136,16 @@ class Scope:
             return ~out if node.negated else out
         raise QueryError(f"no condition: {node}")
 
+    def kept(self, node) -> Column:
+        """A condition for a filter, where null drops the row as false does: comparisons stay bare, to be pushed down."""
+        if isinstance(node, And):
+            return self.kept(node.left) & self.kept(node.right)
+        if isinstance(node, Or):
+            return self.kept(node.left) | self.kept(node.right)
+        if isinstance(node, Cmp) and _spread(node.left) is None:
+            return self.compare(node.op, node.left, node.right)
+        return self.test(node)
+
     def compare(self, op: str, left, right) -> Column:
         a, b = self.value(left), self.value(right)
         if op in ("like", "nolike"):
@@ -335,8 +345,9 @@ class Plan:
         for n, s in enumerate(self.sources, 1):
             order = [s.order] if isinstance(s.order, str) else list(s.order or [])
             frame = s.frame
+            arrival = F.lit(0).cast("long") if frame.isStreaming else F.monotonically_increasing_id()
             columns = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(frame.columns, 1)]
-            place = F.struct(*[F.col(f"`{c}`") for c in order]) if order else F.struct(F.monotonically_increasing_id().alias("at"))
+            place = F.struct(*[F.col(f"`{c}`") for c in order]) if order else F.struct(arrival.alias("at"))
             raw = raw_of(frame)
             parts.append(frame.select(*columns, raw.alias("_raw"), F.lit(s.name).alias("_file"), F.lit(n).alias("_fileid"), place.alias("_pos")))
         rows = parts[0]
@@ -559,7 +570,7 @@ class Plan:
                     if _sides(leaf):
                         frame = self._semi(frame, leaf, sets)
                     else:
-                        frame = frame.where(Scope(self).test(leaf))
+                        frame = frame.where(Scope(self).kept(leaf))
             values = [Scope(self).value(self.normal(syntax.expression(e))) for e, _ in items]
             names = {}
             for i, (e, alias) in enumerate(items, 1):
