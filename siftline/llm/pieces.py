@@ -129,7 +129,8 @@ class Chunks(dict):
             own = [self.pieces.encode(c) for c in part]
             # the library adds the first mark itself
             theirs = sp.encode([c[1:].replace(MARK, " ") for c in part], num_threads=1)
-            self.differing += sum(a != b for a, b in zip(own, theirs, strict=True))
+            # a mark alone is no text to the library, which then adds none
+            self.differing += sum(a != b for c, a, b in zip(part, own, theirs, strict=True) if c != MARK)
             decoded = sp.decode(own)
             for c, ids, text in zip(part, own, decoded, strict=True):
                 self[c] = (np.array(ids, "<u4").tobytes(), (" " + text).encode())
