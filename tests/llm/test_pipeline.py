@@ -32,6 +32,6 @@ def test_stages(spark):
 
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
     clean = quality_rules.judged(docs).where("not quality.base_failed").join(labels, "doc_id")
     assert clean.where("not quality.kept").count() == 0
