@@ -15,6 +15,7 @@ key column and the result columns only.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,22 +30,86 @@ from siftline.llm.common import written
 GROUPS = 1024
 
 
+def plain_words(chunk: str) -> int:
+    """1 for letters only, 2 for letters with stops after them, 0 for all else: words that the vocabulary makes of it."""
+    stem = chunk.rstrip(".,;:!?")
+    if not stem.isalpha() or not (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
+        return 0
+    return 1 if len(stem) == len(chunk) else 2
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """text cut at white space (but for the separators 1C to 1F, which are none to the tokenizer)."""
+    if not text:
+        return []
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [c for c in text.replace("\n", " ").split(" ") if c]
+    return text.split()
+
+
 class WordIds(dict):
-    """chunk between spaces and line ends -> its ids as bytes; bounded. Such chunks can be encoded apart, as
-    the vocabulary drops white space and its special tokens hold none."""
+    """chunk between white space -> its ids as bytes. Such chunks can be encoded apart, as
+    the vocabulary drops white space and its special tokens hold none.
+
+    Bounded: a full table becomes the old one, from which chunks that come again are taken over.
+    """
 
     LIMIT = 400_000
+    #: Stands between chunks that are encoded together; a special token, which no other text gives.
+    MARK = "<|endoftext|>"
 
     def __init__(self, tokenizer_file: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.mark_id = self.tokenizer.token_to_id(self.MARK)
+        self.old: dict[str, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        #: ids that end a word
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def fill(self, chunks: set[str]) -> None:
+        new, plain, parts = [], [], []
+        for c in chunks:
+            if (ids := self.old.get(c)) is not None:
+                self[c] = ids
+            elif self.mark_id is None or self.MARK in c:
+                self[c] = self._ids(c).tobytes()
+            elif count := plain_words(c):
+                plain.append(c)
+                parts.append(count)
+            else:
+                new.append(c)
+        for k in range(0, len(plain), 500):
+            part = plain[k : k + 500]
+            ids = self._ids(" ".join(part))
+            last = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum(parts[k : k + 500])
+            if len(last) != upto[-1]:  # a word ended elsewhere than expected
+                new += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(part, last[upto - 1].tolist(), strict=True):
+                self[c] = raw[4 * at : 4 * end]
+                at = end
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            ids = self._ids(self.MARK.join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(part, ends.tolist(), strict=True):
+                self[c] = raw[4 * at : 4 * end]
+                at = end + 1
 
-    def fill(self, chunks: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        for chunk, e in zip(chunks, encoded, strict=True):
-            self[chunk] = np.array(e.ids, "<u4").tobytes()
+    def make_room(self) -> None:
+        if len(self) > self.LIMIT:
+            self.old = dict(self)
+            self.clear()
 
 
 def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
@@ -58,17 +123,14 @@ def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 batch = big.slice(lo, 256)
-                if len(known) > known.LIMIT:
-                    known.clear()
-                rows = [
-                    [c for c in (t or "").replace("\n", " ").split(" ") if c] for t in batch.column(text).to_pylist()
-                ]
-                new = {c for row in rows for c in row if c not in known}
+                known.make_room()
+                rows = [chunks_of(t) for t in batch.column(text).to_pylist()]
+                new = set().union(*rows).difference(known)
                 if new:
-                    known.fill(list(new))
+                    known.fill(new)
                 source, piece, start, length, crc = [], [], [], [], []
                 for i, row in enumerate(rows):
-                    ids = b"".join([known[c] for c in row]) + end
+                    ids = b"".join(map(known.__getitem__, row)) + end
                     for n, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
                         source.append(i)
