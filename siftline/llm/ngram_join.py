@@ -3,11 +3,15 @@
 A document's set holds its distinct shingles (`size` consecutive words). Documents with equal sets
 are one vertex, so that copies are never paired.
 
-Coarse groups. If two sets are similar enough they differ in at most H shingles, H bounded by the
-size of the smaller. With the hash range cut into more than H segments, some segment of both holds
-the same shingles; so each set emits a key per segment, for its size class and those it may be
-similar to. Vertices that share a key are linked to the least of them, and connected components of
-these links hold every similar pair. Keys are combined in each task before the shuffle.
+Coarse groups. A set of n shingles shares at least T of them with a similar one, T = ceil(t * n). Set
+its T - 1 longest inverted lists aside; some short list of both then holds the pair. So each set emits
+its n - T + 1 shingles of shortest lists as keys. Which lists are longer is estimated once, from
+the documents of a bounded sample; any fixed order of the shingles gives whole results. Vertices that
+share a key and whose sizes allow it are candidates: all pairs of a key that few hold, and the
+links to the least vertex of a key that many hold. Pairs are checked by parity sketches: each
+shingle flips one bit, so that the sketches of similar sets differ in no more bits than the sets
+may differ in shingles. Connected components of what is left hold every similar pair. Keys that
+very many documents of a task hold are combined there, before the shuffle.
 
 Search. Each coarse group is searched exactly: documents by size, each as a query against the
 inverted lists of those before it. The T - 1 longest lists are set aside (DivideSkip); the short
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import dropped, written
@@ -42,6 +46,8 @@ from siftline.llm.hashing import WordHashes, mix
 UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 #: Rows of keys that a task combines at a time.
 CHUNK = 2_000_000
+#: A key of at most so many vertices gives all its pairs.
+FEW = 40
 
 
 class Shingles:
@@ -68,98 +74,211 @@ def vertex(shingles: np.ndarray) -> int:
     return int(mix(np.array([total, len(shingles)], np.uint64)[:1] ^ np.uint64(len(shingles)), 12).view(np.int64)[0])
 
 
-class Segments:
-    """Segment keys for similarity at least num / den (0.8: 80 / 100)."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.bounds = [1]  # size classes: [bounds[k], bounds[k + 1])
-
-    def classes(self, n: int) -> range:
-        """Classes in which a set of n may meet a partner: those of sizes from n * num / den to n."""
-        while self.bounds[-1] <= n:
-            self.bounds.append(self.bounds[-1] * 5 // 4 + 1)
-        least = -(-n * self.num // self.den)
-        return range(np.searchsorted(self.bounds, least, side="right") - 1, np.searchsorted(self.bounds, n, side="right"))
-
-    def keys(self, shingles: np.ndarray) -> list[np.ndarray]:
-        n, out = len(shingles), []
-        top = shingles >> np.uint64(32)
-        weight = mix(shingles, 21)
-        for k in self.classes(n) if n else ():
-            # union - common <= (1 - t) * union, and union <= size of the smaller / t
-            differ = (self.bounds[k + 1] - 1) * (self.den - self.num) // self.num
-            if not differ:
-                continue  # only equal sets are similar: one vertex
-            m = differ + 1 + max(2, (differ + 10) // 10)
-            place = (top * np.uint64(m)) >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            tag = mix(place[first] + np.uint64(k << 40), 22)
-            out.append(mix(np.add.reduceat(weight, first) ^ tag, 23))
-            if len(first) <= differ:
-                # as few filled segments may all differ: then the empty ones are keys as well
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), place[first])
-                out.append(mix(mix(empty + np.uint64(k << 40), 22), 24))
-        return out
+def short_lists(shingles: np.ndarray, hot: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of a set that are no part of its T - 1 longest lists. hot: sorted frequent shingles, with weights."""
+    n = len(shingles)
+    keep = n - -(-n * num // den) + 1
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        length = np.where(hot[at] == shingles, weight[at], 0)
+        if length.any():
+            return shingles[np.lexsort((shingles, length))[:keep]]
+    return shingles[:keep]
 
 
-def _sets(size: int):
+def _counted(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             sets = [shingles.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()),
-                ],
-                names=["id", "n", "v"],
-            )
+            token, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
     return run
 
 
-def _keys(size: int, num: int, den: int):
-    def combined(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        """One row per key with its least vertex; other vertices of a key meet that one under a key of their own."""
-        key, v = np.concatenate(keys), np.concatenate(nodes)
+def frequent(rows: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more different texts of the sample hold, sorted, and how many do."""
+    total = rows.count()
+    if not total:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    sample = rows.select("text").sample(min(1.0, sample_rows / total), 11)
+    texts = sample.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
+    counts = texts.mapInArrow(_counted(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    table = counts.where(F.col("n") > 1).toArrow()
+    token = np.array(table.column("token")).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.array(table.column("n"))[order]
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits, some four per shingle; halves of a sketch, one upon the other, are a shorter sketch."""
+    words = 1 << max(3, int(len(shingles) // 16).bit_length())
+    bit = mix(shingles, 51) & np.uint64(words * 64 - 1)
+    ones = (np.bincount(bit.astype(np.int64), minlength=words * 64) & 1).astype(np.uint8)
+    return np.packbits(ones, bitorder="little").view(np.uint64)
+
+
+def brief(full: np.ndarray, words: int = 8) -> np.ndarray:
+    """The sketch folded to 512 bits."""
+    while len(full) > words:
+        full = full[: len(full) // 2] ^ full[len(full) // 2 :]
+    return full
+
+
+def may_be_similar(n: int, a: np.ndarray, m: int, b: np.ndarray, num: int, den: int) -> bool:
+    """False if sets of n and m shingles with these sketches differ too much."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (num + den) <= (den - num) * (n + m)
+
+
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for big in batches:
+            for lo in range(0, big.num_rows, 1024):
+                batch = big.slice(lo, 1024)
+                sets = [shingles.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                marks = [sketch(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([None if m is None else m.tobytes() for m in marks], pa.binary()),
+                        pa.array([None if m is None else brief(m).tobytes() for m in marks], pa.binary()),
+                    ],
+                    names=["id", "n", "v", "sketch", "brief"],
+                )
+
+    return run
+
+
+def _keys(size: int, num: int, den: int, hot: np.ndarray, weight: np.ndarray):
+    def combined(keys: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        """The distinct rows. Of a key that many hold here, the least vertex; the others meet it under keys of their own."""
+        key, v, n = (np.concatenate(c) for c in (keys, nodes, sizes))
         order = np.lexsort((v, key))
-        key, v = key[order], v[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        least = v[first][np.cumsum(first) - 1]
-        other = v != least
-        pairs = np.unique(np.stack([v[other], least[other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-        own = mix(mix(pairs[:, 0].view(np.uint64), 31) ^ pairs[:, 1].view(np.uint64), 32)
+        key, v, n = key[order], v[order], n[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
+        key, v, n = key[new], v[new], n[new]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held = np.diff(np.r_[first, len(key)])
+        many = np.repeat(held > FEW, held)
+        if many.any():
+            lead = np.repeat(first, held)
+            other = np.flatnonzero(many & (lead != np.arange(len(key))))
+            pairs, at = np.unique(np.stack([v[other], v[lead[other]]], 1), axis=0, return_index=True)
+            at = other[at]
+            own = mix(mix(pairs[:, 0].view(np.uint64), 31) ^ pairs[:, 1].view(np.uint64), 32)
+            kept = ~many | (lead == np.arange(len(key)))
+            # a size of 0 stands for any: a combined key speaks for sets of several sizes
+            key = np.r_[key[kept], own, own]
+            n = np.r_[np.where(many[kept], 0, n[kept]), np.zeros(2 * len(own), n.dtype)]
+            v = np.r_[v[kept], v[at], v[lead[at]]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[key[first], own, own].view(np.int64)), pa.array(np.r_[v[first], pairs[:, 0], pairs[:, 1]])],
-            names=["key", "v"],
+            [pa.array(key.view(np.int64)), pa.array(v), pa.array(n.astype(np.int32))], names=["key", "v", "n"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, segments = Shingles(size), Segments(num, den)
-        keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        shingles = Shingles(size)
+        parts: tuple[list, list, list] = ([], [], [])
         held = 0
         for batch in batches:
             for t in batch.column("text").cast(pa.binary()):
                 s = shingles.of(t.as_py())
                 if not len(s):
                     continue
-                v = vertex(s)
-                for k in segments.keys(s):
-                    keys.append(k)
-                    nodes.append(np.full(len(k), v, np.int64))
-                    held += len(k)
+                k = short_lists(s, hot, weight, num, den)
+                for part, x in zip(parts, (mix(k, 33), np.full(len(k), vertex(s), np.int64), np.full(len(k), len(s), np.int64)), strict=True):
+                    part.append(x)
+                held += len(k)
                 if held >= CHUNK:
-                    yield combined(keys, nodes)
-                    keys, nodes, held = [], [], 0
+                    yield combined(*parts)
+                    parts, held = ([], [], []), 0
         if held:
-            yield combined(keys, nodes)
+            yield combined(*parts)
+
+    return run
+
+
+def _pairs(num: int, den: int):
+    """Rows sorted by key and vertex -> candidate pairs (a > b); sure: not to be dropped by a sketch."""
+
+    def pairs_of(key: np.ndarray, v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        new = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
+        key, v, n = key[new], v[new], n[new]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held = np.diff(np.r_[first, len(key)])
+        anyhow = np.minimum.reduceat(n, first) == 0
+        out = []
+        for g in np.unique(held[(held > 1) & (held <= FEW)]).tolist():
+            at = first[held == g]
+            loose = anyhow[held == g]
+            i, j = np.triu_indices(g, 1)
+            a, b = (at[:, None] + j).ravel(), (at[:, None] + i).ravel()
+            sure = np.repeat(loose, len(i))
+            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            fits = sure | (low * den >= high * num)
+            out.append(np.stack([v[a], v[b], sure.astype(np.int64)], 1)[fits])
+        for at, g in zip(first[held > FEW].tolist(), held[held > FEW].tolist(), strict=True):
+            rest = v[at + 1 : at + g]
+            out.append(np.stack([rest, np.full(len(rest), v[at]), np.ones(len(rest), np.int64)], 1))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 3
+
+        def flushed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            found = [x for x in pairs_of(*columns) if len(x)] if len(columns[0]) else []
+            if found:
+                table = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32))], names=["a", "b", "sure"])
+
+        for batch in batches:
+            now = [np.concatenate([r, np.array(batch.column(c)).astype(np.int64)]) for r, c in zip(rest, ("key", "v", "n"), strict=True)]
+            # the last key may go on in the next batch
+            cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
+            yield from flushed([c[:cut] for c in now])
+            rest = [c[cut:] for c in now]
+        yield from flushed(rest)
 
     return run
 
 
+def _likely(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_pylist() for c in ("na", "nb"))
+            one, two = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            kept = [
+                may_be_similar(p, np.frombuffer(x, np.uint64), q, np.frombuffer(y, np.uint64), num, den)
+                for p, x, q, y in zip(n, one, m, two, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def candidates(rows: DataFrame, sets: DataFrame, size: int, num: int, den: int, sample_rows: int) -> DataFrame:
+    """Links a, b whose components hold every similar pair."""
+    keys = rows.select("text").mapInArrow(_keys(size, num, den, *frequent(rows, size, sample_rows)), "key long, v long, n int")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "v")
+    pairs = written(dealt.mapInArrow(_pairs(num, den), "a long, b long, sure int"))
+    sure = pairs.where("sure = 1").select("a", "b")
+    open_pairs = pairs.where("sure = 0").select("a", "b").distinct()
+    likely = open_pairs
+    for column in ("brief", "sketch"):  # the short form drops most pairs before the long one travels
+        known = sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.first("n").alias("n"), F.first(column).alias("s"))
+        joined = likely.join(known.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+        joined = joined.join(known.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+        likely = written(joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(num, den), "a long, b long"))
+    return sure.unionByName(likely)
+
+
 def similar(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the similar pairs among distinct sets: DivideSkip over their inverted lists."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -233,15 +352,14 @@ def _search(size: int, num: int, den: int):
 
 
 def grouped(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 96
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100,
+    block: int = 96, sample_rows: int = 40_000,
+) -> DataFrame:
     """Per row: id, n (shingles), component (least id reachable by links). Similar: den * common >= num * union."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    sets = written(rows.mapInArrow(_sets(size), f"id {kind}, n long, v long"))
-    keys = rows.select("text").mapInArrow(_keys(size, num, den), "key long, v long")
-    hub = F.min("v").over(Window.partitionBy("key"))
-    coarse = labelled(keys.withColumn("hub", hub).where(F.col("v") != F.col("hub")).select(F.col("v").alias("a"), F.col("hub").alias("b")))
+    sets = written(rows.mapInArrow(_sketches(size), f"id {kind}, n long, v long, sketch binary, brief binary"))
+    coarse = labelled(candidates(rows, sets, size, num, den, sample_rows))
     nodes = sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("id"))
     members = written(coarse.join(nodes, coarse["node"] == nodes["v"]).select("v", "id", "label"))
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
