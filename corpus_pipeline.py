@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import line_dedup, ngram_join, packing, quality_rules, secrets
-from siftline.llm.common import documents, written
+from siftline.llm.common import documents, numbered, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their source's boilerplate lines."""
-    return with_length(line_dedup.without_boilerplate(docs))
+    """Texts without their source's boilerplate lines. Exact and near copies count as one page, wordless texts too."""
+    rows = written(numbered(docs, "_row"))
+    groups = ngram_join.grouped(rows, "_row")
+    page = F.when(F.col("n") > 0, F.col("component")).otherwise(-1)
+    pages_of = written(groups.select(F.col("id").alias("_row"), page.alias("page")))
+    return with_length(line_dedup.without_boilerplate(rows, pages_of=pages_of).select(*docs.columns))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ pages of that host.
 Lines are compared without white space at their ends; blank lines are kept. Hosts below min_pages
 and lines on fewer than min_line_pages pages are left alone, as their ratios say nothing.
 
+Copies can be counted as one page (pages_of), so that a text that many rows of a host hold is no
+boilerplate for that.
+
 Defined results: a null text stays null; rows without a host are unchanged; a line that a page
 repeats counts once for it; repeated rows count as pages each; an empty table gives an empty table;
 the input's columns are returned, with the text replaced.
@@ -29,21 +32,30 @@ def _line_key(line: Column) -> Column:
 
 def boilerplate(
     docs: DataFrame, text: str = "text", host: str = "source",
-    ratio: float = 0.05, min_pages: int = 20, min_line_pages: int = 5,
+    ratio: float = 0.05, min_pages: int = 20, min_line_pages: int = 5, pages_of: DataFrame | None = None,
 ) -> DataFrame:
-    """host, line key, pages with the line, pages of the host: the lines to drop."""
+    """host, line key, pages with the line, pages of the host: the lines to drop.
+
+    pages_of: a column of docs that tells rows apart, and `page`; rows of one page count once. Without it each row is a page.
+    """
     pages = docs.where(F.col(host).isNotNull())
-    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    totals = totals.where(F.col("pages") >= min_pages)
     keys = F.array_distinct(
         F.transform(
             F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0),
             lambda x: _line_key(x),
         )
     )
+    if pages_of is None:
+        owners = pages.select(F.col(host).alias("host"))
+        held = pages.select(F.col(host).alias("host"), F.explode(keys).alias("line"))
+    else:
+        row = next(c for c in pages_of.columns if c != "page")
+        known = pages.select(row, F.col(host).alias("host"), keys.alias("keys")).join(pages_of, row)
+        owners = known.select("host", "page").distinct()
+        held = known.select("host", "page", F.explode("keys").alias("line")).distinct()
+    totals = owners.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     lines = (
-        pages.select(F.col(host).alias("host"), F.explode(keys).alias("line"))
-        .groupBy("host", "line")
+        held.groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_line_pages)
     )
@@ -52,10 +64,10 @@ def boilerplate(
 
 def without_boilerplate(
     docs: DataFrame, text: str = "text", host: str = "source",
-    ratio: float = 0.05, min_pages: int = 20, min_line_pages: int = 5,
+    ratio: float = 0.05, min_pages: int = 20, min_line_pages: int = 5, pages_of: DataFrame | None = None,
 ) -> DataFrame:
     """docs with the host's boilerplate lines dropped from the text."""
-    drop = written(boilerplate(docs, text, host, ratio, min_pages, min_line_pages))
+    drop = written(boilerplate(docs, text, host, ratio, min_pages, min_line_pages, pages_of))
     # a host has at most (lines a page) / ratio such lines, so that a list per host is short
     lists = drop.groupBy(F.col("host").alias("_drop_host")).agg(F.collect_set("line").alias("_drop"))
     if drop.count() <= BROADCAST_LINES:

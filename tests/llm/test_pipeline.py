@@ -35,3 +35,17 @@ def test_clean_documents_stay(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
     clean = quality_rules.judged(docs).where("not quality.base_failed").join(labels, "doc_id")
     assert clean.where("not quality.kept").count() == 0
+
+
+def test_line_dedup_spares_copies(spark):
+    lines = [prose(14, 500 + i, 3000) for i in range(10)]
+    copy = "\n".join(lines)
+    rows = [(i, "Menu | Login\n" + copy) for i in range(17)]
+    rows += [(17 + i, "Menu | Login\n" + "\n".join([*lines[:5], lines[5] + f" edit{i}", *lines[6:]])) for i in range(17)]
+    rows += [(100 + i, "Menu | Login\n" + prose(60, 600 + i, 3000)) for i in range(66)]
+    docs = spark.createDataFrame([(i, t, "s0") for i, t in rows], "doc_id long, text string, source string")
+    cleaned = written(corpus_pipeline.own_lines(spark, docs, ""))
+    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert got == {i: t.removeprefix("Menu | Login\n") for i, t in rows}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.distinct_texts(spark, cleaned, "").collect()}
+    assert set(kept) == {0, *range(100, 166)} and kept[0] == copy
