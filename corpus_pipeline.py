@@ -25,7 +25,9 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.grouped(rows, "_row")
     page = F.when(F.col("n") > 0, F.col("component")).otherwise(-1)
     pages_of = written(groups.select(F.col("id").alias("_row"), page.alias("page")))
-    return with_length(line_dedup.without_boilerplate(rows, pages_of=pages_of).select(*docs.columns))
+    # a line on two distinct pages is the least that a ratio can judge, whatever the source's size
+    cleaned = line_dedup.without_boilerplate(rows, min_pages=2, min_line_pages=2, pages_of=pages_of)
+    return with_length(cleaned.select(*docs.columns))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

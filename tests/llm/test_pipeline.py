@@ -49,3 +49,12 @@ def test_line_dedup_spares_copies(spark):
     assert got == {i: t.removeprefix("Menu | Login\n") for i, t in rows}
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.distinct_texts(spark, cleaned, "").collect()}
     assert set(kept) == {0, *range(100, 166)} and kept[0] == copy
+
+
+def test_line_dedup_of_small_sources(spark):
+    rows = [(i, "Menu | Login\n" + prose(60, 900 + i, 3000), "a") for i in range(19)]
+    rows += [(100 + i, "Home | About\n" + prose(60, 950 + i, 3000), "b") for i in range(3)]
+    rows += [(200, "Only | One\n" + prose(60, 990, 3000), "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.own_lines(spark, docs, "").collect()}
+    assert got == {i: t.split("\n")[1] if i < 200 else t for i, t, _ in rows}
