@@ -1,8 +1,9 @@
 """Hierarchies: rows linked by key and parent key, in preorder.
 
-Each row gets its path of (position, key) pairs from the root by iterated joins, one per level, so
-that the plan needs no recursion and no driver-side tree. Rows on a cycle: the first row of the
-cycle in input order becomes a root.
+Each row gets its path of (position, key) pairs from the root by pointer doubling: joins that double
+the stretch of the path known so far, so that a hierarchy of any depth takes as many joins as the
+logarithm of its depth, with no recursion and no driver-side tree. Rows on a cycle: the first row of
+the cycle in input order becomes a root.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200
-
 
 def expanded(rows: DataFrame, carried: list[str]) -> DataFrame:
     """rows: _line (unique long), _key, _parent and the columns `carried`.
@@ -23,32 +22,16 @@ def expanded(rows: DataFrame, carried: list[str]) -> DataFrame:
     first = Window.partitionBy("_key").orderBy("_line")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     rows = rows.persist()
-    parents = rows.select(F.col("_key").alias("_pk"))
+    parents = rows.select(F.col("_key").alias("_pk"), F.col("_line").alias("_least"))
     linked = rows.join(parents, rows["_parent"] == parents["_pk"], "left")
     own = F.col("_parent").eqNullSafe(F.col("_key"))
-    level = _with_paths(linked.where(F.col("_pk").isNull() | own).drop("_pk"), carried)
-    below = linked.where(F.col("_pk").isNotNull() & ~own).drop("_pk").persist()
-    found = level
-    for _ in range(MAX_DEPTH):
-        level = _step(level, below, carried).persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    found = found.persist()
-    rest = below.join(found.select("_line"), "_line", "left_anti")
-    while not rest.isEmpty():
-        # what no root reaches hangs on a cycle; its least line breaks it
-        keys = _cycle_heads(rest)
-        level = _with_paths(rest.join(keys, "_line", "left_semi"), carried)
-        pending = rest.join(keys, "_line", "left_anti").persist()
-        found = found.unionByName(level)
-        for _ in range(MAX_DEPTH):
-            level = _step(level, pending, carried).persist()
-            if level.isEmpty():
-                break
-            found = found.unionByName(level)
-        found = found.persist()
-        rest = pending.join(found.select("_line"), "_line", "left_anti").persist()
+    top = F.col("_pk").isNull() | own
+    linked = linked.withColumn("_next", F.when(~top, F.col("_parent"))).withColumn("_least", F.when(~top, F.col("_least")))
+    linked = _cut(linked.drop("_pk"))
+    heads = _cycle_heads(linked.select("_line", "_key", "_next", "_least")).select(F.col("_line").alias("_head"))
+    rooted = linked.join(heads, linked["_line"] == heads["_head"], "left")
+    rooted = rooted.withColumn("_next", F.when(F.col("_head").isNull(), F.col("_next"))).drop("_head", "_least")
+    found = _with_paths(rooted, carried)
     node = F.row_number().over(Window.orderBy("_order")).cast("long")
     held = found.where("_level > 0").select(F.col("_parent").alias("_pp"))
     out = found.withColumn("_nodeid", node)
@@ -56,48 +39,50 @@ def expanded(rows: DataFrame, carried: list[str]) -> DataFrame:
     return leaf.withColumn("_isleaf", F.when(F.col("_pp").isNull(), 1).otherwise(0).cast("long")).drop("_pp")
 
 
-def _with_paths(level: DataFrame, carried: list[str]) -> DataFrame:
-    out = level.withColumn("_level", F.lit(0).cast("long")).withColumn("_order", F.array("_line"))
-    for c in carried:
-        out = out.withColumn(f"_root_{c}", F.col(c)).withColumn(f"_up_{c}", F.lit("")).withColumn(f"_path_{c}", F.array(c))
-    return out
+def _cut(table: DataFrame) -> DataFrame:
+    """table without its lineage, as each doubling names the one before it twice."""
+    return table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.localCheckpoint()
 
 
-def _step(level: DataFrame, below: DataFrame, carried: list[str]) -> DataFrame:
-    above = level.select(
-        F.col("_key").alias("_ak"),
-        F.col("_level").alias("_al"),
-        F.col("_order").alias("_ao"),
-        *[F.col(c).alias(f"_a_{c}") for c in carried],
-        *[F.col(f"_root_{c}").alias(f"_ar_{c}") for c in carried],
-        *[F.col(f"_path_{c}").alias(f"_ap_{c}") for c in carried],
-    )
-    # a row that is on the path already would close a cycle
-    joined = below.join(above, below["_parent"] == above["_ak"]).where(~F.array_contains("_ao", F.col("_line")))
-    return joined.select(
-        *below.columns,
-        (F.col("_al") + 1).alias("_level"),
-        F.concat("_ao", F.array("_line")).alias("_order"),
+def _with_paths(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """rows: _next is the parent's key, null for roots. A row's stretch grows upward until it begins at a root."""
+    paths = {"_order": "_line", **{f"_path_{c}": c for c in carried}}
+    known = _cut(rows.select("_line", "_key", "_next", *[F.array(c).alias(p) for p, c in paths.items()]))
+    while not known.where(F.col("_next").isNotNull()).isEmpty():
+        above = known.select(F.col("_key").alias("_ak"), F.col("_next").alias("_an"), *[F.col(p).alias(f"_a{p}") for p in paths])
+        longer = known.join(above, known["_next"] == above["_ak"], "left")
+        known = _cut(
+            longer.select(
+                "_line", "_key", F.col("_an").alias("_next"),
+                *[F.when(F.col("_ak").isNull(), F.col(p)).otherwise(F.concat(f"_a{p}", p)).alias(p) for p in paths],
+            )
+        )
+    level = F.size("_order").cast("long") - 1
+    return rows.drop("_next").join(known.drop("_key", "_next"), "_line").select(
+        *[c for c in rows.columns if c != "_next"],
+        level.alias("_level"),
+        "_order",
         *[x for c in carried for x in (
-            F.col(f"_ar_{c}").alias(f"_root_{c}"),
-            F.col(f"_a_{c}").alias(f"_up_{c}"),
-            F.concat(f"_ap_{c}", F.array(c)).alias(f"_path_{c}"),
+            F.element_at(f"_path_{c}", 1).alias(f"_root_{c}"),
+            F.when(level > 0, F.try_element_at(f"_path_{c}", F.lit(-2))).otherwise(F.lit("")).alias(f"_up_{c}"),
+            f"_path_{c}",
         )],
     )
 
 
-def _cycle_heads(rest: DataFrame) -> DataFrame:
-    """Of each cycle the least line: follow parents, carrying the least line seen, until it is one's own."""
-    walk = rest.select(F.col("_line"), F.col("_parent").alias("_next"), F.col("_line").alias("_least"))
-    step = rest.select(F.col("_key").alias("_k"), F.col("_parent").alias("_p"), F.col("_line").alias("_l"))
-    heads = None
-    for _ in range(MAX_DEPTH):
-        walk = walk.join(step, F.col("_next") == F.col("_k")).select(
-            "_line", F.col("_p").alias("_next"), F.least("_least", "_l").alias("_least"), (F.col("_l") == F.col("_line")).alias("_back")
+def _cycle_heads(walk: DataFrame) -> DataFrame:
+    """Of each cycle the least line. walk: _line, _key, _next (parent's key or null) and _least (the parent's line).
+
+    _least is the least line of a stretch of rows above; stretches double until none gets less. It is
+    one's own line only on a cycle, at its least row.
+    """
+    while True:
+        above = walk.select(F.col("_key").alias("_ak"), F.col("_next").alias("_an"), F.col("_least").alias("_al"))
+        walk = _cut(
+            walk.join(above, walk["_next"] == above["_ak"], "left").select(
+                "_line", "_key", F.col("_an").alias("_next"), F.least("_least", "_al").alias("_least"), (F.col("_al") < F.col("_least")).alias("_moved")
+            )
         )
-        closed = walk.where("_back and _least = _line").select("_line")
-        heads = closed if heads is None else heads.unionByName(closed)
-        walk = walk.where("not _back").drop("_back").persist()
-        if walk.isEmpty():
-            break
-    return heads.distinct()
+        if walk.where("_moved").isEmpty():
+            return walk.where("_least = _line").select("_line")
+        walk = walk.drop("_moved")
