@@ -1,7 +1,8 @@
 """HTML extraction: a tree builder with implied tags, visibility rules and a layout-aware renderer.
 
 Markup is scanned into tags and text; the builder supplies implied end tags (p, li, td, ...), table
-bodies and rows, and closes what is left open. Elements that a browser does not show are dropped.
+bodies and rows, and closes what is left open. Elements that a browser does not show are dropped;
+formulas, texts of drawings, options and open dialogs are shown.
 The renderer keeps block spacing (blank lines around paragraphs and headings, single line ends
 around other blocks), list marks with nesting, preformatted text, and table cells padded to aligned
 columns.
@@ -24,13 +25,18 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style noscript template iframe noembed noframes".split())
 PLAIN = frozenset("textarea title".split())
-UNSEEN = RAW | frozenset("head title datalist audio video canvas object svg math select area source track param dialog".split())
+UNSEEN = RAW | frozenset("head title datalist audio video canvas object area source track param".split())
+#: Elements of drawings and formulas that are not shown, by the element around them.
+FOREIGN = {
+    "svg": frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset(["annotation", "annotation-xml"]),
+}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
 BLOCK = SPACED | frozenset(
-    "html body div section article aside header footer nav main address li dt dd form figcaption details summary tr caption legend center".split()
+    "html body div section article aside header footer nav main address li dt dd form figcaption details summary tr caption legend center dialog option optgroup".split()
 )
 #: A start tag of the first kind ends open elements of the second, up to the boundary.
-PARAGRAPH_END = BLOCK - {"html", "body", "tr", "caption", "legend"}
+PARAGRAPH_END = BLOCK - {"html", "body", "tr", "caption", "legend", "option", "optgroup"}
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -111,6 +117,9 @@ def parse(markup: str) -> Element:
             close({"head"}, frozenset())
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             add("tr", {})
+        if (tag["attrs"] or "").endswith("/") and any(e.name in FOREIGN for e in stack):
+            stack[-1].parts.append(Element(name, attrs))
+            continue
         node = add(name, attrs)
         if name in RAW or name in PLAIN:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(markup, at)
@@ -123,7 +132,7 @@ def parse(markup: str) -> Element:
 
 def seen(e: Element) -> bool:
     a = e.attrs
-    if e.name in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if e.name in UNSEEN or (e.name == "dialog" and "open" not in a) or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return False
     if e.name == "input" and a.get("type", "").lower() == "hidden":
         return False
@@ -191,7 +200,7 @@ def _render(page: Page, e: Element, depth: int = 0, pre: bool = False) -> None:
         if isinstance(part, str):
             page.verbatim(part) if inside_pre else page.text(part)
             continue
-        if not seen(part):
+        if not seen(part) or any(part.name in unseen and any(n.name == f for n, _, _ in stack) for f, unseen in FOREIGN.items()):
             continue
         name = part.name
         if name == "br":
@@ -229,6 +238,10 @@ def _render(page: Page, e: Element, depth: int = 0, pre: bool = False) -> None:
                 undo = page.indent.pop
             elif name == "dd":
                 page.mark = "  "
+            elif name == "optgroup":
+                page.text(part.attrs.get("label", ""))
+            elif name == "text":
+                page.text(" ")  # labels of a drawing stand apart
 
             def after(lines=lines, undo=undo, page=page):
                 if undo:
@@ -246,38 +259,75 @@ def text_of(e: Element) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(page.out)).strip("\n")
 
 
+def _alone(e: Element) -> str:
+    """The text of an element with its own marks and layout, in one line."""
+    around = Element("", {})
+    around.parts.append(e)
+    return " ".join(text_of(around).split())
+
+
+def _holders(table: Element) -> set[int]:
+    """Elements between the table and its rows, cells and captions, whatever they are; a nested table's are its own."""
+    found: set[int] = set()
+    stack = [(table, iter(table.parts))]
+    while stack:
+        part = next(stack[-1][1], None)
+        if part is None:
+            stack.pop()
+        elif isinstance(part, Element) and part.name != "table" and seen(part):
+            if part.name in ("tr", "td", "th", "caption"):
+                for node, _ in reversed(stack):
+                    if id(node) in found:
+                        break
+                    found.add(id(node))
+            if part.name not in ("td", "th", "caption"):
+                stack.append((part, iter(part.parts)))
+    return found
+
+
 def table_lines(table: Element) -> list[str]:
-    """Rows with cells padded to their column's width; a cell's own lines are joined by a space."""
-    rows: list[list[str]] = []
+    """Rows with cells padded to their column's width; a cell's own lines are joined by a space.
+
+    Captions, and what stands in the table outside of rows and cells, come first, as browsers place it.
+    """
+    grid: list[list[str]] = []
     captions: list[str] = []
-    todo = [table]
-    found: list[Element] = []
-    while todo:
-        node = todo.pop()
-        for part in node.parts:
-            if isinstance(part, Element) and seen(part):
-                if part.name == "tr":
-                    found.append(part)
-                elif part.name == "caption":
-                    captions.append(" ".join(text_of(part).split()))
-                elif part.name in ("tbody", "thead", "tfoot"):
-                    found.append(part)
-                else:
-                    captions.append(" ".join(text_of(part).split()))
-            elif isinstance(part, str) and part.strip():
-                captions.append(" ".join(part.split()))
-    expanded: list[Element] = []
-    for node in found:
-        expanded += [node] if node.name == "tr" else [x for x in node.parts if isinstance(x, Element) and x.name == "tr" and seen(x)]
-    for row in expanded:
-        cells: list[str] = []
-        for cell in row.parts:
-            if isinstance(cell, Element) and seen(cell):
-                cells.append(" ".join(text_of(cell).split()) if cell.name in ("td", "th") else " ".join(text_of(cell).split()))
-                span = cell.attrs.get("colspan", "1")
-                cells += [""] * (min(int(span), 100) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0)
-        if any(cells):
-            rows.append(cells)
+    holders = _holders(table)
+    loose: list[str] | None = None  # the row of cells that stand outside of rows
+    stack: list = [(iter(table.parts), None)]
+    while stack:
+        parts, row = stack[-1]
+        part = next(parts, None)
+        if part is None:
+            stack.pop()
+        elif isinstance(part, str):
+            captions.append(" ".join(part.split()))
+        elif not seen(part):
+            continue
+        elif part.name in ("tr", "tbody", "thead", "tfoot"):
+            loose = None
+            if part.name == "tr":
+                row = []
+                grid.append(row)
+            stack.append((iter(part.parts), row))
+        elif part.name in ("td", "th"):
+            if row is None:
+                if loose is None:
+                    loose = []
+                    grid.append(loose)
+                row = loose
+            row.append(" ".join(text_of(part).split()))
+            span = part.attrs.get("colspan", "1")
+            row += [""] * (min(int(span), 100) - 1 if re.fullmatch(r"[0-9]{1,4}", span) else 0)
+        elif part.name == "caption":
+            captions.append(" ".join(text_of(part).split()))
+        elif id(part) in holders:
+            stack.append((iter(part.parts), row))
+        elif row is None:
+            captions.append(_alone(part))
+        else:
+            row.append(_alone(part))
+    rows = [cells for cells in grid if any(cells)]
     widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
     lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows]
     return [c for c in captions if c] + lines

@@ -167,6 +167,27 @@ def test_html():
     assert html_text.visible_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_tables_keep_all_text():
+    text = html_text.visible_text
+    assert text("<table><tbody><form><tr><td>A<td>B<tr><td>longer<td>C</form></tbody></table>") == "A       B\nlonger  C"
+    assert text("<table><tbody>stray<tr>loose<td>A<td>B</tbody></table>") == "stray\nloose\nA  B"
+    assert text("<table><tbody><div>note</div><img alt=pic><tr><td>A</table>") == "note\npic\nA"
+    assert text("<table><tr><form><td>A<td>B</form><tr><form><td>C</form></table>") == "A  B\nC"
+    assert text("<table><form><td>A<td>B</form><tr><td>C</table>") == "A  B\nC"
+    assert text("<table><tr><td>out<table><tbody><form><tr><td>in</form></table></table>") == "out in"
+    assert text("<table><tbody hidden><form><tr><td>A</form></tbody><tr><td>B</table>") == "B"
+    assert text("<table>" + "<div>" * 3000 + "<tr><td>deep</table>") == "deep"
+
+
+def test_html_formulas_drawings_options_dialogs():
+    text = html_text.visible_text
+    assert text("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> b") == "a x=1 b"
+    assert text("a<svg><title/><defs/><path d='M0'/><desc>no</desc><text>one</text><text>two</text></svg> b") == "a one two b"
+    assert text("<p>Pick <select><option>red<option selected>blue<optgroup label=Other><option>grey</select>") == "Pick\nred\nblue\nOther\ngrey"
+    assert text("<dialog open>shown</dialog><dialog>not</dialog>") == "shown"
+    assert text("<datalist><option>no</datalist>yes") == "yes"
+
+
 def test_html_frame(spark):
     frame = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "y"), (1, "<p>a</p>", "x")], "page_id long, html string, text string")
     assert sorted(html_text.extracted(frame).collect(), key=repr) == [(1, "a"), (1, "a"), (2, None)]
