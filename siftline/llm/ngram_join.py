@@ -23,9 +23,10 @@ Groups of more than `block` documents are cut into pairs of parts, so that no ta
 Shingles are compared by 64-bit hashes.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; a text with
-fewer words than a shingle has one shingle, the whole; rows with equal ids keep their own sets; ids
-that are null get the component of their set, or null; repeated rows each get the same result; an
-empty table gives an empty table; only id and text are used, so that clashing names do no harm.
+fewer words than a shingle has one shingle, the whole; rows with equal ids keep their own sets; rows
+without an id link others as any row does and get the component of their set, or null; repeated rows
+each get the same result; an empty table gives an empty table; only id and text are used, so that
+clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -351,6 +352,18 @@ def _search(size: int, num: int, den: int):
     return run
 
 
+def _vertices(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in batches:
+            sets = [shingles.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            v = pa.array([vertex(s) if len(s) else None for s in sets], pa.int64())
+            table = pa.RecordBatch.from_arrays([v, batch.column("text")], names=["v", "text"])
+            yield table.filter(v.is_valid())
+
+    return run
+
+
 def grouped(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100,
     block: int = 96, sample_rows: int = 40_000,
@@ -372,10 +385,15 @@ def grouped(
         .select("v", "id", "label", mine.alias("part"), F.explode(other).alias("other"))
         .select("v", "id", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
+    # a set that only rows without an id hold has no id to be found by: one text each, by the set's hash
+    unnamed = rows.where(F.col("id").isNull()).mapInArrow(_vertices(size), "v long, text string")
+    unnamed = unnamed.groupBy("v").agg(F.first("text").alias("text"))
+    columns = ("text", "v", "label", "i", "j")
+    texts = rows.join(placed, "id").select(*columns).unionByName(
+        unnamed.join(placed.where(F.col("id").isNull()), "v").select(*columns)
+    )
     links = written(
-        rows.join(placed, "id")
-        .groupBy("label", "i", "j")
-        .applyInArrow(_search(size, num, den), "a long, b long")
+        texts.groupBy("label", "i", "j").applyInArrow(_search(size, num, den), "a long, b long")
     )
     labels = labelled(links)
     least = (

@@ -314,6 +314,16 @@ def test_ngram_join_of_families(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_ngram_join_through_a_row_without_id(spark):
+    a = [f"w{i}" for i in range(100)]
+    b = [*a[:95], *(f"x{i}" for i in range(10))]
+    c = [*b[10:], *(f"y{i}" for i in range(5))]
+    rows = [(1, " ".join(a), None), (None, " ".join(b), None), (None, " ".join(b), None), (2, " ".join(c), None)]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.grouped(frame).collect())
+    assert got == brute_groups(rows) and {r[2] for r in got} == {1}
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (20, 20)] + [(100 + i, 100) for i in range(50)]
     frame = spark.createDataFrame(links, "a long, b long")
