@@ -16,7 +16,8 @@ very many documents of a task hold are combined there, before the shuffle.
 Search. Each coarse group is searched exactly: documents by size, each as a query against the
 inverted lists of those before it. The T - 1 longest lists are set aside (DivideSkip); the short
 ones are heap-merged, and each document found there is probed in the long lists by binary search
-until it reaches the overlap or cannot. Candidates already in the query's component are skipped.
+until it reaches the overlap or cannot. Candidates already in the query's component are skipped,
+unless links are counted: then every similar pair of sets is verified.
 Groups of more than `block` documents are cut into pairs of parts, so that no task gets more than
 2 * block documents of one group.
 
@@ -280,8 +281,8 @@ def candidates(rows: DataFrame, sets: DataFrame, size: int, num: int, den: int,
     return sure.unionByName(likely)
 
 
-def similar(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the similar pairs among distinct sets: DivideSkip over their inverted lists."""
+def similar(sets: list[np.ndarray], num: int, den: int, every: bool = False) -> list[tuple[int, int]]:
+    """Similar pairs among distinct sets, every one or those of a spanning forest: DivideSkip over their inverted lists."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     tokens, local = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     df = np.bincount(local, minlength=len(tokens))
@@ -309,7 +310,7 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
             for c in heapq.merge(*(lists[t] for t in short if t in lists)):
                 counts[c] = counts.get(c, 0) + 1
             for c, count in sorted(counts.items(), key=lambda x: -x[1]):
-                if find(c) == find(q):
+                if not every and find(c) == find(q):
                     continue
                 size = len(sets[order[c]])
                 if size * den < n * num:
@@ -332,7 +333,7 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return links
 
 
-def _search(size: int, num: int, den: int):
+def _search(size: int, num: int, den: int, every: bool):
     def run(table: pa.Table) -> pa.Table:
         shingles = Shingles(size)
         nodes, sets = [], []
@@ -344,7 +345,7 @@ def _search(size: int, num: int, den: int):
                     seen.add(v)
                     nodes.append(v)
                     sets.append(s)
-        links = similar(sets, num, den) if len(sets) > 1 else []
+        links = similar(sets, num, den, every) if len(sets) > 1 else []
         return pa.table(
             {"a": pa.array([nodes[a] for a, _ in links], pa.int64()), "b": pa.array([nodes[b] for _, b in links], pa.int64())}
         )
@@ -366,9 +367,12 @@ def _vertices(size: int):
 
 def grouped(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100,
-    block: int = 96, sample_rows: int = 40_000,
+    block: int = 96, sample_rows: int = 40_000, count_links: bool = False,
 ) -> DataFrame:
-    """Per row: id, n (shingles), component (least id reachable by links). Similar: den * common >= num * union."""
+    """Per row: id, n (shingles), component (least id reachable by links). Similar: den * common >= num * union.
+
+    count_links: links as well, the number of other distinct sets that are similar to the row's.
+    """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     sets = written(rows.mapInArrow(_sketches(size), f"id {kind}, n long, v long, sketch binary, brief binary"))
@@ -393,7 +397,7 @@ def grouped(
         unnamed.join(placed.where(F.col("id").isNull()), "v").select(*columns)
     )
     links = written(
-        texts.groupBy("label", "i", "j").applyInArrow(_search(size, num, den), "a long, b long")
+        texts.groupBy("label", "i", "j").applyInArrow(_search(size, num, den, count_links), "a long, b long")
     )
     labels = labelled(links)
     least = (
@@ -404,7 +408,14 @@ def grouped(
     linked = least.join(component, "label").select("v", "component")
     alone = nodes.select("v", F.col("id").alias("own"))
     per_node = alone.join(linked, "v", "left").select("v", F.coalesce("component", "own").alias("component"))
-    out = sets.join(per_node, "v", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    columns = ["id", "n", F.coalesce("component", "id").alias("component")]
+    if count_links:
+        # a pair within one part of a large group is found in several blocks
+        sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        counts = sides.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("links"))
+        per_node = per_node.join(counts, "v", "left")
+        columns.append(F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    out = sets.join(per_node, "v", "left").select(*columns)
     dropped(members)
     return out
 

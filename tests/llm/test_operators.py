@@ -324,6 +324,19 @@ def test_ngram_join_through_a_row_without_id(spark):
     assert got == brute_groups(rows) and {r[2] for r in got} == {1}
 
 
+def test_ngram_join_counts_links(spark):
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:-k], *(f"e{k}x{i}" for i in range(k))] if k else base) for k in range(26)]
+    texts += [texts[0], "one two three", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: (r["component"], r["links"]) for r in ngram_join.grouped(frame, block=8, count_links=True).collect()}
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    near = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    for i, own in enumerate(sets):
+        assert got[i][1] == sum(near(own, other) for other in {frozenset(x) for x in sets})
+    assert got[26] == got[0] and got[0][1] > 5 and got[27] == (27, 0) and got[28] == (28, 0)
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (20, 20)] + [(100 + i, 100) for i in range(50)]
     frame = spark.createDataFrame(links, "a long, b long")
