@@ -1,82 +1,218 @@
-"""Stupid-backoff scores computed relationally.
+"""Stupid-backoff scores computed relationally, each document against all the others.
 
-Unigram and bigram count tables are sums by n-gram hash over all documents. Each document's
-distinct bigrams, with their counts there, are exploded and joined to the tables, and log scores are
-summed per document. A document is scored against the rest of the corpus: its own counts are taken
-off, so that a bigram that no other document has backs off to its last word.
+Texts become blocks of word numbers. Each block's distinct n-grams, with their counts there, are
+dealt by hash into slots (the n-gram count tables, partitioned by hash); a slot adds up the counts of
+all blocks and hands each block back how often its n-grams stand elsewhere. Joined to the block's
+words, that gives the counts of every n-gram of every document, and a sum per document. So the
+n-grams cross the network once, pre-aggregated, and a frequent one costs a slot one entry per
+block, not one per document. Slots grow in number with the corpus, so that none outgrows a task.
 
-score of w after v = c(v w) / c(v) if c(v w) > 0, else alpha * max(c(w), 1/2) / tokens, where c is the
-count in other documents for bigrams and in all documents for words.
+Definition. c(g) is the number of times that g stands in the other documents (all documents less the
+scored one) and N the number of words there. With h the words before w in its document, order - 1
+at most, S(w | h) = c(h w) / c(h) if c(h w) > 0, else alpha * S(w | h without its first word); for an
+empty h it is max(c(w), 1/2) / max(N, 1). The score of a document is the sum of ln S over its words.
 
-Defined results: a null or wordless text has no tokens, score 0 and a null mean; the first word
-follows an edge mark; repeated rows are scored each and count as documents each; an empty table
-gives an empty table; only key and text are used, so that clashing names do no harm.
+Words and n-grams are compared by 64-bit hashes.
+
+Defined results: a null or wordless text has no tokens, score 0 and a null mean; the first words have
+shorter histories; rows that repeat, or share an id, are scored each and count as documents each; of
+a very long text the whole is scored, as a block of its own; no result depends on the order of rows,
+so ties do not arise; an empty table gives an empty table; only key and text are used, so that
+clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import numbered, written
+from siftline.llm.common import written
 from siftline.llm.hashing import WordHashes, mix
 
-EDGE = np.uint64(0x5851F42D4C957F2D)
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, gram, v, w, n of each document's distinct bigrams."""
-    words = WordHashes()
-    for big in batches:
-        for lo in range(0, big.num_rows, 512):
-            batch = big.slice(lo, 512)
-            out = []
-            for row, t in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                tokens = (t or b"").split()
-                if tokens:
-                    x = words.of(tokens)
-                    before = np.r_[EDGE, x[:-1]]
-                    gram, first, n = np.unique(mix(mix(before, 41) + x, 42), return_index=True, return_counts=True)
-                    out.append((np.full(len(n), row, np.int64), gram, before[first], x[first], n.astype(np.int32)))
-            if out:
-                row, gram, v, w, n = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), *(pa.array(c.view(np.int64)) for c in (gram, v, w)), pa.array(n)],
-                    names=["row", "gram", "v", "w", "n"],
-                )
-
-
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.4) -> DataFrame:
-    """key, n_tokens, n_backed_off, log_score (sum of natural logs) and mean_log_score."""
-    rows = written(numbered(docs.select(F.col(key).alias(key), F.col(text).alias("text")), "row"))
-    grams = rows.select("row", "text").mapInArrow(_explode, "row long, gram long, v long, w long, n int")
-    words = written(grams.groupBy(F.col("w").alias("word")).agg(F.sum("n").cast("double").alias("c")))
-    total = words.agg(F.sum("c")).first()[0] or 0.0
-    # v begins as many bigrams as it is followed by words; the edge begins each document
-    firsts = grams.groupBy("v").agg(F.sum("n").cast("double").alias("c_v"))
-    pairs = grams.groupBy("gram", "v").agg(F.sum("n").cast("double").alias("c"), F.count(F.lit(1)).alias("d"))
-    table = pairs.where(F.col("d") > 1).join(firsts, "v").select("gram", "c", "c_v")
-    joined = grams.select("row", "gram", "w", "n").join(table, "gram", "left")
-    joined = written(joined.select("row", "n", "c", "c_v", F.when(F.col("c").isNull(), F.col("w")).alias("w")))
-    seen = joined.where(F.col("c").isNotNull()).select(
-        "row", "n", (F.col("n") * F.log((F.col("c") - F.col("n")) / F.col("c_v"))).alias("s"), F.lit(0).alias("off")
+#: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
+BLOCK_WORDS = 4_000_000
+BLOCK_ROWS = 16_384
+SLOT_WORDS = 1 << 20
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes: planes of zeros cost nothing."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<BQ", width, len(x)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", b)
+    out = np.zeros((n, 8), np.uint8)
+    if width and n:
+        raw = pa.decompress(b[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the n-gram of that order that ends at each word, for the words (their places) that have one."""
+    inside = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.flatnonzero(inside >= order - 1)
+    gram = np.full(len(at), order, np.uint64)
+    for k in range(order - 1, -1, -1):
+        gram = mix(gram ^ words[at - k], 41 + k)
+    return gram, at
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: keys, words per row, hashes of the distinct words, and each word's number there."""
+    hashes = WordHashes()
+    first = TaskContext.get().partitionId() << 32
+    count, rows, held = 0, [], 0
+
+    def block() -> pa.RecordBatch:
+        words = np.concatenate([x for _, x in rows])
+        vocabulary, number, n = np.unique(words, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty(len(n), np.uint64)
+        rank[by_count] = np.arange(len(n), dtype=np.uint64)
+        keys = pa.concat_arrays([k for k, _ in rows])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([first + count], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), keys),
+                pa.array([len(words)], pa.int64()),
+                *(pa.array([packed(x)], pa.binary()) for x in (np.array([len(x) for _, x in rows]), vocabulary[by_count], rank[number])),
+            ],
+            names=["block", "keys", "n", "lengths", "vocabulary", "words"],
+        )
+
+    for batch in batches:
+        key, text = batch.column("key"), batch.column("text").cast(pa.binary())
+        for i in range(batch.num_rows):
+            x = hashes.of((text[i].as_py() or b"").split())
+            if rows and (held + len(x) > BLOCK_WORDS or len(rows) == BLOCK_ROWS):
+                yield block()
+                count, rows, held = count + 1, [], 0
+            rows.append((key.slice(i, 1), x))
+            held += len(x)
+    if rows:
+        yield block()
+
+
+def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return unpacked(row["vocabulary"])[unpacked(row["words"]).astype(np.int64)], unpacked(row["lengths"]).astype(np.int64)
+
+
+def _bounds(slots: int) -> np.ndarray:
+    """Least hash of each slot but the first."""
+    return np.array([(k << 64) // slots for k in range(1, slots)], np.uint64)
+
+
+def _dealt(order: int, slots: int):
+    """block, slot, its n-grams there (differences of ascending hashes) and their counts in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(slots)
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, lengths = _words_of(row)
+                for n in range(1, order + 1):
+                    gram, _ = ngrams(words, lengths, n)
+                    gram.sort()
+                    new = np.flatnonzero(np.r_[len(gram) > 0, gram[1:] != gram[:-1]])
+                    count = np.diff(np.r_[new, len(gram)])
+                    gram = gram[new]
+                    cut = np.r_[0, np.searchsorted(gram, bounds), len(gram)]
+                    parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                    step = max(1, (1 << 28) // (16 * max(len(gram), 1)) * slots)
+                    for lo in range(0, len(parts), step):
+                        some = parts[lo : lo + step]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([row["block"]] * len(some), pa.int64()),
+                                pa.array([(n - 1) * slots + k for k, _ in some], pa.int64()),
+                                pa.array([packed(np.r_[gram[s][:1], np.diff(gram[s])]) for _, s in some], pa.binary()),
+                                pa.array([packed(count[s]) for _, s in some], pa.binary()),
+                            ],
+                            names=["block", "slot", "grams", "counts"],
+                        )
+
+    return run
+
+
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """How often each block's n-grams of the slot stand in other blocks."""
+    grams = [np.cumsum(unpacked(g.as_py()), dtype=np.uint64) for g in table.column("grams")]
+    counts = [unpacked(c.as_py()) for c in table.column("counts")]
+    own = np.concatenate(counts).astype(np.int64)
+    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(place, own, len(distinct)).astype(np.int64)
+    other = np.split(total[place] - own, np.cumsum([len(g) for g in grams])[:-1])
+    return pa.table(
+        [table.column("block"), table.column("slot"), pa.array([packed(x) for x in other], pa.binary())],
+        names=["block", "slot", "counts"],
     )
-    backed = joined.where(F.col("c").isNull()).select("row", "n", "w").join(words, F.col("w") == F.col("word")).select(
-        "row", "n", (F.col("n") * F.log(alpha * F.greatest(F.col("c") - F.col("n"), F.lit(0.5)) / F.lit(total))).alias("s"),
-        F.col("n").alias("off"),
-    )
-    sums = seen.unionByName(backed).groupBy("row").agg(
-        F.sum("n").alias("n_tokens"), F.sum("off").alias("n_backed_off"), F.sum("s").alias("log_score")
+
+
+def _scores(order: int, slots: int, total: int, alpha: float):
+    def run(blocks: pa.Table, counted: pa.Table) -> pa.Table:
+        (row,) = blocks.select(["lengths", "vocabulary", "words"]).to_pylist()
+        keys = blocks.column("keys").chunk(0).flatten()
+        words, lengths = _words_of(row)
+        by_slot = sorted(zip(counted.column("slot").to_pylist(), counted.column("counts").to_pylist(), strict=True))
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        score = np.zeros(len(words))
+        used = np.zeros(len(words), np.int64)
+        history = np.maximum(total - lengths, 1)[doc].astype(np.float64)
+        for n in range(1, order + 1):
+            gram, at = ngrams(words, lengths, n)
+            distinct, place, here = np.unique(gram, return_inverse=True, return_counts=True)
+            other = [unpacked(c) for slot, c in by_slot if slot // slots == n - 1]
+            everywhere = (np.concatenate(other).astype(np.int64) if other else np.zeros(0, np.int64)) + here
+            _, pair, own = np.unique(place * len(lengths) + doc[at], return_inverse=True, return_counts=True)
+            count = np.zeros(len(words))
+            count[at] = everywhere[place] - own[pair]
+            # history: the n-gram of one word less that ends one word earlier
+            better = np.arange(len(words)) if n == 1 else at[count[at] > 0]
+            before = history[better] if n == 1 else history[better - 1]
+            score[better] = np.log((np.maximum(count, 0.5) if n == 1 else count)[better] / before)
+            used[better] = n
+            history = count
+        off = np.minimum(inside + 1, order) - used
+        score += off * np.log(alpha)
+        summed = lambda x: np.bincount(doc, x, len(lengths))
+        s = summed(score)
+        return pa.table(
+            [keys, pa.array(lengths), pa.array(summed(off > 0).astype(np.int64)), pa.array(s), pa.array(s / np.maximum(lengths, 1), mask=lengths == 0)],
+            names=["key", "n_tokens", "n_backed_off", "log_score", "mean_log_score"],
+        )
+
+    return run
+
+
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.4, order: int = 3) -> DataFrame:
+    """key, n_tokens, n_backed_off (words whose longest history was not used), log_score (natural logs) and mean_log_score."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    blocks = written(
+        rows.mapInArrow(_blocks, f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary")
     )
-    zero = F.lit(0).cast("long")
-    return rows.select("row", key).join(sums, "row", "left").select(
-        key,
-        F.coalesce("n_tokens", zero).alias("n_tokens"),
-        F.coalesce("n_backed_off", zero).alias("n_backed_off"),
-        F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
-        (F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"),
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    slots = total // SLOT_WORDS + 1
+    dealt = blocks.drop("keys", "n").mapInArrow(_dealt(order, slots), "block long, slot long, grams binary, counts binary")
+    counted = dealt.groupBy("slot").applyInArrow(_elsewhere, "block long, slot long, counts binary")
+    out = (
+        blocks.groupBy("block")
+        .cogroup(counted.groupBy("block"))
+        .applyInArrow(
+            _scores(order, slots, total, alpha),
+            f"key {kind}, n_tokens long, n_backed_off long, log_score double, mean_log_score double",
+        )
     )
+    return out.withColumnRenamed("key", key)

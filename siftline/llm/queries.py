@@ -114,20 +114,29 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5""",
     "op8_lm_scores": r"""
-WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-b AS (SELECT doc_id, unnest(list_prepend(NULL, ws[:-2])) AS v, unnest(ws) AS w FROM t WHERE len(ws) > 0),
-g AS (SELECT doc_id, v, w, count(*) AS n FROM b GROUP BY ALL),
-c2 AS (SELECT v, w, sum(n) AS c, count(*) AS d FROM g GROUP BY v, w),
-cv AS (SELECT v, sum(n) AS c FROM g GROUP BY v),
-cw AS (SELECT w, sum(n) AS c FROM g GROUP BY w),
-s AS (SELECT doc_id, n, CASE WHEN d > 1 THEN 0 ELSE n END AS off,
-        n * CASE WHEN d > 1 THEN ln((c2.c - n)::DOUBLE / cv.c) ELSE ln(0.4::DOUBLE * greatest(cw.c - n, 0.5) / (SELECT sum(n) FROM g)) END AS x
-      FROM g JOIN c2 ON g.w = c2.w AND g.v IS NOT DISTINCT FROM c2.v
-      JOIN cv ON g.v IS NOT DISTINCT FROM cv.v JOIN cw ON g.w = cw.w),
-a AS (SELECT doc_id, sum(n)::BIGINT AS n_tokens, sum(off)::BIGINT AS n_backed_off, sum(x) AS log_score FROM s GROUP BY doc_id)
+WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+o AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+p AS (SELECT r, i, w, lag(w, 1) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u FROM o),
+g1 AS (SELECT r, w, count(*) AS n FROM p GROUP BY ALL),
+g2 AS (SELECT r, v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY ALL),
+g3 AS (SELECT r, u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY ALL),
+l1 AS (SELECT r, w, sum(n) OVER (PARTITION BY w) - n AS c FROM g1),
+l2 AS (SELECT r, v, w, sum(n) OVER (PARTITION BY v, w) - n AS c FROM g2),
+l3 AS (SELECT r, u, v, w, sum(n) OVER (PARTITION BY u, v, w) - n AS c FROM g3),
+own AS (SELECT r, greatest((SELECT count(*) FROM p) - count(*), 1) AS others FROM p GROUP BY r),
+j AS (SELECT p.r, least(p.i, 3) AS most, others, a.c AS c1, coalesce(b.c, 0) AS c2, coalesce(d.c, 0) AS c3, h.c AS h1, k.c AS h2
+      FROM p JOIN own ON p.r = own.r JOIN l1 a ON p.r = a.r AND p.w = a.w
+      LEFT JOIN l2 b ON p.r = b.r AND p.v = b.v AND p.w = b.w
+      LEFT JOIN l3 d ON p.r = d.r AND p.u = d.u AND p.v = d.v AND p.w = d.w
+      LEFT JOIN l1 h ON p.r = h.r AND p.v = h.w
+      LEFT JOIN l2 k ON p.r = k.r AND p.u = k.v AND p.v = k.w),
+s AS (SELECT r, most - CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 ELSE 1 END AS off,
+             CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / h2) WHEN c2 > 0 THEN ln(c2::DOUBLE / h1) ELSE ln(greatest(c1, 0.5)::DOUBLE / others) END AS x FROM j),
+a AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (off > 0) AS n_backed_off, sum(x + off * ln(0.4::DOUBLE)) AS log_score FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_backed_off, 0) AS n_backed_off,
        round(coalesce(log_score, 0), 6) AS log_score, round(log_score / n_tokens, 6) AS mean_log_score
-FROM t LEFT JOIN a USING (doc_id)""",
+FROM t LEFT JOIN a ON t.r = a.r""",
     "op4_line_dedup": r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT DISTINCT doc_id, source, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line

@@ -237,33 +237,59 @@ def test_fullest_bin_is_fullest():
         assert sum(s * used for s, used in chosen) == best
 
 
-def test_lm_scores(spark, docs, rows):
+def brute_scores(texts, order=3, alpha=0.4):
     import math
 
-    uni, bi, held, firsts = Counter(), Counter(), Counter(), Counter()
-    for _, t, _ in rows:
-        w = (t or "").split()
-        uni.update(w)
-        pairs = Counter(zip([None, *w], w))
-        bi.update(pairs)
-        held.update(dict.fromkeys(pairs, 1))
-        firsts.update([None, *w][:-1] if w else [])
-    got = sorted(((r["doc_id"], r["n_tokens"], r["n_backed_off"], round(r["log_score"], 5)) for r in lm_scores.scored(docs).collect()), key=repr)
-    want = []
-    for i, t, _ in rows:
-        w = (t or "").split()
+    def grams(w):
+        return Counter(tuple(w[i - n + 1 : i + 1]) for n in range(1, order + 1) for i in range(n - 1, len(w)))
+
+    words = [WORD.findall(t or "") for t in texts]
+    own = [grams(w) for w in words]
+    everywhere = sum(own, Counter())
+    total = sum(map(len, words))
+    out = []
+    for w, mine in zip(words, own, strict=True):
+        c = lambda g: everywhere[g] - mine[g]  # noqa: B023, E731
         score, off = 0.0, 0
-        for (v, x), n in Counter(zip([None, *w], w)).items():
-            if held[(v, x)] > 1:
-                score += n * math.log((bi[(v, x)] - n) / firsts[v])
-            else:
-                score += n * math.log(0.4 * max(uni[x] - n, 0.5) / sum(uni.values()))
-                off += n
-        want.append((i, len(w), off, round(score, 5)))
-    assert got == sorted(want, key=repr)
+        for i in range(len(w)):
+            n = most = min(order, i + 1)
+            while n > 1 and not c(tuple(w[i - n + 1 : i + 1])):
+                n -= 1
+            g = tuple(w[i - n + 1 : i + 1])
+            s = c(g) / c(g[:-1]) if n > 1 else max(c(g), 0.5) / max(total - len(w), 1)
+            score += math.log(s) + (most - n) * math.log(alpha)
+            off += n < most
+        out.append((len(w), off, round(score, 4)))
+    return out
+
+
+def test_lm_scores(spark, docs, rows, monkeypatch):
+    want = sorted(((r[0], *s) for r, s in zip(rows, brute_scores([t for _, t, _ in rows]), strict=True)), key=repr)
+
+    def got():
+        return sorted(((r["doc_id"], r["n_tokens"], r["n_backed_off"], round(r["log_score"], 4)) for r in lm_scores.scored(docs).collect()), key=repr)
+
+    assert got() == want
+    monkeypatch.setattr(lm_scores, "BLOCK_ROWS", 2)  # more blocks and slots than rows
+    monkeypatch.setattr(lm_scores, "SLOT_WORDS", 500)
+    assert got() == want
     assert lm_scores.scored(empty(spark)).count() == 0
 
 
+def test_lm_scores_by_hand(spark):
+    import math
+
+    frame = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "b c")], "doc_id long, text string").withColumn("key", F.lit("clash"))
+    got = {r["doc_id"]: r for r in lm_scores.scored(frame).collect()}
+    # of document 1 the others hold a 1, b 2, c 1, d 1, "a b" 1, "b d" 1, "b c" 1, no trigram but "a b d", and 5 words
+    assert got[1]["log_score"] == pytest.approx(math.log(1 / 5) + math.log(1 / 1) + math.log(0.4 * 1 / 2))
+    assert got[2]["log_score"] == pytest.approx(math.log(1 / 5) + math.log(1 / 1) + math.log(0.4 * 0.4 * 0.5 / 5))
+    assert got[3]["log_score"] == pytest.approx(math.log(2 / 6) + math.log(1 / 2))
+    assert [got[i]["n_backed_off"] for i in (1, 2, 3)] == [1, 1, 0]
+    one = {r["doc_id"]: r for r in lm_scores.scored(frame, order=1).collect()}
+    assert one[3]["log_score"] == pytest.approx(math.log(2 / 6) + math.log(1 / 6))
+
+
 def brute_groups(rows, num=80, den=100):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
