@@ -12,7 +12,8 @@ scored one) and N the number of words there. With h the words before w in its do
 at most, S(w | h) = c(h w) / c(h) if c(h w) > 0, else alpha * S(w | h without its first word); for an
 empty h it is max(c(w), 1/2) / max(N, 1). The score of a document is the sum of ln S over its words.
 
-Words and n-grams are compared by 64-bit hashes.
+Words are compared by 64-bit hashes, n-grams by hashes of so many bits (64 at most) that one meets
+another by chance with a probability below 2 ** -30 while the corpus has less than 2 ** 34 n-grams.
 
 Defined results: a null or wordless text has no tokens, score 0 and a null mean; the first words have
 shorter histories; rows that repeat, or share an id, are scored each and count as documents each; of
@@ -36,7 +37,7 @@ from siftline.llm.common import written
 from siftline.llm.hashing import WordHashes, mix
 
 #: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 3_000_000
 BLOCK_ROWS = 16_384
 SLOT_WORDS = 1 << 20
 
@@ -58,14 +59,17 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n-gram of that order that ends at each word, for the words (their places) that have one."""
-    inside = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(inside >= order - 1)
+def places(lengths: np.ndarray) -> np.ndarray:
+    """Each word's place in its text."""
+    return (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+
+
+def ngrams(words: np.ndarray, at: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Hash of the n-gram of that order that ends at each of the places."""
     gram = np.full(len(at), order, np.uint64)
     for k in range(order - 1, -1, -1):
         gram = mix(gram ^ words[at - k], 41 + k)
-    return gram, at
+    return gram >> np.uint64(64 - bits)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +112,17 @@ def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return unpacked(row["vocabulary"])[unpacked(row["words"]).astype(np.int64)], unpacked(row["lengths"]).astype(np.int64)
 
 
-def _bounds(slots: int) -> np.ndarray:
-    """Least hash of each slot but the first."""
-    return np.array([(k << 64) // slots for k in range(1, slots)], np.uint64)
-
-
-def _dealt(order: int, slots: int):
+def _dealt(order: int, slots: int, bits: int):
     """block, slot, its n-grams there (differences of ascending hashes) and their counts in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = _bounds(slots)
+        bounds = np.array([(k << bits) // slots for k in range(1, slots)], np.uint64)  # least hash of each slot but the first
         for batch in batches:
             for row in batch.to_pylist():
                 words, lengths = _words_of(row)
+                inside = places(lengths)
                 for n in range(1, order + 1):
-                    gram, _ = ngrams(words, lengths, n)
+                    gram = ngrams(words, np.flatnonzero(inside >= n - 1), n, bits)
                     gram.sort()
                     new = np.flatnonzero(np.r_[len(gram) > 0, gram[1:] != gram[:-1]])
                     count = np.diff(np.r_[new, len(gram)])
@@ -159,31 +159,40 @@ def _elsewhere(table: pa.Table) -> pa.Table:
     )
 
 
-def _scores(order: int, slots: int, total: int, alpha: float):
+def _others(gram: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in other documents of the block or elsewhere. doc ascends."""
+    order = np.argsort(gram, kind="stable")
+    gram, doc = gram[order], doc[order]
+    first = np.r_[len(gram) > 0, gram[1:] != gram[:-1]]
+    here = np.diff(np.r_[np.flatnonzero(first), len(gram)])
+    runs = np.flatnonzero(first | np.r_[False, doc[1:] != doc[:-1]])  # one n-gram in one document
+    own = np.diff(np.r_[runs, len(gram)])
+    found = np.empty(len(gram), np.int64)
+    found[order] = np.repeat((elsewhere + here)[np.cumsum(first)[runs] - 1] - own, own)
+    return found
+
+
+def _scores(order: int, slots: int, bits: int, total: int, alpha: float):
     def run(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         (row,) = blocks.select(["lengths", "vocabulary", "words"]).to_pylist()
         keys = blocks.column("keys").chunk(0).flatten()
         words, lengths = _words_of(row)
+        del row
         by_slot = sorted(zip(counted.column("slot").to_pylist(), counted.column("counts").to_pylist(), strict=True))
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        inside = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        inside = places(lengths)
         score = np.zeros(len(words))
-        used = np.zeros(len(words), np.int64)
-        history = np.maximum(total - lengths, 1)[doc].astype(np.float64)
+        used = np.zeros(len(words), np.int32)
+        before = np.maximum(total - lengths, 1)[doc]  # how often each word's history stands in other documents
         for n in range(1, order + 1):
-            gram, at = ngrams(words, lengths, n)
-            distinct, place, here = np.unique(gram, return_inverse=True, return_counts=True)
-            other = [unpacked(c) for slot, c in by_slot if slot // slots == n - 1]
-            everywhere = (np.concatenate(other).astype(np.int64) if other else np.zeros(0, np.int64)) + here
-            _, pair, own = np.unique(place * len(lengths) + doc[at], return_inverse=True, return_counts=True)
-            count = np.zeros(len(words))
-            count[at] = everywhere[place] - own[pair]
-            # history: the n-gram of one word less that ends one word earlier
-            better = np.arange(len(words)) if n == 1 else at[count[at] > 0]
-            before = history[better] if n == 1 else history[better - 1]
-            score[better] = np.log((np.maximum(count, 0.5) if n == 1 else count)[better] / before)
+            at = np.flatnonzero(inside >= n - 1)
+            elsewhere = np.concatenate([np.zeros(0, np.int64), *(unpacked(c).view(np.int64) for slot, c in by_slot if slot // slots == n - 1)])
+            count = np.zeros(len(words), np.int64)
+            count[at] = _others(ngrams(words, at, n, bits), doc[at], elsewhere)
+            better = at if n == 1 else at[count[at] > 0]
+            score[better] = np.log((np.maximum(count, 0.5) if n == 1 else count)[better] / before[better])
             used[better] = n
-            history = count
+            before = np.roll(count, 1)  # the n-gram that ends one word earlier
         off = np.minimum(inside + 1, order) - used
         score += off * np.log(alpha)
         summed = lambda x: np.bincount(doc, x, len(lengths))
@@ -205,13 +214,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     )
     total = blocks.agg(F.sum("n")).first()[0] or 0
     slots = total // SLOT_WORDS + 1
-    dealt = blocks.drop("keys", "n").mapInArrow(_dealt(order, slots), "block long, slot long, grams binary, counts binary")
+    bits = min(64, (total * order).bit_length() + 30)
+    dealt = blocks.drop("keys", "n").mapInArrow(_dealt(order, slots, bits), "block long, slot long, grams binary, counts binary")
     counted = dealt.groupBy("slot").applyInArrow(_elsewhere, "block long, slot long, counts binary")
     out = (
         blocks.groupBy("block")
         .cogroup(counted.groupBy("block"))
         .applyInArrow(
-            _scores(order, slots, total, alpha),
+            _scores(order, slots, bits, total, alpha),
             f"key {kind}, n_tokens long, n_backed_off long, log_score double, mean_log_score double",
         )
     )
