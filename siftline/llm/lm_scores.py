@@ -37,9 +37,11 @@ from siftline.llm.common import written
 from siftline.llm.hashing import WordHashes, mix
 
 #: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_200_000
 BLOCK_ROWS = 16_384
 SLOT_WORDS = 1 << 20
+#: A block's most frequent words, which have its smallest numbers; the others are numbered by hash.
+FREQUENT = 1 << 12
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -81,16 +83,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block() -> pa.RecordBatch:
         words = np.concatenate([x for _, x in rows])
         vocabulary, number, n = np.unique(words, return_inverse=True, return_counts=True)
-        by_count = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
+        by_count = np.argsort(-n, kind="stable")  # small numbers pack well, and so do ascending hashes
+        by_count[FREQUENT:].sort()
         rank = np.empty(len(n), np.uint64)
         rank[by_count] = np.arange(len(n), dtype=np.uint64)
+        ordered = vocabulary[by_count]
+        ordered[FREQUENT + 1 :] -= ordered[FREQUENT:-1].copy()
         keys = pa.concat_arrays([k for k, _ in rows])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([first + count], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), keys),
                 pa.array([len(words)], pa.int64()),
-                *(pa.array([packed(x)], pa.binary()) for x in (np.array([len(x) for _, x in rows]), vocabulary[by_count], rank[number])),
+                *(pa.array([packed(x)], pa.binary()) for x in (np.array([len(x) for _, x in rows]), ordered, rank[number])),
             ],
             names=["block", "keys", "n", "lengths", "vocabulary", "words"],
         )
@@ -109,7 +114,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return unpacked(row["vocabulary"])[unpacked(row["words"]).astype(np.int64)], unpacked(row["lengths"]).astype(np.int64)
+    """Hash of each word, and words per row."""
+    vocabulary = unpacked(row["vocabulary"])
+    np.cumsum(vocabulary[FREQUENT:], out=vocabulary[FREQUENT:])
+    return vocabulary[unpacked(row["words"]).view(np.int64)], unpacked(row["lengths"]).view(np.int64)
 
 
 def _dealt(order: int, slots: int, bits: int):
@@ -177,7 +185,6 @@ def _scores(order: int, slots: int, bits: int, total: int, alpha: float):
         (row,) = blocks.select(["lengths", "vocabulary", "words"]).to_pylist()
         keys = blocks.column("keys").chunk(0).flatten()
         words, lengths = _words_of(row)
-        del row
         by_slot = sorted(zip(counted.column("slot").to_pylist(), counted.column("counts").to_pylist(), strict=True))
         doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         inside = places(lengths)
