@@ -390,6 +390,17 @@ def test_agendas_agree():
 
     p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     r, known = random.Random(1), [x for x in p.ids if len(x) < 4]
-    for _ in range(400):
-        text = "".join(r.choice(known) for _ in range(r.randint(1, 15)))
-        assert p.merged_short(list(text)) == p.merged(list(text))
+    texts = ["".join(r.choice(known) for _ in range(r.randint(1, 15))) for _ in range(400)] + ["a" * 31, "a" * 32, "漢😀é" * 5, "x"]
+    for text, ids in zip(texts, p.encode_all(texts), strict=True):
+        assert ids == p._bytes_of(p.merged(list(text)))
+        assert b"".join(p.encode_all(p.parts(text))) == ids
+        assert p.decoded(ids).decode() == text.replace("▁", " ")
+
+
+def test_library_ids_count_where_it_differs(spark):
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    known = pieces.Chunks(pieces.Pieces(file))
+    right = known.pieces.encode("▁hello")
+    known.pieces.encode_all = lambda chunks: [np.array([5], "<u4").tobytes()] * len(chunks)
+    known.fill({"▁hello"})
+    assert known.differing == 1 and np.frombuffer(known["▁hello"], "<u4").tolist() == right
