@@ -8,13 +8,15 @@ allow, so that the plan's size is bounded by the lengths, not by the documents.
 numbered within their length without gathering a length in one task, and the plan, an array of
 rank intervals per length, gives each its sequence and offset.
 
-Defined results: a null text counts as an empty one (just the end id); rows that repeat are packed
-each; an empty table gives an empty table; clashing column names do no harm, as the result has the
+Defined results: a null text counts as an empty one (just the end id); rows that repeat, or share an
+id, are packed each; a very long text is encoded whole and cut into pieces; pieces of equal length are
+interchangeable, and which of them goes where is not defined; an empty table gives an empty table; clashing column names do no harm, as the result has the
 key column and the result columns only.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,12 +32,19 @@ from siftline.llm.common import written
 GROUPS = 1024
 
 
-def plain_words(chunk: str) -> int:
-    """1 for letters only, 2 for letters with stops after them, 0 for all else: words that the vocabulary makes of it."""
-    stem = chunk.rstrip(".,;:!?")
-    if not stem.isalpha() or not (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
-        return 0
-    return 1 if len(stem) == len(chunk) else 2
+#: What may stand after the letters of a word and is a word of its own to the vocabulary.
+STOPS = ".,;:!?"
+
+
+def stem_of(chunk: str) -> str | None:
+    """The letters of a chunk of letters, or of letters with stops after them; None for all else.
+
+    Such letters, in lower case as the vocabulary has them, and such stops are one word each.
+    """
+    stem = chunk.rstrip(STOPS)
+    if stem.isascii():
+        return stem.lower() if stem.isalpha() else None
+    return stem if stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha() else None
 
 
 def chunks_of(text: str | None) -> list[str]:
@@ -49,7 +58,7 @@ def chunks_of(text: str | None) -> list[str]:
 
 class WordIds(dict):
     """chunk between white space -> its ids as bytes. Such chunks can be encoded apart, as
-    the vocabulary drops white space and its special tokens hold none.
+    the vocabulary drops white space and its special tokens hold none. So can letters and the stops after them.
 
     Bounded: a full table becomes the old one, from which chunks that come again are taken over.
     """
@@ -65,6 +74,8 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.mark_id = self.tokenizer.token_to_id(self.MARK)
         self.old: dict[str, bytes] = {}
+        #: letters, or stops, of chunks -> their ids
+        self.words: dict[str, bytes | None] = {"": b""}
         pieces = self.tokenizer.get_vocab()
         #: ids that end a word
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
@@ -74,29 +85,26 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def fill(self, chunks: set[str]) -> None:
-        new, plain, parts = [], [], []
+        if self.old:
+            known = chunks & self.old.keys()
+            self.update((c, self.old[c]) for c in known)
+            chunks = chunks - known
+        new, plain = [], []
         for c in chunks:
-            if (ids := self.old.get(c)) is not None:
-                self[c] = ids
-            elif self.mark_id is None or self.MARK in c:
+            if self.mark_id is None or self.MARK in c:
                 self[c] = self._ids(c).tobytes()
-            elif count := plain_words(c):
-                plain.append(c)
-                parts.append(count)
+            elif (stem := stem_of(c)) is None:
+                new.append(c)
             else:
+                plain.append((c, stem, c[len(stem) :]))
+        words = self.words
+        self._fill_words(list({x for _, stem, tail in plain for x in (stem, tail)}.difference(words)))
+        for c, stem, tail in plain:
+            ids = words[stem]
+            if ids is None or words[tail] is None:
                 new.append(c)
-        for k in range(0, len(plain), 500):
-            part = plain[k : k + 500]
-            ids = self._ids(" ".join(part))
-            last = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(parts[k : k + 500])
-            if len(last) != upto[-1]:  # a word ended elsewhere than expected
-                new += part
-                continue
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(part, last[upto - 1].tolist(), strict=True):
-                self[c] = raw[4 * at : 4 * end]
-                at = end
+            else:
+                self[c] = ids + words[tail] if tail else ids
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
             ids = self._ids(self.MARK.join(part))
@@ -106,10 +114,31 @@ class WordIds(dict):
                 self[c] = raw[4 * at : 4 * end]
                 at = end + 1
 
+    def _fill_words(self, words: list[str]) -> None:
+        """Ids of single words, or None for a word that the vocabulary takes for several."""
+        words = [w for w in words if w]
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = self._ids(" ".join(part))
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) != len(part):  # a word ended elsewhere than expected
+                self.words.update(dict.fromkeys(part))
+                continue
+            raw = ids.tobytes()
+            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *last[:-1]], last, strict=True))
+
     def make_room(self) -> None:
         if len(self) > self.LIMIT:
             self.old = dict(self)
             self.clear()
+        if len(self.words) > self.LIMIT:
+            self.words = {"": b""}
+
+
+@functools.lru_cache(maxsize=1)
+def known_ids(tokenizer_file: str) -> WordIds:
+    """The table of this worker process, which its next tasks go on with."""
+    return WordIds(tokenizer_file)
 
 
 def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
@@ -117,7 +146,7 @@ def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = WordIds(tokenizer_file)
+        known = known_ids(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * room
         for big in batches:
