@@ -24,46 +24,15 @@ clashing names do no harm.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
-from siftline.llm.hashing import WordHashes, mix
-
-#: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
-BLOCK_WORDS = 2_200_000
-BLOCK_ROWS = 16_384
-SLOT_WORDS = 1 << 20
-#: A block's most frequent words, which have its smallest numbers; the others are numbered by hash.
-FREQUENT = 1 << 12
-
-
-def packed(x: np.ndarray) -> bytes:
-    """Unsigned numbers as compressed byte planes: planes of zeros cost nothing."""
-    x = np.ascontiguousarray(x, "<u8")
-    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return struct.pack("<BQ", width, len(x)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    width, n = struct.unpack_from("<BQ", b)
-    out = np.zeros((n, 8), np.uint8)
-    if width and n:
-        raw = pa.decompress(b[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
-        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
-def places(lengths: np.ndarray) -> np.ndarray:
-    """Each word's place in its text."""
-    return (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+from siftline.llm.blocks import SLOT_WORDS, blocks, elsewhere, least_hash, places, unpacked, words_of
+from siftline.llm.hashing import mix
 
 
 def ngrams(words: np.ndarray, at: np.ndarray, order: int, bits: int) -> np.ndarray:
@@ -74,97 +43,16 @@ def ngrams(words: np.ndarray, at: np.ndarray, order: int, bits: int) -> np.ndarr
     return gram >> np.uint64(64 - bits)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows: keys, words per row, hashes of the distinct words, and each word's number there."""
-    hashes = WordHashes()
-    first = TaskContext.get().partitionId() << 32
-    count, rows, held = 0, [], 0
-
-    def block() -> pa.RecordBatch:
-        words = np.concatenate([x for _, x in rows])
-        vocabulary, number, n = np.unique(words, return_inverse=True, return_counts=True)
-        by_count = np.argsort(-n, kind="stable")  # small numbers pack well, and so do ascending hashes
-        by_count[FREQUENT:].sort()
-        rank = np.empty(len(n), np.uint64)
-        rank[by_count] = np.arange(len(n), dtype=np.uint64)
-        ordered = vocabulary[by_count]
-        ordered[FREQUENT + 1 :] -= ordered[FREQUENT:-1].copy()
-        keys = pa.concat_arrays([k for k, _ in rows])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([first + count], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), keys),
-                pa.array([len(words)], pa.int64()),
-                *(pa.array([packed(x)], pa.binary()) for x in (np.array([len(x) for _, x in rows]), ordered, rank[number])),
-            ],
-            names=["block", "keys", "n", "lengths", "vocabulary", "words"],
-        )
-
-    for batch in batches:
-        key, text = batch.column("key"), batch.column("text").cast(pa.binary())
-        for i in range(batch.num_rows):
-            x = hashes.of((text[i].as_py() or b"").split())
-            if rows and (held + len(x) > BLOCK_WORDS or len(rows) == BLOCK_ROWS):
-                yield block()
-                count, rows, held = count + 1, [], 0
-            rows.append((key.slice(i, 1), x))
-            held += len(x)
-    if rows:
-        yield block()
-
-
-def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and words per row."""
-    vocabulary = unpacked(row["vocabulary"])
-    np.cumsum(vocabulary[FREQUENT:], out=vocabulary[FREQUENT:])
-    return vocabulary[unpacked(row["words"]).view(np.int64)], unpacked(row["lengths"]).view(np.int64)
-
-
-def _dealt(order: int, slots: int, bits: int):
-    """block, slot, its n-grams there (differences of ascending hashes) and their counts in the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(k << bits) // slots for k in range(1, slots)], np.uint64)  # least hash of each slot but the first
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, lengths = _words_of(row)
-                inside = places(lengths)
-                for n in range(1, order + 1):
-                    gram = ngrams(words, np.flatnonzero(inside >= n - 1), n, bits)
-                    gram.sort()
-                    new = np.flatnonzero(np.r_[len(gram) > 0, gram[1:] != gram[:-1]])
-                    count = np.diff(np.r_[new, len(gram)])
-                    gram = gram[new]
-                    cut = np.r_[0, np.searchsorted(gram, bounds), len(gram)]
-                    parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                    step = max(1, (1 << 28) // (16 * max(len(gram), 1)) * slots)
-                    for lo in range(0, len(parts), step):
-                        some = parts[lo : lo + step]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([row["block"]] * len(some), pa.int64()),
-                                pa.array([(n - 1) * slots + k for k, _ in some], pa.int64()),
-                                pa.array([packed(np.r_[gram[s][:1], np.diff(gram[s])]) for _, s in some], pa.binary()),
-                                pa.array([packed(count[s]) for _, s in some], pa.binary()),
-                            ],
-                            names=["block", "slot", "grams", "counts"],
-                        )
-
-    return run
-
+def _features(order: int, bits: int):
+    def of(row: dict) -> Iterator[np.ndarray]:
+        words, lengths = words_of(row)
+        inside = places(lengths)
+        for n in range(1, order + 1):
+            gram = ngrams(words, np.flatnonzero(inside >= n - 1), n, bits)
+            gram.sort()
+            yield gram
 
-def _elsewhere(table: pa.Table) -> pa.Table:
-    """How often each block's n-grams of the slot stand in other blocks."""
-    grams = [np.cumsum(unpacked(g.as_py()), dtype=np.uint64) for g in table.column("grams")]
-    counts = [unpacked(c.as_py()) for c in table.column("counts")]
-    own = np.concatenate(counts).astype(np.int64)
-    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(place, own, len(distinct)).astype(np.int64)
-    other = np.split(total[place] - own, np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table(
-        [table.column("block"), table.column("slot"), pa.array([packed(x) for x in other], pa.binary())],
-        names=["block", "slot", "counts"],
-    )
+    return of
 
 
 def _others(gram: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
@@ -184,22 +72,30 @@ def _scores(order: int, slots: int, bits: int, total: int, alpha: float):
     def run(blocks: pa.Table, counted: pa.Table) -> pa.Table:
         (row,) = blocks.select(["lengths", "vocabulary", "words"]).to_pylist()
         keys = blocks.column("keys").chunk(0).flatten()
-        words, lengths = _words_of(row)
-        by_slot = sorted(zip(counted.column("slot").to_pylist(), counted.column("counts").to_pylist(), strict=True))
+        words, lengths = words_of(row)
+        by_slot = dict(zip(counted.column("slot").to_pylist(), counted.column("counts").to_pylist(), strict=True))
         doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         inside = places(lengths)
         score = np.zeros(len(words))
-        used = np.zeros(len(words), np.int32)
+        used = np.zeros(len(words), np.int8 if order < 128 else np.int32)
         before = np.maximum(total - lengths, 1)[doc]  # how often each word's history stands in other documents
+        # ranges of slots, worked on one after the other to save memory
+        ranges = [range(lo, min(lo + -(-slots // 16), slots)) for lo in range(0, slots, -(-slots // 16))]
         for n in range(1, order + 1):
             at = np.flatnonzero(inside >= n - 1)
-            elsewhere = np.concatenate([np.zeros(0, np.int64), *(unpacked(c).view(np.int64) for slot, c in by_slot if slot // slots == n - 1)])
+            gram = ngrams(words, at, n, bits)
             count = np.zeros(len(words), np.int64)
-            count[at] = _others(ngrams(words, at, n, bits), doc[at], elsewhere)
+            for some in ranges:
+                counts = [unpacked(by_slot[k]).view(np.int64) for k in range((n - 1) * slots + some.start, (n - 1) * slots + some.stop) if k in by_slot]
+                if counts:
+                    mine = np.flatnonzero((gram >= np.uint64(least_hash(some.start, slots, bits))) & (gram <= np.uint64(least_hash(some.stop, slots, bits) - 1)))
+                    count[at[mine]] = _others(gram[mine], doc[at[mine]], np.concatenate(counts))
+            del gram
             better = at if n == 1 else at[count[at] > 0]
             score[better] = np.log((np.maximum(count, 0.5) if n == 1 else count)[better] / before[better])
             used[better] = n
             before = np.roll(count, 1)  # the n-gram that ends one word earlier
+        del at, before, count
         off = np.minimum(inside + 1, order) - used
         score += off * np.log(alpha)
         summed = lambda x: np.bincount(doc, x, len(lengths))
@@ -215,17 +111,14 @@ def _scores(order: int, slots: int, bits: int, total: int, alpha: float):
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.4, order: int = 3) -> DataFrame:
     """key, n_tokens, n_backed_off (words whose longest history was not used), log_score (natural logs) and mean_log_score."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    blocks = written(
-        rows.mapInArrow(_blocks, f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary")
-    )
-    total = blocks.agg(F.sum("n")).first()[0] or 0
+    table = blocks(docs, key, text)
+    total = table.agg(F.sum("n")).first()[0] or 0
     slots = total // SLOT_WORDS + 1
     bits = min(64, (total * order).bit_length() + 30)
-    dealt = blocks.drop("keys", "n").mapInArrow(_dealt(order, slots, bits), "block long, slot long, grams binary, counts binary")
-    counted = dealt.groupBy("slot").applyInArrow(_elsewhere, "block long, slot long, counts binary")
+    counted = elsewhere(table, _features(order, bits), slots, bits)
     out = (
-        blocks.groupBy("block")
+        table.select("block", "keys", "lengths", "vocabulary", "words")
+        .groupBy("block")
         .cogroup(counted.groupBy("block"))
         .applyInArrow(
             _scores(order, slots, bits, total, alpha),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import (
-    components, html_text, line_dedup, lm_scores, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup, topk,
+    blocks, components, html_text, line_dedup, lm_scores, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup, topk,
 )
 from tests.llm.fixtures import documents, empty
 
@@ -270,7 +270,7 @@ def test_lm_scores(spark, docs, rows, monkeypatch):
         return sorted(((r["doc_id"], r["n_tokens"], r["n_backed_off"], round(r["log_score"], 4)) for r in lm_scores.scored(docs).collect()), key=repr)
 
     assert got() == want
-    monkeypatch.setattr(lm_scores, "BLOCK_ROWS", 2)  # more blocks and slots than rows
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 2)  # more blocks and slots than rows
     monkeypatch.setattr(lm_scores, "SLOT_WORDS", 500)
     assert got() == want
     assert lm_scores.scored(empty(spark)).count() == 0
