@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Only per-node minima are aggregated, so that a node with very many links needs no large group; each
-step's links are written to the shared folder.
+Only per-node minima are aggregated, so that a node with very many links needs no large group; its
+links are joined to its one minimum, a join that AQE splits when a node's links outgrow a
+task. Each step's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _mark(links: DataFrame) -> tuple[int, int]:
 
 
 def labelled(links: DataFrame) -> DataFrame:
-    """node, label (least node of its component) for all nodes that have a link. links: long columns a, b."""
+    """node, label (least node of its component) for all nodes that have a link. links: columns a, b of one ordered type."""
     now = written(
         links.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -1,427 +1,317 @@
-"""N-gram Jaccard join: T-occurrence search with DivideSkip, within coarse groups of documents.
+"""N-gram Jaccard join: T-occurrence search with DivideSkip over inverted lists.
 
 A document's set holds its distinct shingles (`size` consecutive words). Documents with equal sets
 are one vertex, so that copies are never paired.
 
-Coarse groups. A set of n shingles shares at least T of them with a similar one, T = ceil(t * n). Set
-its T - 1 longest inverted lists aside; some short list of both then holds the pair. So each set emits
-its n - T + 1 shingles of shortest lists as keys. Which lists are longer is estimated once, from
-the documents of a bounded sample; any fixed order of the shingles gives whole results. Vertices that
-share a key and whose sizes allow it are candidates: all pairs of a key that few hold, and the
-links to the least vertex of a key that many hold. Pairs are checked by parity sketches: each
-shingle flips one bit, so that the sketches of similar sets differ in no more bits than the sets
-may differ in shingles. Connected components of what is left hold every similar pair. Keys that
-very many documents of a task hold are combined there, before the shuffle.
-
-Search. Each coarse group is searched exactly: documents by size, each as a query against the
-inverted lists of those before it. The T - 1 longest lists are set aside (DivideSkip); the short
-ones are heap-merged, and each document found there is probed in the long lists by binary search
-until it reaches the overlap or cannot. Candidates already in the query's component are skipped,
-unless links are counted: then every similar pair of sets is verified.
-Groups of more than `block` documents are cut into pairs of parts, so that no task gets more than
-2 * block documents of one group.
-
-Shingles are compared by 64-bit hashes.
+List lengths. The inverted list of a shingle is as long as the documents that hold it are many; all
+lists are counted exactly, in blocks (blocks.py). A set of n shingles shares at least T = ceil(t * n) of
+them with a similar one. A document with fewer than T shingles that some other document holds has no
+similar one and takes no further part.
+
+Short lists. Of the others' sets, the T - 1 longest lists are set aside (DivideSkip), so that a similar
+pair meets in at least one of the n - T + 1 short ones. Only those are laid out, by shingle.
+
+Merging. Every list has a pivot, the member of least salted hash, and each member is a candidate to be
+linked to it. Candidates of right size and likely parity sketch (each shingle flips one bit, so that
+sketches differ in no more bits than sets in shingles) are verified: the shingles of one, rarest
+first, are probed by binary search in the other until the overlap is reached or out of reach. The
+links' components follow. Lists within one component are done; the others get another pivot, and
+at last, of each list that still spans several components, the members outside of its largest meet
+all its members of other components. So every similar pair ends up in one component, lists of very many near copies cost
+about their length, and no text is copied.
+
+Shingles are compared by 64-bit hashes, sets by 128-bit ones; list lengths may come from shorter
+hashes, as a chance match only lengthens a list.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; a text with
 fewer words than a shingle has one shingle, the whole; rows with equal ids keep their own sets; rows
-without an id link others as any row does and get the component of their set, or null; repeated rows
-each get the same result; an empty table gives an empty table; only id and text are used, so that
-clashing names do no harm.
+with a null id take part in links, with a null component if no row with an id is in reach; a very
+long text is compared whole; ties do not arise, as components have no order; an empty table gives an
+empty table; only id and text are used, so that clashing names do no harm.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import dropped, written
+from siftline.llm.blocks import SLOT_WORDS, blocks, elsewhere, packed, places, unpacked, words_of
+from siftline.llm.common import dropped, numbered, written
 from siftline.llm.components import labelled
-from siftline.llm.hashing import WordHashes, mix
+from siftline.llm.hashing import mix
 
 UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
-#: Rows of keys that a task combines at a time.
-CHUNK = 2_000_000
-#: A key of at most so many vertices gives all its pairs.
-FEW = 40
-
-
-class Shingles:
-    def __init__(self, size: int):
-        self.size = size
-        self.words = WordHashes()
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct shingle hashes."""
-        words = (text or b"").translate(UPPER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        x = self.words.of(words)
-        span = min(self.size, len(x))
-        h = np.full(len(x) - span + 1, span, np.uint64)
+#: Rounds of pivots before the members left are compared with one another.
+ROUNDS = 2
+#: Pairs of one vertex that a task verifies; more are dealt over several.
+SALTED = 4096
+
+
+def shingles(words: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (shingle hash, row) pairs, ascending."""
+    inside = places(lengths)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    found, rows = [], []
+    for span in range(1, size + 1):
+        # a shorter text is one shingle, which ends with it
+        at = np.flatnonzero(inside >= size - 1) if span == size else (np.cumsum(lengths) - 1)[lengths == span]
+        h = np.full(len(at), span, np.uint64)
         for k in range(span):
-            h = mix(h ^ x[k : len(x) - span + 1 + k], k)
-        return np.unique(h)
-
-
-def vertex(shingles: np.ndarray) -> int:
-    """A hash of the set."""
-    total = mix(shingles, 11).sum(dtype=np.uint64)
-    return int(mix(np.array([total, len(shingles)], np.uint64)[:1] ^ np.uint64(len(shingles)), 12).view(np.int64)[0])
-
-
-def short_lists(shingles: np.ndarray, hot: np.ndarray, weight: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles of a set that are no part of its T - 1 longest lists. hot: sorted frequent shingles, with weights."""
-    n = len(shingles)
-    keep = n - -(-n * num // den) + 1
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        length = np.where(hot[at] == shingles, weight[at], 0)
-        if length.any():
-            return shingles[np.lexsort((shingles, length))[:keep]]
-    return shingles[:keep]
-
-
-def _counted(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            sets = [shingles.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            token, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+            h = mix(h ^ words[at - span + 1 + k], k)
+        found.append(h)
+        rows.append(row[at])
+    h, row = np.concatenate(found), np.concatenate(rows)
+    order = np.lexsort((row, h)) if len(found[:-1]) and any(map(len, found[:-1])) else np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+    return h[new], row[new]
+
+
+def _features(size: int, bits: int):
+    def of(block: dict) -> Iterator[np.ndarray]:
+        yield shingles(*words_of(block), size)[0] >> np.uint64(64 - bits)
+
+    return of
+
+
+def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    return -(-n * num // den)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 parity bits as 8 numbers."""
+    ones = (np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(ones, bitorder="little").view(np.int64)
+
+
+def _sets(size: int, num: int, den: int, slots: int, bits: int):
+    """Per row: key, n and, where it may have a similar one, v (hash of the set), and once a block and v the set's shared part."""
+
+    def run(table: pa.Table, counted: pa.Table) -> pa.Table:
+        (block,) = table.select(["lengths", "vocabulary", "words"]).to_pylist()
+        keys = table.column("keys").chunk(0).flatten()
+        words, lengths = words_of(block)
+        del block
+        h, row = shingles(words, lengths, size)
+        del words
+        short = h >> np.uint64(64 - bits)
+        first = np.flatnonzero(np.r_[True, short[1:] != short[:-1]][: len(h)])
+        here = np.diff(np.r_[first, len(h)])
+        del short
+        by_slot = sorted(zip(counted.column("slot").to_pylist(), counted.column("counts").to_pylist(), strict=True))
+        held = np.repeat(np.concatenate([np.zeros(0, np.int64), *(unpacked(c).view(np.int64) for _, c in by_slot)]) + here, here)
+        n = np.bincount(row, minlength=len(lengths))
+        need = least_overlap(n, num, den)
+        alive = (n > 0) & (np.bincount(row[held > 1], minlength=len(lengths)) >= need)
+        mine = np.flatnonzero(alive[row])
+        h, row, held = h[mine], row[mine], held[mine]
+        by_row = np.argsort(row, kind="stable")  # shingles still ascend within a row
+        h, row, held = h[by_row], row[by_row], held[by_row]
+        cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        sums = [np.add.reduceat(mix(h, salt), cut) if len(cut) else h for salt in (11, 13)]
+        vertex: list[bytes | None] = [None] * len(lengths)
+        body: list[bytes | None] = [None] * len(lengths)
+        prefix: list[np.ndarray | None] = [None] * len(lengths)
+        marks: list[np.ndarray | None] = [None] * len(lengths)
+        seen = set()
+        for a, b, one, two in zip(cut.tolist(), np.r_[cut[1:], len(row)][: len(cut)].tolist(), *(s.tolist() for s in sums), strict=True):
+            r = int(row[a])
+            vertex[r] = v = one.to_bytes(8, "little") + two.to_bytes(8, "little")
+            if v in seen:
+                continue
+            seen.add(v)
+            own, lists = h[a:b], held[a:b]
+            shared = own[lists > 1]
+            rarest = np.lexsort((shared, lists[lists > 1]))
+            body[r] = packed(np.r_[shared[:1], np.diff(shared)])
+            prefix[r] = shared[rarest[: len(shared) - int(need[r]) + 1]].view(np.int64)
+            marks[r] = sketch(own)
+        return pa.table(
+            [
+                keys, pa.array(n, pa.int64()), pa.array(vertex, pa.binary()), pa.array(body, pa.binary()),
+                pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())),
+            ],
+            names=["id", "n", "v", "body", "prefix", "marks"],
+        )
 
     return run
 
 
-def frequent(rows: DataFrame, size: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that two or more different texts of the sample hold, sorted, and how many do."""
-    total = rows.count()
-    if not total:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sample = rows.select("text").sample(min(1.0, sample_rows / total), 11)
-    texts = sample.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
-    counts = texts.mapInArrow(_counted(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    table = counts.where(F.col("n") > 1).toArrow()
-    token = np.array(table.column("token")).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], np.array(table.column("n"))[order]
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits, some four per shingle; halves of a sketch, one upon the other, are a shorter sketch."""
-    words = 1 << max(3, int(len(shingles) // 16).bit_length())
-    bit = mix(shingles, 51) & np.uint64(words * 64 - 1)
-    ones = (np.bincount(bit.astype(np.int64), minlength=words * 64) & 1).astype(np.uint8)
-    return np.packbits(ones, bitorder="little").view(np.uint64)
-
-
-def brief(full: np.ndarray, words: int = 8) -> np.ndarray:
-    """The sketch folded to 512 bits."""
-    while len(full) > words:
-        full = full[: len(full) // 2] ^ full[len(full) // 2 :]
-    return full
-
-
-def may_be_similar(n: int, a: np.ndarray, m: int, b: np.ndarray, num: int, den: int) -> bool:
-    """False if sets of n and m shingles with these sketches differ too much."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum()) * (num + den) <= (den - num) * (n + m)
-
-
-def _sketches(size: int):
+def overlaps(a: np.ndarray, b: np.ndarray, need: int) -> bool:
+    """Whether ascending a and b share `need` numbers or more: the smaller is probed in the larger by binary search."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not need:
+        return True
+    if len(a) < need:
+        return False
+    hits, step = 0, max(64, len(a) - need + 1)
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
+        at = np.searchsorted(b, part)
+        at[at == len(b)] = 0
+        hits += int((b[at] == part).sum())
+        if hits >= need or hits + len(a) - lo - len(part) < need:
+            break
+    return hits >= need
+
+
+def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for big in batches:
-            for lo in range(0, big.num_rows, 1024):
-                batch = big.slice(lo, 1024)
-                sets = [shingles.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                marks = [sketch(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([None if m is None else m.tobytes() for m in marks], pa.binary()),
-                        pa.array([None if m is None else brief(m).tobytes() for m in marks], pa.binary()),
-                    ],
-                    names=["id", "n", "v", "sketch", "brief"],
-                )
+        read: dict[bytes, np.ndarray] = {}
 
-    return run
-
-
-def _keys(size: int, num: int, den: int, hot: np.ndarray, weight: np.ndarray):
-    def combined(keys: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        """The distinct rows. Of a key that many hold here, the least vertex; the others meet it under keys of their own."""
-        key, v, n = (np.concatenate(c) for c in (keys, nodes, sizes))
-        order = np.lexsort((v, key))
-        key, v, n = key[order], v[order], n[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
-        key, v, n = key[new], v[new], n[new]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        held = np.diff(np.r_[first, len(key)])
-        many = np.repeat(held > FEW, held)
-        if many.any():
-            lead = np.repeat(first, held)
-            other = np.flatnonzero(many & (lead != np.arange(len(key))))
-            pairs, at = np.unique(np.stack([v[other], v[lead[other]]], 1), axis=0, return_index=True)
-            at = other[at]
-            own = mix(mix(pairs[:, 0].view(np.uint64), 31) ^ pairs[:, 1].view(np.uint64), 32)
-            kept = ~many | (lead == np.arange(len(key)))
-            # a size of 0 stands for any: a combined key speaks for sets of several sizes
-            key = np.r_[key[kept], own, own]
-            n = np.r_[np.where(many[kept], 0, n[kept]), np.zeros(2 * len(own), n.dtype)]
-            v = np.r_[v[kept], v[at], v[lead[at]]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(v), pa.array(n.astype(np.int32))], names=["key", "v", "n"]
-        )
+        def body(packed_set: bytes) -> np.ndarray:
+            x = read.get(packed_set)
+            if x is None:
+                if len(read) > 512:
+                    read.clear()
+                x = read[packed_set] = np.cumsum(unpacked(packed_set), dtype=np.uint64)
+            return x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        parts: tuple[list, list, list] = ([], [], [])
-        held = 0
         for batch in batches:
-            for t in batch.column("text").cast(pa.binary()):
-                s = shingles.of(t.as_py())
-                if not len(s):
-                    continue
-                k = short_lists(s, hot, weight, num, den)
-                for part, x in zip(parts, (mix(k, 33), np.full(len(k), vertex(s), np.int64), np.full(len(k), len(s), np.int64)), strict=True):
-                    part.append(x)
-                held += len(k)
-                if held >= CHUNK:
-                    yield combined(*parts)
-                    parts, held = ([], [], []), 0
-        if held:
-            yield combined(*parts)
+            na, nb = (np.array(batch.column(c), np.int64) for c in ("na", "nb"))
+            need = -(-num * (na + nb) // (num + den))
+            found = [
+                overlaps(body(x), body(y), t)
+                for x, y, t in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), need.tolist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     return run
 
 
-def _pairs(num: int, den: int):
-    """Rows sorted by key and vertex -> candidate pairs (a > b); sure: not to be dropped by a sketch."""
-
-    def pairs_of(key: np.ndarray, v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-        new = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
-        key, v, n = key[new], v[new], n[new]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        held = np.diff(np.r_[first, len(key)])
-        anyhow = np.minimum.reduceat(n, first) == 0
-        out = []
-        for g in np.unique(held[(held > 1) & (held <= FEW)]).tolist():
-            at = first[held == g]
-            loose = anyhow[held == g]
-            i, j = np.triu_indices(g, 1)
-            a, b = (at[:, None] + j).ravel(), (at[:, None] + i).ravel()
-            sure = np.repeat(loose, len(i))
-            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            fits = sure | (low * den >= high * num)
-            out.append(np.stack([v[a], v[b], sure.astype(np.int64)], 1)[fits])
-        for at, g in zip(first[held > FEW].tolist(), held[held > FEW].tolist(), strict=True):
-            rest = v[at + 1 : at + g]
-            out.append(np.stack([rest, np.full(len(rest), v[at]), np.ones(len(rest), np.int64)], 1))
-        return out
+def _fits(na: Column, nb: Column, marks_a: Column, marks_b: Column, num: int, den: int) -> Column:
+    """Size and sketch of two sets allow them to be similar."""
+    size = (F.least(na, nb) * den >= F.greatest(na, nb) * num)
+    differing = sum((F.bit_count(marks_a[i].bitwiseXOR(marks_b[i])) for i in range(1, 8)), F.bit_count(marks_a[0].bitwiseXOR(marks_b[0])))
+    return size & (differing * (num + den) <= (na + nb) * (den - num))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 3
 
-        def flushed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            found = [x for x in pairs_of(*columns) if len(x)] if len(columns[0]) else []
-            if found:
-                table = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32))], names=["a", "b", "sure"])
+def _links(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
+    """The similar ones of distinct pairs a, b. A vertex in very many pairs (as b) is dealt over several tasks."""
+    much = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SALTED)
+    much = much.select(F.col("b").alias("v"), F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = (
+        pairs.join(much.withColumnRenamed("v", "b"), "b", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
+        .join(vertices.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("body").alias("body_a")), "a")
+        .drop("salts")
+    )
+    right = vertices.join(much, "v", "left").select(
+        F.col("v").alias("b"), F.col("n").alias("nb"), F.col("body").alias("body_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    )
+    joined = left.join(right, ["b", "salt"]).select("a", "b", "na", "nb", "body_a", "body_b")
+    return written(joined.mapInArrow(_verified(num, den), "a binary, b binary"))
 
-        for batch in batches:
-            now = [np.concatenate([r, np.array(batch.column(c)).astype(np.int64)]) for r, c in zip(rest, ("key", "v", "n"), strict=True)]
-            # the last key may go on in the next batch
-            cut = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-            yield from flushed([c[:cut] for c in now])
-            rest = [c[cut:] for c in now]
-        yield from flushed(rest)
 
-    return run
+def _labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """v, label for every vertex."""
+    found = labelled(links).select(F.col("node").alias("v"), "label")
+    return written(vertices.select("v").join(found, "v", "left").select("v", F.coalesce("label", "v").alias("label")))
 
 
-def _likely(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(c).to_pylist() for c in ("na", "nb"))
-            one, two = (batch.column(c).to_pylist() for c in ("sa", "sb"))
-            kept = [
-                may_be_similar(p, np.frombuffer(x, np.uint64), q, np.frombuffer(y, np.uint64), num, den)
-                for p, x, q, y in zip(n, one, m, two, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+def _lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The short lists that span several components, with each member's present label."""
+    now = lists.drop("label").join(labels, "v")
+    open_keys = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    return written(now.join(open_keys, "key"))
 
-    return run
 
+def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False) -> DataFrame:
+    """a, b: similar vertices, every pair or enough of them to connect each component.
 
-def candidates(rows: DataFrame, sets: DataFrame, size: int, num: int, den: int, sample_rows: int) -> DataFrame:
-    """Links a, b whose components hold every similar pair."""
-    keys = rows.select("text").mapInArrow(_keys(size, num, den, *frequent(rows, size, sample_rows)), "key long, v long, n int")
-    dealt = keys.repartition("key").sortWithinPartitions("key", "v")
-    pairs = written(dealt.mapInArrow(_pairs(num, den), "a long, b long, sure int"))
-    sure = pairs.where("sure = 1").select("a", "b")
-    open_pairs = pairs.where("sure = 0").select("a", "b").distinct()
-    likely = open_pairs
-    for column in ("brief", "sketch"):  # the short form drops most pairs before the long one travels
-        known = sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.first("n").alias("n"), F.first(column).alias("s"))
-        joined = likely.join(known.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
-        joined = joined.join(known.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
-        likely = written(joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(num, den), "a long, b long"))
-    return sure.unionByName(likely)
-
-
-def similar(sets: list[np.ndarray], num: int, den: int, every: bool = False) -> list[tuple[int, int]]:
-    """Similar pairs among distinct sets, every one or those of a spanning forest: DivideSkip over their inverted lists."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    tokens, local = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    df = np.bincount(local, minlength=len(tokens))
-    starts = np.r_[0, np.cumsum([len(sets[i]) for i in order])]
-    lists: dict[int, list[int]] = {}  # shared tokens only; documents by rank, ascending
-    root = list(range(len(order)))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        return a
-
-    links = []
-    for q, i in enumerate(order):
-        own = local[starts[q] : starts[q + 1]]
-        n = len(own)
-        need = -(-n * num // den)  # least overlap with any set that is no larger
-        shared = own[df[own] > 1]
-        if len(shared) >= need:
-            shared = shared[np.argsort(df[shared], kind="stable")].tolist()
-            # of all n lists, need - 1 are set aside as long; those without another document never count
-            long = shared[max(0, len(shared) - need + 1) :]
-            short = shared[: max(0, len(shared) - need + 1)]
-            counts: dict[int, int] = {}
-            for c in heapq.merge(*(lists[t] for t in short if t in lists)):
-                counts[c] = counts.get(c, 0) + 1
-            for c, count in sorted(counts.items(), key=lambda x: -x[1]):
-                if not every and find(c) == find(q):
-                    continue
-                size = len(sets[order[c]])
-                if size * den < n * num:
-                    continue
-                reach = -(-num * (n + size) // (num + den))
-                left = len(long)
-                for t in long:
-                    if count >= reach or count + left < reach:
-                        break
-                    left -= 1
-                    postings = lists.get(t)
-                    if postings:
-                        at = bisect_left(postings, c)
-                        count += at < len(postings) and postings[at] == c
-                if count >= reach:
-                    root[find(q)] = find(c)
-                    links.append((i, order[c]))
-        for t in own[df[own] > 1].tolist():
-            lists.setdefault(t, []).append(q)
-    return links
-
-
-def _search(size: int, num: int, den: int, every: bool):
-    def run(table: pa.Table) -> pa.Table:
-        shingles = Shingles(size)
-        nodes, sets = [], []
-        seen = set()
-        for v, t in zip(table.column("v").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if v not in seen:
-                s = shingles.of(t)
-                if vertex(s) == v:
-                    seen.add(v)
-                    nodes.append(v)
-                    sets.append(s)
-        links = similar(sets, num, den, every) if len(sets) > 1 else []
-        return pa.table(
-            {"a": pa.array([nodes[a] for a, _ in links], pa.int64()), "b": pa.array([nodes[b] for _, b in links], pa.int64())}
+    vertices: v, n (shingles), body (packed shared shingles), prefix (short lists), marks (sketch).
+    """
+    lists = vertices.select(F.explode("prefix").alias("key"), "v", "n", "marks", F.col("v").alias("label"))
+    shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    lists = written(lists.join(shared, "key"))
+    links = None
+    for round_ in range(0 if every else ROUNDS):
+        pivot = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("v", F.lit(round_)).alias("h"), "v", "n", "marks", "label")).alias("p"))
+        pairs = (
+            lists.join(pivot, "key")
+            .where((F.col("label") != F.col("p.label")) & _fits(F.col("n"), F.col("p.n"), F.col("marks"), F.col("p.marks"), num, den))
+            .select(F.col("v").alias("a"), F.col("p.v").alias("b"))
+            .distinct()
         )
-
-    return run
-
-
-def _vertices(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            sets = [shingles.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            v = pa.array([vertex(s) if len(s) else None for s in sets], pa.int64())
-            table = pa.RecordBatch.from_arrays([v, batch.column("text")], names=["v", "text"])
-            yield table.filter(v.is_valid())
-
-    return run
+        found = _links(written(pairs), vertices, num, den)
+        links = found if links is None else written(links.unionByName(found))
+        labels = _labels(vertices, links)
+        before, lists = lists, _lists(lists, labels)
+        dropped(before)
+        if lists.isEmpty():
+            return links
+    # the members outside of a list's largest component meet all members of other components
+    members = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = members.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    left = lists if every else lists.join(main, "key").where(F.col("label") != F.col("main")).drop("main")
+    right = lists.select("key", *[F.col(c).alias(f"_{c}") for c in ("v", "n", "marks", "label")])
+    if not every:
+        right = right.join(main, "key")
+    met = left.join(right, "key").where(F.col("label") != F.col("_label")).where(
+        _fits(F.col("n"), F.col("_n"), F.col("marks"), F.col("_marks"), num, den)
+    )
+    # two members that are both outside of the largest meet once
+    met = met.where(F.col("v") < F.col("_v")) if every else met.where((F.col("_label") == F.col("main")) | (F.col("v") < F.col("_v")))
+    pairs = written(met.select(F.greatest("v", "_v").alias("a"), F.least("v", "_v").alias("b")).distinct())
+    found = _links(pairs, vertices, num, den)
+    return found if links is None else written(links.unionByName(found))
 
 
 def grouped(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100,
-    block: int = 96, sample_rows: int = 40_000, count_links: bool = False,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, count_links: bool = False,
 ) -> DataFrame:
     """Per row: id, n (shingles), component (least id reachable by links). Similar: den * common >= num * union.
 
     count_links: links as well, the number of other distinct sets that are similar to the row's.
     """
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    sets = written(rows.mapInArrow(_sketches(size), f"id {kind}, n long, v long, sketch binary, brief binary"))
-    coarse = labelled(candidates(rows, sets, size, num, den, sample_rows))
-    nodes = sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("id"))
-    members = written(coarse.join(nodes, coarse["node"] == nodes["v"]).select("v", "id", "label"))
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    parts = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("v"), parts.cast("long")).cast("int")
-    # with several parts, each pair of parts is a block; with one, it is the block
-    other = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != mine))
-    placed = (
-        members.join(sizes, "label")
-        .select("v", "id", "label", mine.alias("part"), F.explode(other).alias("other"))
-        .select("v", "id", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    )
-    # a set that only rows without an id hold has no id to be found by: one text each, by the set's hash
-    unnamed = rows.where(F.col("id").isNull()).mapInArrow(_vertices(size), "v long, text string")
-    unnamed = unnamed.groupBy("v").agg(F.first("text").alias("text"))
-    columns = ("text", "v", "label", "i", "j")
-    texts = rows.join(placed, "id").select(*columns).unionByName(
-        unnamed.join(placed.where(F.col("id").isNull()), "v").select(*columns)
-    )
-    links = written(
-        texts.groupBy("label", "i", "j").applyInArrow(_search(size, num, den, count_links), "a long, b long")
+    table = blocks(docs, key, text, UPPER)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    slots = total // SLOT_WORDS + 1
+    bits = min(64, total.bit_length() + 10)
+    counted = elsewhere(table, _features(size, bits), slots, bits)
+    sets = written(
+        table.select("block", "keys", "lengths", "vocabulary", "words")
+        .groupBy("block")
+        .cogroup(counted.groupBy("block"))
+        .applyInArrow(
+            _sets(size, num, den, slots, bits), f"id {kind}, n long, v binary, body binary, prefix array<bigint>, marks array<bigint>"
+        )
     )
-    labels = labelled(links)
-    least = (
-        nodes.join(labels, nodes["v"] == labels["node"])
-        .select("v", "id", "label")
+    dropped(table)
+    vertices = written(
+        sets.where(F.col("body").isNotNull())
+        .groupBy("v")
+        .agg(F.first("n").alias("n"), F.first("body").alias("body"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     )
-    component = least.groupBy("label").agg(F.min("id").alias("component"))
-    linked = least.join(component, "label").select("v", "component")
-    alone = nodes.select("v", F.col("id").alias("own"))
-    per_node = alone.join(linked, "v", "left").select("v", F.coalesce("component", "own").alias("component"))
-    columns = ["id", "n", F.coalesce("component", "id").alias("component")]
+    links = similar_links(vertices, num, den, count_links)
+    labels = _labels(vertices, links)
+    named = sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("least"))
+    per_vertex = named.join(labels, "v")
+    component = per_vertex.groupBy("label").agg(F.min("least").alias("component"))
+    per_vertex = per_vertex.join(component, "label").select("v", "component")
+    columns = ["id", "n", F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")]
     if count_links:
-        # a pair within one part of a large group is found in several blocks
-        sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        counts = sides.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("links"))
-        per_node = per_node.join(counts, "v", "left")
+        sides = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v")))
+        per_vertex = per_vertex.join(sides.groupBy("v").agg(F.count(F.lit(1)).alias("links")), "v", "left")
         columns.append(F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    out = sets.join(per_node, "v", "left").select(*columns)
-    dropped(members)
-    return out
+    return sets.select("id", "n", "v").join(per_vertex, "v", "left").select(*columns)
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document with the least id of each group."""
-    groups = grouped(docs, key, text, **options)
-    first = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("_first")).distinct()
-    return docs.join(first, F.col(key) == F.col("_first"), "left_semi")
+    """The row with the least id of each group, rows without an id last; of rows that share it, one.
+
+    Rows without words are linked with nothing, so that each of them stays.
+    """
+    rows = written(numbered(docs, "_group_row"))
+    groups = grouped(rows, "_group_row", text, **options)
+    ranked = rows.select("_group_row", F.col(key).alias("_id")).join(groups.withColumnRenamed("id", "_group_row"), "_group_row")
+    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_group_row")
+    first = ranked.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first._group_row").alias("_group_row"))
+    return rows.join(first, "_group_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -318,14 +318,31 @@ def brute_groups(rows, num=80, den=100):
 def test_ngram_join(spark, docs, rows):
     assert Counter(tuple(r) for r in ngram_join.grouped(docs).collect()) == brute_groups(rows)
     assert ngram_join.grouped(empty(spark)).count() == 0
-    first = ngram_join.one_per_group(docs)
-    assert first.columns == docs.columns
 
 
-def test_ngram_join_of_families(spark, monkeypatch):
+def test_one_per_group(spark, docs, rows):
+    first = ngram_join.one_per_group(docs)
+    assert first.columns == docs.columns
+    groups = defaultdict(list)  # rows of one component
+    numbered = [(n, t, None) for n, (_, t, _) in enumerate(rows)]
+    root = {n: c for n, _, c in brute_groups(numbered)}
+    for n, (i, t, _) in enumerate(rows):
+        groups[root[n]].append((i is None, i, t))
+    want = Counter(min(g, key=lambda x: (x[0], x[1] or 0, x[2] or ""))[1] for g in groups.values())
+    assert Counter(r["doc_id"] for r in first.collect()) == want
+    small = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c d"), (None, "c d"), (5, None), (None, "a b"), (None, ""), (None, "")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.one_per_group(small).collect())
+    assert got == Counter([(1, "a b"), (None, "c d"), (5, None), (None, ""), (None, "")])
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_ngram_join_of_families(spark, monkeypatch, rounds):
     import random
 
-    monkeypatch.setattr(ngram_join, "FEW", 6)  # both ways of making candidates
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "SALTED", 5)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "SLOT_WORDS", 500)
     r = random.Random(9)
     rows = []
     for family in range(4):
@@ -335,8 +352,10 @@ def test_ngram_join_of_families(spark, monkeypatch):
             for _ in range(r.randint(0, 9)):
                 w[r.randrange(len(w))] = f"e{r.random()}"
             rows.append((len(rows), " ".join(w), None))
+    licence = " ".join(f"l{i}" for i in range(30))  # stands in many texts that are not similar
+    rows += [(200 + i, licence + " " + " ".join(f"t{r.randrange(60)}" for _ in range(r.choice([3, 8, 40]))), None) for i in range(40)]
     frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
-    got = Counter(tuple(x) for x in ngram_join.grouped(frame, block=10, sample_rows=40).collect())
+    got = Counter(tuple(x) for x in ngram_join.grouped(frame).collect())
     assert got == brute_groups(rows)
 
 
@@ -355,7 +374,7 @@ def test_ngram_join_counts_links(spark):
     texts = [" ".join([*base[:-k], *(f"e{k}x{i}" for i in range(k))] if k else base) for k in range(26)]
     texts += [texts[0], "one two three", None]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["id"]: (r["component"], r["links"]) for r in ngram_join.grouped(frame, block=8, count_links=True).collect()}
+    got = {r["id"]: (r["component"], r["links"]) for r in ngram_join.grouped(frame, count_links=True).collect()}
     sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
     near = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
     for i, own in enumerate(sets):
