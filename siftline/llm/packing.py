@@ -16,129 +16,157 @@ key column and the result columns only.
 
 from __future__ import annotations
 
-import functools
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import written
+from siftline.llm.hashing import Rolling, mix
 
 #: Rank groups: pieces of a length are numbered within such a group, then groups are laid end to end.
 GROUPS = 1024
 
 
-#: What may stand after the letters of a word and is a word of its own to the vocabulary.
-STOPS = ".,;:!?"
+#: Bytes by class: 0 white space, 1 ASCII letter, 2 stop, 3 all else.
+CLASSES = np.full(256, 3, np.uint8)
+CLASSES[[9, 10, 11, 12, 13, 32]] = 0
+CLASSES[[*range(65, 91), *range(97, 123)]] = 1
+CLASSES[[ord(c) for c in ".,;:!?"]] = 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes of a word that is known by a polynomial hash; longer ones by another.
+LONG_WORD = 64
+#: Bytes whose prefix sums are held at a time.
+WINDOW = 1 << 20
 
 
-def stem_of(chunk: str) -> str | None:
-    """The letters of a chunk of letters, or of letters with stops after them; None for all else.
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in texts laid end to end.
 
-    Such letters, in lower case as the vocabulary has them, and such stops are one word each.
+    Words end at white space, and where a stop follows a letter: the vocabulary has letters and stops in
+    separate words and drops white space, so that such words can be encoded apart.
     """
-    stem = chunk.rstrip(STOPS)
-    if stem.isascii():
-        return stem.lower() if stem.isalpha() else None
-    return stem if stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha() else None
+    kind = CLASSES[data]
+    new = np.zeros(len(data) + 1, bool)  # a text begins here, or all end
+    new[offsets] = True
+    after = np.r_[np.uint8(0), kind[:-1]]
+    cut = new[:-1] | ((after == 1) & (kind == 2))
+    starts = np.flatnonzero((kind > 0) & (cut | (after == 0)))
+    cut = np.r_[cut[1:], True]
+    before = np.r_[kind[1:], np.uint8(0)]
+    return starts, np.flatnonzero((kind > 0) & (cut | (before == 0))) + 1
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """text cut at white space (but for the separators 1C to 1F, which are none to the tokenizer)."""
-    if not text:
-        return []
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [c for c in text.replace("\n", " ").split(" ") if c]
-    return text.split()
+class WordIds:
+    """Words -> ids, in arrays: word hashes ascend, with the place and number of their ids in a pool.
 
-
-class WordIds(dict):
-    """chunk between white space -> its ids as bytes. Such chunks can be encoded apart, as
-    the vocabulary drops white space and its special tokens hold none. So can letters and the stops after them.
-
-    Bounded: a full table becomes the old one, from which chunks that come again are taken over.
+    A full table is dropped, so that its size is bounded.
     """
 
-    LIMIT = 400_000
-    #: Stands between chunks that are encoded together; a special token, which no other text gives.
+    LIMIT = 1_000_000
+    #: Stands between words that are encoded together; a special token, which no other text gives.
     MARK = "<|endoftext|>"
 
     def __init__(self, tokenizer_file: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.mark_id = self.tokenizer.token_to_id(self.MARK)
-        self.old: dict[str, bytes] = {}
-        #: letters, or stops, of chunks -> their ids
-        self.words: dict[str, bytes | None] = {"": b""}
         pieces = self.tokenizer.get_vocab()
         #: ids that end a word
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
+        self.rolling = Rolling(0x5851F42D4C957F2D)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.place = np.empty(0, np.int64)
+        self.count = np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def fill(self, chunks: set[str]) -> None:
-        if self.old:
-            known = chunks & self.old.keys()
-            self.update((c, self.old[c]) for c in known)
-            chunks = chunks - known
-        new, plain = [], []
-        for c in chunks:
-            if self.mark_id is None or self.MARK in c:
-                self[c] = self._ids(c).tobytes()
-            elif (stem := stem_of(c)) is None:
-                new.append(c)
-            else:
-                plain.append((c, stem, c[len(stem) :]))
-        words = self.words
-        self._fill_words(list({x for _, stem, tail in plain for x in (stem, tail)}.difference(words)))
-        for c, stem, tail in plain:
-            ids = words[stem]
-            if ids is None or words[tail] is None:
-                new.append(c)
-            else:
-                self[c] = ids + words[tail] if tail else ids
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            ids = self._ids(self.MARK.join(part))
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                self[c] = raw[4 * at : 4 * end]
-                at = end + 1
-
-    def _fill_words(self, words: list[str]) -> None:
-        """Ids of single words, or None for a word that the vocabulary takes for several."""
-        words = [w for w in words if w]
-        for k in range(0, len(words), 500):
-            part = words[k : k + 500]
-            ids = self._ids(" ".join(part))
-            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+    def _hashed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + WINDOW, side="right")))
+            first = int(starts[lo])
+            if ends[hi - 1] - first <= WINDOW:
+                sums = self.rolling.prefix(data[first : ends[hi - 1]].astype(np.uint64) + np.uint64(1))
+                out[lo:hi] = self.rolling.between(sums, starts[lo:hi] - first, ends[lo:hi] - first)
+            lo = hi
+        length = ends - starts
+        out = mix(out ^ length.astype(np.uint64), 61)
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        return out
+
+    def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts laid end to end, and where each text's ids begin (and the last's end)."""
+        if b"<|" not in data.tobytes():  # special tokens are told by their case
+            data = LOWER[data]
+        starts, ends = cut_words(data, offsets)
+        distinct, example, word = np.unique(self._hashed(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > self.LIMIT:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            self._add(distinct[new], data, starts[example[new]], ends[example[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        count, place = self.count[at][word], self.place[at][word]
+        upto = np.r_[0, np.cumsum(count)]
+        ids = self.pool[np.repeat(place - upto[:-1], count) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, offsets)]
+
+    def _add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        kind = CLASSES[data]
+        others = np.r_[0, np.cumsum(kind != 1)]
+        plain = np.flatnonzero(others[ends] == others[starts])  # letters only: one word each
+        text = data.tobytes()
+        word = lambda i: text[starts[i] : ends[i]].decode()
+        found: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rest = [np.flatnonzero(others[ends] != others[starts])]
+        for k in range(0, len(plain), 500):
+            part = plain[k : k + 500]
+            ids = self._ids(" ".join([text[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]))
+            last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):  # a word ended elsewhere than expected
-                self.words.update(dict.fromkeys(part))
+                rest.append(part)
                 continue
-            raw = ids.tobytes()
-            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *last[:-1]], last, strict=True))
-
-    def make_room(self) -> None:
-        if len(self) > self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-        if len(self.words) > self.LIMIT:
-            self.words = {"": b""}
-
-
-@functools.lru_cache(maxsize=1)
-def known_ids(tokenizer_file: str) -> WordIds:
-    """The table of this worker process, which its next tasks go on with."""
-    return WordIds(tokenizer_file)
+            found.append(ids)
+            order.append(part)
+            counts.append(np.diff(np.r_[0, last]))
+        odd = np.concatenate(rest)
+        for k in range(0, len(odd), 2000):
+            part = odd[k : k + 2000]
+            words = [word(i) for i in part.tolist()]
+            if self.mark_id is None or any(self.MARK in w for w in words):
+                each = [self._ids(w) for w in words]
+            else:
+                ids = self._ids(self.MARK.join(words))
+                each = [x[:-1] if n < len(part) - 1 else x for n, x in enumerate(np.split(ids, np.flatnonzero(ids == self.mark_id) + 1))]
+            found += each
+            order.append(part)
+            counts.append(np.array([len(x) for x in each]))
+        count = np.concatenate(counts)
+        place = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, *found])
+        hashes = np.concatenate([self.hashes, hashes[np.concatenate(order)]])
+        by_hash = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[by_hash]
+        self.place = np.concatenate([self.place, place])[by_hash]
+        self.count = np.concatenate([self.count, count])[by_hash]
 
 
 def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
@@ -146,20 +174,21 @@ def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = known_ids(tokenizer_file)
+        known = WordIds(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * room
         for big in batches:
-            for lo in range(0, big.num_rows, 256):
-                batch = big.slice(lo, 256)
-                known.make_room()
-                rows = [chunks_of(t) for t in batch.column(text).to_pylist()]
-                new = set().union(*rows).difference(known)
-                if new:
-                    known.fill(new)
+            for lo in range(0, big.num_rows, 512):
+                batch = big.slice(lo, 512)
+                texts = batch.column(text).cast(pa.large_binary()).fill_null(b"")
+                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                data = texts.buffers()[2]
+                data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+                flat, begin = known.encoded(data, offsets - offsets[0])
+                flat, begin = flat.tobytes(), (4 * begin).tolist()
                 source, piece, start, length, crc = [], [], [], [], []
-                for i, row in enumerate(rows):
-                    ids = b"".join(map(known.__getitem__, row)) + end
+                for i in range(batch.num_rows):
+                    ids = flat[begin[i] : begin[i + 1]] + end
                     for n, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
                         source.append(i)

@@ -220,6 +220,29 @@ def test_packing(spark, docs, rows):
     assert packing.packed(empty(spark), file).count() == 0
 
 
+def test_word_ids_are_the_library_s(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    known, table = Tokenizer.from_file(file), packing.WordIds(file)
+    r = random.Random(4)
+    bits = [
+        "don't", "I'll.", "A.b", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", "cafe\u0301,", "é", "\u0301", "　", "\xa0", "\x1c",
+        "\x85", "Σας", "İstanbul", "漢字", "😀", "word", "Word,", "WORD!?", "3.14", "...", "a:b;c", "'S", "ß", "_", "\n", "\x0b", "x" * 90, "\0",
+    ]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 20))) for _ in range(600)]
+    monkeypatch.setattr(packing, "WINDOW", 100)
+    monkeypatch.setattr(packing.WordIds, "LIMIT", 150)
+    for lo in range(0, 600, 40):
+        part = pa.array(texts[lo : lo + 40], pa.large_string())
+        ids, begin = table.encoded(np.frombuffer(part.buffers()[2], np.uint8), np.frombuffer(part.buffers()[1], np.int64))
+        for n, text in enumerate(texts[lo : lo + 40]):
+            assert ids[begin[n] : begin[n + 1]].tolist() == known.encode(text, add_special_tokens=False).ids
+
+
 def test_fullest_bin_is_fullest():
     import itertools
     import random
