@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from siftline.functions import dates
 from siftline.functions.values import DATE, DOUBLE, LONG, STRING, Val, number, text, typed, whole
-from siftline.operators import tree
+from siftline.operators import numbering, tree
 from siftline.plans import syntax
 from siftline.plans.clauses import QueryError, clauses, split_outside
 from siftline.plans.planner import (
-    AGGREGATES, ANALYTIC, HIERARCHY, SIDE, Options, Plan, Result, Scope, _aliased, _conjuncts, _file_guard, _sides, _where, has,
+    AGGREGATES, ANALYTIC, HIERARCHY, ORDER, SIDE, Options, Plan, Result, Scope, _aliased, _conjuncts, _file_guard, _sides, _where, has,
 )
 from siftline.plans.syntax import Bin, Call, Each, Field, In, Last, Lit, Neg, Side, Sorted, Var
 
@@ -46,7 +46,7 @@ class Builder:
         having, qualify, rows = self.filtered(rows, sets, items)
         rows = self.side_accessors(rows, sets, [n for n, _ in items])
         if re.search(r"@row\b", plan._all_text(), re.I):
-            rows = rows.withColumn("_row", F.row_number().over(Window.orderBy("_fileid", "_pos")).cast("long"))
+            rows = numbering.numbered(rows, "_row")
         nodes = [n for n, _ in items] + [k for k, _ in keys if not isinstance(k, int)] + having + qualify
         grouped = bool(plan.group_nodes) or any(has(n, AGGREGATES) for n in nodes)
         rows = rows.withColumn("_dupid", F.lit(1).cast("long")) if "@dupid" in plan._all_text().lower() and "duplicate" not in self.clauses else rows
@@ -136,44 +136,58 @@ class Builder:
             ref = args[1] if len(args) > 1 else None
             place = Side(n, ref.ref if isinstance(ref, Field) else self.plan.constant(ref) if ref is not None else 1)
             column, _ = self.plan._side_column(place, sets)
-            found = sets[n - 1]
-            side = found["frame"].select(F.col("_sline"), F.col(column).cast("string").alias("_sv"))
-            before = F.col("_sline") <= F.col("_line") if found["sees"] == "<=" else F.col("_sline") < F.col("_line")
-            name = f"_q{k}"
-            if call.name in ("rcount", "rmemberid"):
-                value = text(self.scope.value(args[2])) if len(args) > 2 else None
-                ranks = side.withColumn("_id", F.row_number().over(Window.orderBy("_sline")))
-                if call.name == "rcount":
-                    # the running count of the value (or of all rows), as of the last side row that is seen
-                    w = Window.partitionBy(*(["_sv"] if value is not None else [])).orderBy("_sline")
-                    ranks = side.withColumn("_id", F.row_number().over(w))
-                    of = rows.withColumn("_want", value if value is not None else F.lit(""))
-                    hit = before & ((F.col("_sv") == F.col("_want")) if value is not None else F.lit(True))
-                    counts = of.select("_line", "_want").join(ranks, hit).groupBy("_line").agg(F.max("_id").cast("long").alias(name))
-                    rows = rows.join(counts, "_line", "left")
-                    self.known[call] = Val(F.coalesce(name, F.lit(0).cast("long")), LONG)
-                else:
-                    firsts = ranks.groupBy("_sv").agg(F.min("_id").cast("long").alias(name), F.min("_sline").alias("_sline"))
-                    rows = rows.join(firsts, (value == F.col("_sv")) & before, "left").drop("_sv", "_sline")
-                    self.known[call] = Val(F.coalesce(name, F.lit(-1).cast("long")), LONG)
+            side = sets[n - 1]["frame"].select(F.col("_sline").alias("_at"), F.col(column).cast("string").alias("_sv"))
+            own = self.scope.value(args[2]) if len(args) > 2 else None
+            name, sees_own = f"_q{k}", sets[n - 1]["sees"] == "<="
+            if call.name == "rcount":
+                rows = self._seen(rows, side, sees_own, name, text(own) if own is not None else None)
+                self.known[call] = Val(F.col(name), LONG)
                 continue
-            values = Window.orderBy("_sline").rowsBetween(Window.unboundedPreceding, 0)
-            lists = side.withColumn(name, F.collect_list(F.coalesce("_sv", F.lit(""))).over(values)).drop("_sv")
-            latest = rows.select("_line").join(lists, before).groupBy("_line").agg(F.max_by(name, "_sline").alias(name))
-            rows = rows.join(latest, "_line", "left")
-            whole_list = F.coalesce(F.col(name), F.array().cast("array<string>"))
+            # members by their number in the side set, which is in order of rows
+            numbers = side.withColumn("_id", F.row_number().over(Window.orderBy("_at")).cast("long"))
+            if call.name == "rmemberid":
+                firsts = numbers.groupBy("_sv").agg(F.min("_id").alias(name), F.min("_at").alias("_at"))
+                before = F.col("_at") <= F.struct(*ORDER) if sees_own else F.col("_at") < F.struct(*ORDER)
+                rows = rows.join(firsts, (text(own) == F.col("_sv")) & before, "left").drop("_sv", "_at")
+                self.known[call] = Val(F.coalesce(name, F.lit(-1).cast("long")), LONG)
+                continue
+            rows = self._seen(rows, side, sees_own, f"{name}_n", None)
+            seen = F.col(f"{name}_n")
+            counted = lambda at: F.when(at > 0, at).when(at < 0, seen + 1 + at)  # noqa: B023, E731
+            member = numbers.select("_id", F.col("_sv").alias(name))
             if call.name == "rmember":
-                at = F.nullif(whole(self.scope.value(args[2])).cast("int"), F.lit(0))
-                self.known[call] = Val(F.try_element_at(whole_list, at), STRING)
-            else:
-                from siftline.functions.scalar import _range_of
-
-                values_of = [self.scope.value(a) for a in args[2:]]
-                mark = str(values_of[2].literal) if len(values_of) > 2 else "|"
-                part = _range_of(whole_list, values_of[0], values_of[1] if len(values_of) > 1 else None, None)
-                self.known[call] = Val(F.array_join(part, mark), STRING)
+                at = counted(whole(own))
+                rows = rows.withColumn("_want", F.when((at >= 1) & (at <= seen), at))
+                rows = rows.join(member, F.col("_want") == F.col("_id"), "left").drop("_id", "_want")
+                self.known[call] = Val(F.when(F.col(f"{name}_n") > 0, F.coalesce(name, F.lit(None).cast("string"))), STRING)
+                continue
+            last = self.scope.value(args[3]) if len(args) > 3 else None
+            mark = str(self.scope.value(args[4]).literal) if len(args) > 4 else "|"
+            a, b = counted(whole(own)), counted(whole(last)) if last is not None else seen
+            inside = lambda x: F.greatest(F.lit(1).cast("long"), F.least(x, seen))  # noqa: B023, E731
+            ids = F.when((seen > 0) & (F.greatest(a, b) >= 1) & (F.least(a, b) <= seen), F.sequence(inside(a), inside(b)))
+            ids = F.transform(ids, lambda x, i: F.struct(i.alias("i"), x.alias("_id")))
+            wanted = rows.select(F.struct(*ORDER).alias("_at"), ids.alias("_ids")).where(F.col("_ids").isNotNull()).dropDuplicates(["_at", "_ids"])
+            wanted = wanted.select("_at", "_ids", F.inline("_ids")).join(member, "_id")
+            lists = wanted.groupBy("_at", "_ids").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce(name, F.lit("")).alias("x")))).alias(name))
+            lists = lists.select("_at", F.col("_ids").alias("_mine"), F.array_join(F.transform(name, lambda s: s["x"]), mark).alias(name))
+            rows = rows.join(lists, (F.struct(*ORDER) == F.col("_at")) & ids.eqNullSafe(F.col("_mine")), "left").drop("_at", "_mine")
+            self.known[call] = Val(F.coalesce(name, F.lit("")), STRING)
         return rows
 
+    def _seen(self, rows: DataFrame, side: DataFrame, sees_own: bool, name: str, value: Column | None) -> DataFrame:
+        """rows with the number of side rows (of a value) before them: a running count over both kinds of rows."""
+        wanted = F.coalesce(value, F.lit("\0")) if value is not None else F.lit("")
+        asked = rows.select(F.struct(*ORDER).alias("_at"), wanted.alias("_sv")).distinct()
+        held = side if value is not None else side.withColumn("_sv", F.lit(""))
+        both = asked.withColumn("_one", F.lit(0)).unionByName(held.where(F.col("_sv").isNotNull()).withColumn("_one", F.lit(1)))
+        # at the same row, the side row comes first where a row sees itself
+        place = F.col("_one").desc() if sees_own else F.col("_one").asc()
+        running = F.sum("_one").over(Window.partitionBy("_sv").orderBy("_at", place).rowsBetween(Window.unboundedPreceding, 0))
+        counts = both.withColumn(name, running).where("_one = 0").select(F.col("_at").alias("_cat"), F.col("_sv").alias("_csv"), F.col(name).cast("long").alias(name))
+        hit = (F.struct(*ORDER) == F.col("_cat")) & (wanted == F.col("_csv"))
+        return rows.join(counts, hit, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long"))).drop("_cat", "_csv")
+
     def duplicated(self, rows: DataFrame) -> DataFrame:
         clause = self.clauses.get("duplicate")
         if not clause:
@@ -203,7 +217,7 @@ class Builder:
         for i, call in enumerate(calls):
             rows = rows.withColumn(f"_t{i}", F.coalesce(text(self.scope.value(call.args[0])), F.lit("")))
             carried.append(f"_t{i}")
-        rows = tree.expanded(rows, carried)
+        rows = tree.expanded(rows, carried, number_nodes="@nodeid" in self.plan._all_text().lower())
         for i, call in enumerate(calls):
             if call.name == "path":
                 mark = str(call.args[1].value) if len(call.args) > 1 and isinstance(call.args[1], Lit) else "/"
@@ -220,7 +234,7 @@ class Builder:
         distinct = bool(args) and args[0] == Field("DISTINCT")
         args = args[1:] if distinct else args
         v = self.scope.value(args[0]) if args else Val(F.lit(1), LONG)
-        lined = "_line" in rows.columns
+        lined = "_pos" in rows.columns
         if name == "count":
             return F.count(F.lit(1)), LONG
         if name in ("sum", "average"):
@@ -241,7 +255,7 @@ class Builder:
             listed = F.sort_array((F.collect_set if distinct else F.collect_list)(v.col), order == "ASC")
             return F.array_join(F.transform(listed, shown), mark), STRING
         if lined:
-            listed = F.sort_array(F.collect_list(F.struct(F.col("_line").alias("l"), v.col.alias("x"))))
+            listed = F.sort_array(F.collect_list(F.struct(*ORDER, v.col.alias("x"))))
             listed = F.transform(listed, lambda s: s["x"])
         else:
             listed = F.collect_list(v.col)
@@ -269,7 +283,7 @@ class Builder:
                 continue
             as_text = v.raw is not None and v.kind == DATE
             col = v.raw if as_text else v.col
-            aggs.append((F.min_by(col, "_line") if "_line" in rows.columns else F.first(col)).alias(f"_n{i}"))
+            aggs.append((F.min_by(col, F.struct(*ORDER)) if "_pos" in rows.columns else F.first(col)).alias(f"_n{i}"))
             after[node] = Val(F.col(f"_n{i}"), STRING if as_text else v.kind, v.layout)
         out = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs).where("_rows > 0")
         self.known = after
@@ -280,6 +294,14 @@ class Builder:
     def windowed(self, rows: DataFrame, nodes: list) -> DataFrame:
         calls = dict.fromkeys(x for n in nodes for x in syntax.walk(n) if isinstance(x, Call) and x.name in ANALYTIC)
         for i, call in enumerate(calls, 1):
+            if call.name == "uniquecounta":
+                # the greatest dense rank of a value is the number of values
+                v = F.coalesce(text(self.scope.value(call.parts[1][0])), F.lit(""))
+                groups = [self.scope.value(n).col for n in call.parts[0]]
+                rows = rows.withColumn(f"_d{i}", F.dense_rank().over(Window.partitionBy(*groups).orderBy(v)))
+                rows = rows.withColumn(f"_w{i}", F.max(f"_d{i}").over(Window.partitionBy(*groups)).cast("long"))
+                self.known[call] = Val(F.col(f"_w{i}"), LONG)
+                continue
             col, kind = self.analytic(call, rows)
             rows = rows.withColumn(f"_w{i}", col)
             self.known[call] = Val(F.col(f"_w{i}"), kind)
@@ -313,6 +335,9 @@ class Builder:
             moved = F.lead(v.col, distance).over(w) if distance >= 0 else F.lag(v.col, -distance).over(w)
             if default is None:
                 return moved, v.kind
+            if default.literal is not None and v.kind in (STRING, DOUBLE):
+                filling = str(default.literal) if v.kind == STRING else float(default.literal)
+                return (F.lead if distance >= 0 else F.lag)(v.col, abs(distance), filling).over(w), v.kind
             place = F.row_number().over(w) + distance
             count = F.count(F.lit(1)).over(Window.partitionBy())
             outside = (place < 1) | (place > count)
@@ -321,8 +346,6 @@ class Builder:
         v = self.scope.value(parts[1][0]) if len(parts) > 1 and parts[1] else Val(F.lit(1), LONG)
         if name == "counta":
             return F.count(F.lit(1)).over(w), LONG
-        if name == "uniquecounta":
-            return F.size(F.collect_set(F.coalesce(text(v), F.lit(""))).over(w)).cast("long"), LONG
         if name in ("suma", "averagea"):
             return (F.sum if name == "suma" else F.avg)(number(v)).over(w), DOUBLE
         return (F.max if name == "maxa" else F.min)(v.col).over(w), v.kind
@@ -340,7 +363,9 @@ class Builder:
         lists = [i for i, (n, _) in enumerate(items) if isinstance(n, Call) and n.name == "coltorow"]
         sort = [(k, self.scope.value(k).col if not isinstance(k, int) else None, down) for k, down in keys]
         order = [c.alias(f"_k{i}") for i, (_, c, _) in enumerate(sort) if c is not None]
-        trailing = [F.col(c) for c in ("_line", "_order") if c in rows.columns]
+        trailing = [F.col("_order")] if "_order" in rows.columns else []
+        if "_pos" in rows.columns and self.plan.needs_order():
+            trailing.append(F.struct(*ORDER).alias("_ord"))
         if lists:
             width = max(len(items[i][0].args) for i in lists)
             rows = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
@@ -381,8 +406,8 @@ class Builder:
                 out = out.select(cells.alias("c1"), *[c for c in out.columns if c not in shown])
                 names, shown, kinds = ["FIELDS"], ["c1"], ["ARRAY"]
             if "r" in flags or "f" not in flags:
-                held = [F.min(c).alias(c) for c in ("_line",) if c in out.columns]
-                held += [F.first(c).alias(c) for c in out.columns if c not in shown and c != "_line"]
+                held = [F.min(c).alias(c) for c in ("_ord",) if c in out.columns]
+                held += [F.first(c).alias(c) for c in out.columns if c not in shown and c != "_ord"]
                 out = out.groupBy(*shown).agg(*held) if held else out.select(*shown).distinct()
         by = []
         for i, (k, c, down) in enumerate(sort):
@@ -390,8 +415,8 @@ class Builder:
             by.append(col.desc_nulls_last() if down else col.asc_nulls_first())
         if "_order" in out.columns:
             by.append(F.col("_order"))
-        elif "_line" in out.columns:
-            by.append(F.col("_line"))
+        elif "_ord" in out.columns:
+            by.append(F.col("_ord"))
         if lists and by and "_p" in out.columns:
             by.append(F.col("_p"))
         if by:

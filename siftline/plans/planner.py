@@ -17,7 +17,7 @@ from siftline.functions import dates, scalar
 from siftline.functions.values import (
     BOOLEAN, DATE, DOUBLE, LONG, NUMBERS, STRING, TYPES, Val, common, constant, kind_of, number, stamp, text, typed,
 )
-from siftline.operators import parsing, tree
+from siftline.operators import numbering, parsing, tree
 from siftline.plans import syntax
 from siftline.plans.clauses import QueryError, split_outside
 from siftline.plans.syntax import And, Bin, Call, Cmp, Each, Field, In, Last, Lit, Neg, Or, Param, Side, Sorted, Var
@@ -25,6 +25,8 @@ from siftline.sources.text import Inventory, Lines, Table, Text, numbered_files,
 
 AGGREGATES = frozenset("count sum average max min uniquecount grouplist".split())
 ANALYTIC = frozenset("rank denserank nearby counta uniquecounta suma averagea maxa mina".split())
+#: What orders the rows of all sources.
+ORDER = ("_fileid", "_pos")
 HIERARCHY = frozenset("root parent path".split())
 MACROS = frozenset("foreach coltorow anycol allcol".split())
 SIDE = frozenset("rcount rmember rmembers rmemberid".split())
@@ -200,7 +202,7 @@ class Plan:
         self.vars: dict[str, Val] = {}
         self.macros = self._macros(options.macros)
         self.group_nodes: list = []
-        self.uses_line = bool(re.search(r"@(line|fileline|row)\b", self._all_text(), re.I))
+        self.uses_line = bool(re.search(r"@(line|fileline)\b", self._all_text(), re.I))
 
     def _all_text(self) -> str:
         return " ".join([*self.clauses.values(), self.options.variables, self.options.macros])
@@ -329,15 +331,11 @@ class Plan:
             rows = rows.unionByName(p)
         head = None
         if self.options.nameline or self.options.skip:
-            place = F.row_number().over(Window.partitionBy("_fileid").orderBy("_pos"))
-            rows = rows.withColumn("_n", place)
-            if self.options.skip:
-                rows = rows.where(F.col("_n") > self.options.skip)
+            first = self.options.skip + bool(self.options.nameline)
+            rows = numbering.heads(rows, first)
             if self.options.nameline:
-                first = self.options.skip + 1
-                head = rows.where(F.col("_n") == first).orderBy("_fileid").select("_raw").first()
-                rows = rows.where(F.col("_n") > first)
-            rows = rows.drop("_n")
+                head = rows.where(F.col("_head") == first).orderBy("_fileid").select("_raw").first()
+            rows = rows.where(F.col("_head").isNull()).drop("_head")
         return self._parsed(rows, mode, head[0] if head else None)
 
     def _tables(self, mode) -> DataFrame:
@@ -445,25 +443,18 @@ class Plan:
     # stages before the group
 
     def number_lines(self, rows: DataFrame) -> DataFrame:
-        if not self.uses_line and not self._needs_order():
+        """Numbers are made only where a query shows them, or for hierarchies; order alone is that of ORDER."""
+        if not self.uses_line and "tree" not in self.clauses:
             return rows
-        if len({*self._source_ids()}) == 1 and not self._many_files():
-            line = F.row_number().over(Window.orderBy("_fileid", "_pos")).cast("long")
-            rows = rows.withColumn("_line", line)
-            return rows.withColumn("_fileline", F.col("_line"))
-        rows = rows.withColumn("_fileline", F.row_number().over(Window.partitionBy("_fileid").orderBy("_pos")).cast("long"))
-        counts = rows.groupBy("_fileid").agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy("_fileid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = counts.select("_fileid", before.alias("_before"))
-        return rows.join(starts, "_fileid").withColumn("_line", F.col("_before") + F.col("_fileline")).drop("_before")
-
-    def _source_ids(self):
-        return range(len(self.sources))
-
-    def _many_files(self) -> bool:
-        return any(isinstance(s, (Text, Inventory)) for s in self.sources)
-
-    def _needs_order(self) -> bool:
+        if rows.isStreaming:
+            raise QueryError("rows of a stream have no line numbers")
+        return numbering.numbered(rows, "_line", "_fileline")
+
+    def needs_order(self) -> bool:
+        """Whether the result depends on the order of rows."""
+        return self.uses_line or self._order_shows()
+
+    def _order_shows(self) -> bool:
         whole = self._all_text().lower()
         return bool(
             "tree" in self.clauses or "@r[" in whole or "unique" in self.clauses
@@ -554,7 +545,7 @@ class Plan:
         sets = []
         if self.side_vars:
             cols = [f"_r{n + 1}" for n in range(len(self.side_vars))]
-            frame = rows.select(F.col("_line").alias("_sline"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(cols, 1)])
+            frame = rows.select(F.struct(*ORDER).alias("_sline"), *[F.col(c).alias(f"_s{i}") for i, c in enumerate(cols, 1)])
             sets.append({"frame": frame, "names": {}, "kinds": [STRING] * len(cols), "sees": "<=", "file": None, "plain": True})
         for part in split_outside(self.clauses.get("meanwhile", ""), ";"):
             if not part.strip():
@@ -577,8 +568,7 @@ class Plan:
                 for n in {x for x in (alias.upper(), e.strip().upper().removeprefix("@")) if x and not x.isdigit()}:
                     names[n] = i
             cols = [v.col.alias(f"_s{i}") for i, v in enumerate(values, 1)]
-            line = [F.col("_line").alias("_sline")] if "_line" in rows.columns else []
-            sets.append({"frame": frame.select(*line, *cols), "names": names, "kinds": [v.kind for v in values], "sees": "<", "file": guard, "plain": condition is None or not condition.strip()})
+            sets.append({"frame": frame.select(F.struct(*ORDER).alias("_sline"), *cols), "names": names, "kinds": [v.kind for v in values], "sees": "<", "file": guard, "plain": condition is None or not condition.strip()})
         return sets
 
     def _side_column(self, s: Side, sets: list[dict]) -> tuple[str, str]:
@@ -606,7 +596,7 @@ class Plan:
             side_text = found["frame"].select(F.col("_sline"), F.col(column).cast("string").alias("_st"))
             first = side_text.groupBy("_st").agg(F.min("_sline").alias("_first"))
             joined = rows.join(first, text(left) == F.col("_st"), "left")
-            seen = F.col("_first") <= F.col("_line") if found["sees"] == "<=" else F.col("_first") < F.col("_line")
+            seen = F.col("_first") <= F.struct(*ORDER) if found["sees"] == "<=" else F.col("_first") < F.struct(*ORDER)
             return joined.where(F.col("_st").isNull() | ~seen).select(*rows.columns)
         side = found["frame"]
         hit = scalar.compared("=", left, Val(F.col(column), kind))
@@ -615,7 +605,7 @@ class Plan:
         else:
             # of equal values the first is seen first
             side = side.groupBy(column).agg(F.min("_sline").alias("_sline"))
-            hit = hit & (F.col("_sline") <= F.col("_line") if found["sees"] == "<=" else F.col("_sline") < F.col("_line"))
+            hit = hit & (F.col("_sline") <= F.struct(*ORDER) if found["sees"] == "<=" else F.col("_sline") < F.struct(*ORDER))
         return rows.join(side, hit, "left_anti" if leaf.negated else "left_semi")
 
     def join_sides(self, rows: DataFrame, leaves: list, sets: list[dict], main_file: int | None, keep: bool) -> tuple[DataFrame, dict]:
@@ -638,7 +628,7 @@ class Plan:
             pending = [(leaf, ids) for leaf, ids in pending if not ids <= joined]
             found = sets[n - 1]
             side = found["frame"]
-            renamed = side.select(*[F.col(c).alias(f"_j{n}{c}") for c in side.columns])
+            renamed = side.select(*[F.col(c).alias(f"_j{n}{c}") for c in side.columns if c != "_sline" or not self._visible(found, main_file)])
             mine = {}
             for i, kind in enumerate(found["kinds"], 1):
                 v = Val(F.col(f"_j{n}_s{i}"), kind)
@@ -652,7 +642,7 @@ class Plan:
                 c = _bare(both.test(t), both, t)
                 condition = c if condition is None else condition & c
             if not self._visible(found, main_file):
-                line, own = F.col(f"_j{n}_sline"), F.col("_line")
+                line, own = F.col(f"_j{n}_sline"), F.struct(*ORDER)
                 condition = condition & (line <= own if found["sees"] == "<=" else line < own)
             rows = rows.join(renamed, condition, "inner" if keep or pending else "left_semi")
             if keep or pending:

@@ -82,9 +82,11 @@ def raw_of(frame: DataFrame) -> Column:
 
 
 def numbered_files(rows: DataFrame) -> DataFrame:
-    """_fileid within this source: files by path, from 1."""
-    files = rows.select("_file").distinct()
-    from pyspark.sql import Window
-
-    ids = files.withColumn("_fileid", F.row_number().over(Window.orderBy("_file")))
-    return rows.join(ids, "_file")
+    """_fileid within this source: files by path, from 1. The files are listed, not read."""
+    files = sorted(rows.inputFiles())
+    if not files:
+        return rows.withColumn("_fileid", F.lit(1))
+    # a path's slashes after the scheme are written in several ways
+    plain = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9]+):/+", "$1:/")
+    ids = rows.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files, 1)], "_path string, _fileid int")
+    return rows.join(ids, plain(F.col("_file")) == plain(F.col("_path"))).drop("_path")
