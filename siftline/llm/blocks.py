@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm.common import bucketed
 from siftline.llm.hashing import WordHashes
 
 #: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
-BLOCK_WORDS = 4_500_000
+BLOCK_WORDS = 2_200_000
 BLOCK_ROWS = 16_384
 SLOT_WORDS = 1 << 20
 #: A block's most frequent words, which have its smallest numbers; the others are numbered by hash.
@@ -49,17 +49,19 @@ def places(lengths: np.ndarray) -> np.ndarray:
     return (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None, most: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     first = TaskContext.get().partitionId() << 32
     count, rows, held = 0, [], 0
 
     def block() -> pa.RecordBatch:
         words = np.concatenate([x for _, x in rows])
+        n_words = len(words)
         lengths = np.array([len(x) for _, x in rows])
         keys = pa.concat_arrays([k for k, _ in rows])
         rows.clear()
         vocabulary, number, n = np.unique(words, return_inverse=True, return_counts=True)
+        del words
         by_count = np.argsort(-n, kind="stable")  # small numbers pack well, and so do ascending hashes
         by_count[FREQUENT:].sort()
         rank = np.empty(len(n), np.uint64)
@@ -70,7 +72,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None) -> Iterator[p
             [
                 pa.array([first + count], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                pa.array([len(words)], pa.int64()),
+                pa.array([n_words], pa.int64()),
                 *(pa.array([packed(x)], pa.binary()) for x in (lengths, ordered, rank[number])),
             ],
             names=["block", "keys", "n", "lengths", "vocabulary", "words"],
@@ -80,7 +82,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None) -> Iterator[p
         key, text = batch.column("key"), batch.column("text").cast(pa.binary())
         for i in range(batch.num_rows):
             x = hashes.of((text[i].as_py() or b"").translate(fold).split())
-            if rows and (held + len(x) > BLOCK_WORDS or len(rows) == BLOCK_ROWS):
+            if rows and (held + len(x) > most or len(rows) == BLOCK_ROWS):
                 yield block()
                 count, held = count + 1, 0
             rows.append((key.slice(i, 1), x))
@@ -96,15 +98,16 @@ def words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary[unpacked(row["words"]).view(np.int64)], unpacked(row["lengths"]).view(np.int64)
 
 
-def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None) -> DataFrame:
+def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None, most: int = BLOCK_WORDS) -> DataFrame:
     """Blocks of rows: keys, n (words), words per row, hashes of the distinct words, and each word's number there.
 
-    fold: a translation of the text's bytes. The table is written, as blocks are told apart by where they were made.
+    fold: a translation of the text's bytes; most: words of a block of several texts. The table is written, as blocks are told apart by where they were
+    made, and in buckets, so that they need not move to meet their counts.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary"
-    return written(rows.mapInArrow(lambda batches: _blocks(batches, fold), schema))
+    return bucketed(rows.mapInArrow(lambda batches: _blocks(batches, fold, most), schema), "block")
 
 
 def least_hash(slot: int, slots: int, bits: int) -> int:

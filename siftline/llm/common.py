@@ -47,9 +47,22 @@ def written(df: DataFrame) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df as a table of the shared folder, dealt into buckets by a column, so that grouping by it moves nothing."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"siftline_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    table = spark.table(name)
+    table._siftline_path, table._siftline_name = path, name
+    return table
+
+
 def dropped(table: DataFrame) -> None:
-    """Deletes a table of written() that nothing will read again."""
+    """Deletes a table of written() or bucketed() that nothing will read again."""
     spark = table.sparkSession
+    if hasattr(table, "_siftline_name"):
+        spark.sql(f"DROP TABLE IF EXISTS {table._siftline_name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(table._siftline_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -37,10 +37,14 @@ from siftline.llm.hashing import mix
 
 def ngrams(words: np.ndarray, at: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Hash of the n-gram of that order that ends at each of the places."""
-    gram = np.full(len(at), order, np.uint64)
-    for k in range(order - 1, -1, -1):
-        gram = mix(gram ^ words[at - k], 41 + k)
-    return gram >> np.uint64(64 - bits)
+    out = np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), 1 << 18):  # in pieces, to save memory
+        some = at[lo : lo + (1 << 18)]
+        gram = np.full(len(some), order, np.uint64)
+        for k in range(order - 1, -1, -1):
+            gram = mix(gram ^ words[some - k], 41 + k)
+        out[lo : lo + len(some)] = gram >> np.uint64(64 - bits)
+    return out
 
 
 def _features(order: int, bits: int):
