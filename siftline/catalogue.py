@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.api import run
-from siftline.sources.text import Table
+from siftline.api import Result, run
+from siftline.sources.text import Lines, Table
 
 #: Unique keys, which stand for the line order of a table.
 ORDER = {
@@ -20,12 +20,17 @@ ORDER = {
 
 @dataclass(frozen=True)
 class Case:
-    """query over tables (name, or name with a function of its frame), options of run, and the SQL twin."""
+    """A query, its sources and its SQL twin.
+
+    tables: names, names with a function of the frame, source objects, or a function of all frames that
+    gives one frame a source. after: what is shown of the result (its frame, unless given).
+    """
 
     query: str
-    tables: tuple
+    tables: tuple | Callable
     sql: str
     options: dict = field(default_factory=dict)
+    after: Callable[[Result], DataFrame] = lambda out: out.frame
 
 
 def lines_of(*columns: str, mark: str = ",") -> Callable[[DataFrame], DataFrame]:
@@ -36,7 +41,9 @@ def only(*columns: str) -> Callable[[DataFrame], DataFrame]:
     return lambda frame: frame.select(*columns)
 
 
-def source(spark: SparkSession, sf_dir: str, table) -> Table:
+def source(spark: SparkSession, sf_dir: str, table) -> Table | Lines:
+    if isinstance(table, Lines):
+        return table
     name, change = (table, None) if isinstance(table, str) else table
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     frame = change(frame) if change else frame
@@ -112,9 +119,9 @@ CASES: dict[str, Case] = {
         "SELECT o_orderkey AS k FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH') AND o_orderstatus NOT IN ('F')",
     ),
     "filter_anycol": Case(
-        "s @1 as a, @2 as b, @3 as c | f anycol(1,%,$) > 9000",
+        "s @1 as a, @2 as b, @3 as c | f anycol(1,%,$) > 4700",
         (("part", lambda f: f.select(F.col("p_partkey"), F.col("p_size").cast("long").alias("p_size"), F.col("p_retailprice") * 5)),),
-        "SELECT p_partkey AS a, p_size::BIGINT AS b, p_retailprice*5 AS c FROM part WHERE p_partkey > 9000 OR p_size > 9000 OR p_retailprice*5 > 9000",
+        "SELECT p_partkey AS a, p_size::BIGINT AS b, p_retailprice*5 AS c FROM part WHERE p_partkey > 4700 OR p_size > 4700 OR p_retailprice*5 > 4700",
     ),
     "filter_allcol": Case(
         "s @1 as a, @2 as b | f allcol(1,%,$) > 20",
@@ -152,9 +159,16 @@ CASES: dict[str, Case] = {
         "SELECT o_custkey AS cust, arg_min(o_orderstatus, o_orderkey) AS first_status, 0::BIGINT AS zero, count(*) AS n FROM orders GROUP BY 1",
     ),
     "report_footer": Case(
-        "report",
+        "s c_mktsegment as seg, count(1) as n, max(c_acctbal) as top | g c_mktsegment | r 2:sum,3:max",
         ("customer",),
         "SELECT '' AS seg, printf('%.2f', sum(n)::DOUBLE) AS n, printf('%.2f', max(top)) AS top FROM (SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1)",
+        after=lambda out: out.report,
+    ),
+    "report_kinds": Case(
+        "s c_mktsegment as seg, c_custkey as k, c_acctbal as a, c_nationkey as n, c_acctbal as z | r 2:count,3:average,4:min,5:sum",
+        ("customer",),
+        "SELECT '' AS seg, printf('%.2f', count(*)::DOUBLE) AS k, printf('%.2f', avg(c_acctbal)) AS a, printf('%.2f', min(c_nationkey)::DOUBLE) AS n, printf('%.2f', sum(c_acctbal)) AS z FROM customer",
+        after=lambda out: out.report,
     ),
     "win_rank": Case(
         "s o_orderkey as k, rank(o_custkey;o_totalprice desc,o_orderkey) as place",
@@ -212,20 +226,53 @@ CASES: dict[str, Case] = {
         "SELECT DISTINCT o_orderstatus AS st, o_orderpriority AS pr FROM orders",
     ),
     "unique_fields": Case(
-        "unique_fields",
+        "s n_nationkey, n_regionkey, n_name | u f | o n_nationkey",
         ("nation",),
-        "SELECT n_nationkey::VARCHAR AS id, array_to_string(list_sort(list_distinct([n_nationkey::VARCHAR, n_regionkey::VARCHAR, n_name])), '|') AS cells FROM nation",
+        "SELECT array_to_string(c, '|') AS cells, len(list_filter(c, lambda x: regexp_matches(x, '^[0-9]+$')))::BIGINT AS numbers FROM "
+        "(SELECT list_sort(list_distinct([n_nationkey::VARCHAR, n_regionkey::VARCHAR, n_name])) AS c FROM nation)",
+        after=lambda out: _keyed(out.frame, F.col(out.frame.columns[0])),
     ),
+    # joins put the side table first: both tables as one stream of rows, told apart by @fileid
     "join_inner": Case(
-        "m c_custkey_ as k, 1 as x | s",
-        ("orders", "customer"),
+        "m a as k, b as name where @fileid=1 | s a as k, @r[1][name] as name | f @fileid=2 and c = @r[1][k]",
+        lambda d: (d["customer"].selectExpr("c_custkey a", "c_name b", "null::long c"), d["orders"].selectExpr("o_orderkey a", "'' b", "o_custkey c")),
         "SELECT o_orderkey AS k, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey",
     ),
-    "join_multikey": Case("", ("orders",), "SELECT o_orderkey AS k, n AS n FROM orders JOIN (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) USING (o_custkey, o_orderstatus)"),
-    "join_threeway": Case("", ("nation", "region", "supplier"), "SELECT s_suppkey AS k, n_name AS nation, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
-    "join_theta": Case("", ("nation",), "SELECT a.n_name AS a, r_name AS b FROM nation a JOIN region ON a.n_regionkey < r_regionkey"),
-    "join_semi": Case("", ("orders",), "SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
-    "join_anti": Case("", ("orders",), "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "join_multikey": Case(
+        "m a as k, b as st, c as n where @fileid=1 | s c as k, @r[1][n] as n | f @fileid=2 and a = @r[1][k] and b = @r[1][st]",
+        lambda d: (d["orders"].groupBy("o_custkey", "o_orderstatus").count().toDF("a", "b", "c"), d["orders"].selectExpr("o_custkey a", "o_orderstatus b", "o_orderkey c")),
+        "SELECT o_orderkey AS k, n AS n FROM orders JOIN (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) USING (o_custkey, o_orderstatus)",
+    ),
+    "join_threeway": Case(
+        "m a as k, c as name where @fileid=1;a as k, b as up, c as name where @fileid=2 | s a as k, @r[2][name] as nation, @r[1][name] as region | f @fileid=3 and b = @r[2][k] and @r[2][up] = @r[1][k]",
+        lambda d: (d["region"].selectExpr("r_regionkey::long a", "0::long b", "r_name c"), d["nation"].selectExpr("n_nationkey::long a", "n_regionkey::long b", "n_name c"), d["supplier"].selectExpr("s_suppkey a", "s_nationkey::long b", "'' c")),
+        "SELECT s_suppkey AS k, n_name AS nation, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "join_theta": Case(
+        "m a as k, b as name where @fileid=1 | s b as a, @r[1][name] as b | f @fileid=2 and a < @r[1][k]",
+        lambda d: (d["region"].selectExpr("r_regionkey a", "r_name b"), d["nation"].selectExpr("n_regionkey a", "n_name b")),
+        "SELECT a.n_name AS a, r_name AS b FROM nation a JOIN region ON a.n_regionkey < r_regionkey",
+    ),
+    "join_semi": Case(
+        "m a as k where @fileid=1 and b > 300000 | s a as k | f @fileid=2 and a in @r[1][k]",
+        lambda d: (d["orders"].selectExpr("o_custkey a", "o_totalprice b"), d["customer"].selectExpr("c_custkey a", "0.0d b")),
+        "SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    "join_anti": Case(
+        "m a as k where @fileid=1 and b > 300000 | s a as k | f @fileid=2 and a noin @r[1][k]",
+        lambda d: (d["orders"].selectExpr("o_custkey a", "o_totalprice b"), d["customer"].selectExpr("c_custkey a", "0.0d b")),
+        "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    ),
+    "join_or": Case(
+        "m a as k, b as name where @fileid=1 | s b as a, @r[1][name] as b | f @fileid=2 and (a = @r[1][k] or c = @r[1][k])",
+        lambda d: (d["region"].selectExpr("r_regionkey a", "r_name b", "0 c"), d["nation"].selectExpr("n_regionkey a", "n_name b", "n_nationkey c")),
+        "SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey OR n_nationkey = r_regionkey",
+    ),
+    "join_side_of_side": Case(
+        "m a as k where @fileid=1 and c like 'A*';a as k where @fileid=2 and b in @r[1][k] | s a as k | f @fileid=3 and b in @r[2][k]",
+        lambda d: (d["region"].selectExpr("r_regionkey::long a", "0::long b", "r_name c"), d["nation"].selectExpr("n_nationkey::long a", "n_regionkey::long b", "n_name c"), d["customer"].selectExpr("c_custkey a", "c_nationkey::long b", "'' c")),
+        "SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%'))",
+    ),
     "join_visible_self": Case(
         "m n_regionkey as r, n_name as name where n_nationkey >= 0 | s n_name as later, @r[1][name] as earlier | f n_regionkey = @r[1][r]",
         ("nation",),
@@ -340,37 +387,115 @@ CASES: dict[str, Case] = {
         ("orders",),
         "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS st, CASE WHEN o_totalprice>200000 AND o_orderstatus='O' THEN 'big open' WHEN o_totalprice>200000 THEN 'big' ELSE 'small' END AS size, 'DOUBLE' AS dt, 1::BIGINT AS il, 0::BIGINT AS id, o_custkey::VARCHAR AS t, NULL::BIGINT AS x FROM orders",
     ),
-}
-
-#: Joins put the side table first: both tables as one stream of rows, told apart by @fileid.
-JOINS: dict[str, tuple] = {
-    "join_inner": (
-        "m a as k, b as name where @fileid=1 | s a as k, @r[1][name] as name | f @fileid=2 and c = @r[1][k]",
-        lambda d: (d["customer"].selectExpr("c_custkey a", "c_name b", "null::long c"), d["orders"].selectExpr("o_orderkey a", "'' b", "o_custkey c")),
+    "text_lines": Case(
+        "s @line as n, @1 as word, @2+1 as next, strlen(@raw) as size",
+        (Lines("alpha 1\nbeta 2\ngamma delta 3"),),
+        "SELECT * FROM (VALUES (1::BIGINT, 'alpha', 2::DOUBLE, 7::BIGINT), (2, 'beta', 3, 6), (3, 'gamma', NULL, 13)) t(n, word, next, size)",
+    ),
+    "text_name_line": Case(
+        "p d/,/ | s city as city, round(people/2,1) as half, @fileline as line | f people > 10",
+        (Lines("a comment\ncity,people\nLuxor,30\nAswan,7\nGiza,90"),),
+        "SELECT * FROM (VALUES ('Luxor', 15::DOUBLE, 1::BIGINT), ('Giza', 45, 3)) t(city, half, line)",
+        {"nameline": True, "skip": 1},
+    ),
+    "text_wide_row": Case(
+        "p d/,/ | s concatcol(1,%,$,1,'+') as all, @% as width, when(isnull(@N)=0,@N,'-') as last | f anycol(1,%,$) = 'z'",
+        (Lines("\n".join(["a,b,z"] * 60 + ["c,d,e,f,z"])),),
+        "SELECT unnest(list_concat(list_transform(range(60), lambda x: 'a+b+z'), ['c+d+e+f+z'])) AS all, unnest(list_concat(list_transform(range(60), lambda x: 3::BIGINT), [5::BIGINT])) AS width, unnest(list_transform(range(61), lambda x: 'z')) AS last",
+        {"textonly": True},
     ),
-    "join_multikey": (
-        "m a as k, b as st, c as n where @fileid=1 | s c as k, @r[1][n] as n | f @fileid=2 and a = @r[1][k] and b = @r[1][st]",
-        lambda d: (d["orders"].groupBy("o_custkey", "o_orderstatus").count().toDF("a", "b", "c"), d["orders"].selectExpr("o_custkey a", "o_orderstatus b", "o_orderkey c")),
+    "string_plus": Case(
+        "s n_nationkey as k, n_name+'-'+n_regionkey as joined, (n_nationkey+1)*2 as twice",
+        ("nation",),
+        "SELECT n_nationkey AS k, n_name || '-' || n_regionkey AS joined, ((n_nationkey+1)*2)::BIGINT AS twice FROM nation",
     ),
-    "join_threeway": (
-        "m a as k, c as name where @fileid=1;a as k, b as up, c as name where @fileid=2 | s a as k, @r[2][name] as nation, @r[1][name] as region | f @fileid=3 and b = @r[2][k] and @r[2][up] = @r[1][k]",
-        lambda d: (d["region"].selectExpr("r_regionkey::long a", "0::long b", "r_name c"), d["nation"].selectExpr("n_nationkey::long a", "n_regionkey::long b", "n_name c"), d["supplier"].selectExpr("s_suppkey a", "s_nationkey::long b", "'' c")),
+    "sort_foreach": Case(
+        "s c_mktsegment as seg, c_custkey as k | o foreach(1,2,$) | l 7",
+        (("customer", only("c_mktsegment", "c_custkey")),),
+        "SELECT c_mktsegment AS seg, c_custkey AS k FROM customer ORDER BY 1, 2 LIMIT 7",
     ),
-    "join_theta": (
-        "m a as k, b as name where @fileid=1 | s b as a, @r[1][name] as b | f @fileid=2 and a < @r[1][k]",
-        lambda d: (d["region"].selectExpr("r_regionkey a", "r_name b"), d["nation"].selectExpr("n_regionkey a", "n_name b")),
+    "union_distinct": Case(
+        "s @1 as name | u",
+        (("nation", only("n_name")), ("nation", only("n_name")), ("region", lambda f: f.select(F.col("r_name").alias("n_name")))),
+        "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region",
     ),
-    "join_semi": (
-        "m a as k where @fileid=1 and b > 300000 | s a as k | f @fileid=2 and a in @r[1][k]",
-        lambda d: (d["orders"].selectExpr("o_custkey a", "o_totalprice b"), d["customer"].selectExpr("c_custkey a", "0.0d b")),
+    "variable_per_file": Case(
+        "s @fileid as f, @1 as name, @num as n, @all as total",
+        (("region", only("r_name")), ("nation", lambda f: f.select(F.col("n_name").alias("r_name")))),
+        "SELECT 1::BIGINT AS f, r_name AS name, row_number() OVER (ORDER BY r_regionkey) AS n, row_number() OVER (ORDER BY r_regionkey) AS total FROM region "
+        "UNION ALL SELECT 2, n_name, row_number() OVER (ORDER BY n_nationkey), (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_nationkey) FROM nation",
+        {"variables": "num:0:@num+1;all:0:@all+1:g"},
     ),
-    "join_anti": (
-        "m a as k where @fileid=1 | s a as k | f @fileid=2 and a noin @r[1][k]",
-        lambda d: (d["orders"].selectExpr("o_custkey a"), d["customer"].selectExpr("c_custkey a")),
+    "side_members": Case(
+        "s n_nationkey as k, rmember(1,1,1) as first, rmember(1,1,-1) as latest, rmember(1,1,3) as third, rmembers(1,1,1,2,'+') as two, rmemberid(1,1,n_name) as place, rcount(1) as seen",
+        ("nation",),
+        "SELECT n_nationkey AS k, first_value(n_name) OVER w AS first, n_name AS latest, nth_value(n_name, 3) OVER w AS third, "
+        "first_value(n_name) OVER w || coalesce('+' || nth_value(n_name, 2) OVER w, '') AS two, row_number() OVER w AS place, count(*) OVER w AS seen "
+        "FROM nation WINDOW w AS (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+        {"variables": "r:n_name"},
+    ),
+    "row_numbers": Case(
+        "s o_orderkey as k, @line as line, @row as row | f o_orderstatus = 'F'",
+        ("orders",),
+        "SELECT o_orderkey AS k, line, row_number() OVER (ORDER BY o_orderkey) AS row FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders) WHERE o_orderstatus = 'F'",
+    ),
+    "eval_fieldname": Case(
+        "s p_partkey as k, eval('p_size*2+1') as e, fieldname(1) as head",
+        (("part", lambda f: f.select("p_partkey", F.col("p_size").cast("long").alias("p_size"))),),
+        "SELECT p_partkey AS k, (p_size*2+1)::BIGINT AS e, 'p_partkey' AS head FROM part",
+    ),
+    "str_more": Case(
+        "s p_partkey as k, findnth(p_type,'A',1) as f1, findnth(p_type,'A',2) as f2, trimleft(concat('xx',p_type),'x') as tl, trimright(concat(p_type,'  ')) as tr, trim(concat('--',p_type,'-'),'-') as t, comparestr(p_type,'M') as c, nocasecomparestr(lower(p_type),p_type) as nc, camelstr(p_type) as cs, when(hash(p_type)=hash(concat(p_type,'')),1,0) as h, strlen(randstr(12,'uld')) as rs",
+        ("part",),
+        "SELECT p_partkey AS k, (instr(p_type,'A')-1)::BIGINT AS f1, CASE WHEN len(string_split(p_type,'A')) > 2 THEN len(string_split(p_type,'A')[1]) + 1 + len(string_split(p_type,'A')[2]) ELSE -1 END::BIGINT AS f2, p_type AS tl, p_type AS tr, p_type AS t, CASE WHEN p_type < 'M' THEN -1 WHEN p_type > 'M' THEN 1 ELSE 0 END::BIGINT AS c, 0::BIGINT AS nc, array_to_string(list_transform(string_split(p_type,' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS cs, 1::BIGINT AS h, 12::BIGINT AS rs FROM part",
+    ),
+    "str_addresses": Case(
+        "s p_partkey as k, isip(concat('10.0.',p_size,'.',p_partkey)) as ip, isip(concat(p_size,'.1.1')) as short, isipv6(concat('2001:db8::',p_size)) as six, isipv6(p_type) as no, ismac(concat('00:1A:2b:3c:4D:',pad('0',1),mod(p_size,10))) as mac, ismac(p_brand) as notmac",
+        ("part",),
+        "SELECT p_partkey AS k, CASE WHEN p_partkey <= 255 THEN 1 ELSE 0 END::BIGINT AS ip, 0::BIGINT AS short, 1::BIGINT AS six, 0::BIGINT AS no, 1::BIGINT AS mac, 0::BIGINT AS notmac FROM part",
+    ),
+    "str_part_ranges": Case(
+        "s p_partkey as k, regcountpart(p_type,'[A-Z]+') as n, reggetpart(p_type,'[A-Z]+',2) as second, reggetparts(p_type,'[A-Z]+',-1,1,1,'|') as back, regcalparts(concat(p_size,'-',p_partkey),'[0-9]+','sum',1,2) as total, calparts(concat(p_size,',',p_partkey),',','max',1,2) as top, calparts(concat(p_size,',',p_size,',7'),',','uniquecount',1) as kinds",
+        ("part",),
+        "SELECT p_partkey AS k, len(regexp_extract_all(p_type,'[A-Z]+'))::BIGINT AS n, regexp_extract_all(p_type,'[A-Z]+')[2] AS second, array_to_string(list_reverse(regexp_extract_all(p_type,'[A-Z]+')),'|') AS back, (p_size+p_partkey)::DOUBLE AS total, greatest(p_size,p_partkey)::DOUBLE AS top, CASE WHEN p_size = 7 THEN 1 ELSE 2 END::BIGINT AS kinds FROM part",
+    ),
+    "codec_constants": Case(
+        "s r_regionkey as k, hextodec(concat('1F',r_regionkey)) as h, hextodec('-ff') as neg, bintodec(concat('101',mod(r_regionkey,2))) as b, base64decode('c2lmdA==') as d, urldecode(concat('a%20b%2F',r_regionkey)) as u, urlencode(concat('x y/',r_regionkey)) as e, dectohex(-10-r_regionkey) as dh",
+        ("region",),
+        "SELECT r_regionkey AS k, (496+r_regionkey)::BIGINT AS h, -255::BIGINT AS neg, (10+r_regionkey%2)::BIGINT AS b, 'sift' AS d, 'a b/' || r_regionkey AS u, 'x+y%2f' || r_regionkey AS e, '-' || upper(to_hex(10+r_regionkey)) AS dh FROM region",
+    ),
+    "math_more": Case(
+        "s n_nationkey as k, round(exp2(n_nationkey),6) as e2, round(log(n_nationkey+1),9) as ln1, round(log2(n_nationkey+1),9) as l2, round(asin(n_nationkey/25),9) as asn, round(acos(n_nationkey/25),9) as acs, round(atan(n_nationkey),9) as atn, round(sinh(n_nationkey/10),9) as sh, round(cosh(n_nationkey/10),9) as ch, round(tanh(n_nationkey/10),9) as th, round(acosh(n_nationkey+1),9) as ach, round(atanh(n_nationkey/25),9) as ath, round(pi(),9) as p",
+        ("nation",),
+        "SELECT n_nationkey AS k, round(pow(2,n_nationkey),6) AS e2, round(ln(n_nationkey+1),9) AS ln1, round(log2(n_nationkey+1),9) AS l2, round(asin(n_nationkey/25),9) AS asn, round(acos(n_nationkey/25),9) AS acs, round(atan(n_nationkey),9) AS atn, round(sinh(n_nationkey/10),9) AS sh, round(cosh(n_nationkey/10),9) AS ch, round(tanh(n_nationkey/10),9) AS th, round(acosh(n_nationkey+1),9) AS ach, round(atanh(n_nationkey/25),9) AS ath, round(pi(),9) AS p FROM nation",
+    ),
+    "math_floats": Case(
+        "s n_nationkey as k, round(lgamma(n_nationkey+1),8) as lg, round(tgamma(n_regionkey+2),6) as g, round(erf(0),6) as e0, fma(n_nationkey,2.5,1) as f, copysign(n_nationkey+1,0-n_regionkey-1) as cs, ilogb(n_nationkey+1) as il, scalbn(n_nationkey,3) as sb, scalbln(n_nationkey,-1) as sl, isfinite(n_nationkey) as fin, isinf(n_nationkey) as inf, isnormal(n_nationkey) as nor, fpclassify(n_nationkey) as cls, when(random(5,9)>=5,1,0) as r",
+        ("nation",),
+        "SELECT n_nationkey AS k, round(lgamma(n_nationkey+1),8) AS lg, round(gamma(n_regionkey+2),6) AS g, 0::DOUBLE AS e0, n_nationkey*2.5::DOUBLE+1 AS f, -(n_nationkey+1)::DOUBLE AS cs, floor(log2(n_nationkey+1))::BIGINT AS il, (n_nationkey*8)::DOUBLE AS sb, n_nationkey/2 AS sl, 1::BIGINT AS fin, 0::BIGINT AS inf, CASE WHEN n_nationkey = 0 THEN 0 ELSE 1 END::BIGINT AS nor, CASE WHEN n_nationkey = 0 THEN 'ZERO' ELSE 'NORMAL' END AS cls, 1::BIGINT AS r FROM nation",
+    ),
+    "date_more": Case(
+        "s o_orderkey as k, comparedate(o_orderdate,'1995-01-01') as c, monthfirstmonday(o_orderdate) as mm, yearweek(o_orderdate) as yw, longtodate(datetolong(o_orderdate)) as ld, todate(dateformat(o_orderdate,'%Y-%m-%d'),'%Y-%m-%d') as td, datetolong(localtime(o_orderdate)) as lt, datetolong(gmtime(o_orderdate,2))-datetolong(gmtime(o_orderdate,0)) as gm, o_orderdate+3600 as hour, when(datetolong(now())>1000000000,1,0) as n",
+        ("orders",),
+        "SELECT o_orderkey AS k, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN -1 WHEN o_orderdate > TIMESTAMP '1995-01-01' THEN 1 ELSE 0 END::BIGINT AS c, date_trunc('month',o_orderdate)::TIMESTAMP + ((8-isodow(date_trunc('month',o_orderdate)))%7) * INTERVAL 1 DAY + (o_orderdate - date_trunc('day',o_orderdate)::TIMESTAMP) AS mm, ((dayofyear(o_orderdate)-1)//7 + CASE WHEN (dayofyear(o_orderdate)-1)%7 >= dayofweek(o_orderdate) THEN 1 ELSE 0 END)::BIGINT AS yw, strftime(o_orderdate,'%Y-%m-%d %H:%M:%S') || ' +0000' AS ld, strftime(o_orderdate,'%Y-%m-%d') AS td, epoch(o_orderdate)::BIGINT AS lt, 7200::BIGINT AS gm, o_orderdate + INTERVAL 1 HOUR AS hour, 1::BIGINT AS n FROM orders",
+    ),
+    "type_more": Case(
+        "s o_orderkey as k, detectdt(o_orderkey) as a, detectdt(o_orderpriority) as b, detectdt('2020-01-31') as c, detectdt('1.5') as d, isdate('2020-01-31') as e, isdate(o_orderpriority) as f, isstring(o_orderkey) as g, toint(o_custkey) as h, tofloat(o_custkey) as i",
+        ("orders",),
+        "SELECT o_orderkey AS k, 'LONG' AS a, 'STRING' AS b, 'DATE' AS c, 'DOUBLE' AS d, 1::BIGINT AS e, 0::BIGINT AS f, 1::BIGINT AS g, o_custkey::INTEGER AS h, o_custkey::DOUBLE AS i FROM orders",
+    ),
+    "machine": Case(
+        "s r_regionkey as k, isfile('/') as a, isfolder('/') as b, fileexist('/') as c, fileexist('/no/such') as d, filesize('/no/such') as e, issymblink('/') as f, getsymblink('/') as g, isexecutable('/') as h, fileattrs('/no/such') as i, when(strlen(hostname())>0,1,0) as j, when(strlen(myips())>=0,1,0) as l",
+        ("region",),
+        "SELECT r_regionkey AS k, 0::BIGINT AS a, 1::BIGINT AS b, 1::BIGINT AS c, 0::BIGINT AS d, -1::BIGINT AS e, 0::BIGINT AS f, '' AS g, 1::BIGINT AS h, '' AS i, 1::BIGINT AS j, 1::BIGINT AS l FROM region",
+    ),
+    "anti_visible": Case(
+        "m n_regionkey as r where n_nationkey >= 0 | s n_nationkey as k, n_regionkey as r | f n_regionkey noin @r[1][r]",
+        ("nation",),
+        "SELECT min(n_nationkey) AS k, n_regionkey AS r FROM nation GROUP BY 2",
     ),
 }
 
-
 class _Frames(dict):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
@@ -384,18 +509,11 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     case = CASES[name]
 
     def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if name in JOINS:
-            text, build = JOINS[name]
-            return run(spark, text, *[Table(f) for f in build(_Frames(spark, sf_dir))]).frame
-        tables = [source(spark, sf_dir, t) for t in case.tables]
-        if name == "report_footer":
-            text = "s c_mktsegment as seg, count(1) as n, max(c_acctbal) as top | g c_mktsegment | r 2:sum,3:max"
-            return run(spark, text, *tables).report
-        if name == "unique_fields":
-            out = run(spark, "s n_nationkey, n_regionkey, n_name | u f | o n_nationkey", *tables).frame
-            cells = F.col(out.columns[0])
-            return _keyed(out, cells)
-        return run(spark, case.query, *tables, **case.options).frame
+        if callable(case.tables):
+            sources = [Table(f) for f in case.tables(_Frames(spark, sf_dir))]
+        else:
+            sources = [source(spark, sf_dir, t) for t in case.tables]
+        return case.after(run(spark, case.query, *sources, **case.options))
 
     return ask
 
@@ -408,7 +526,3 @@ def _keyed(out: DataFrame, cells) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query(name) for name in CASES}
 ORACLE_SQL: dict[str, str] = {name: case.sql for name, case in CASES.items()}
-ORACLE_SQL["unique_fields"] = (
-    "SELECT array_to_string(c, '|') AS cells, len(list_filter(c, lambda x: regexp_matches(x, '^[0-9]+$')))::BIGINT AS numbers FROM "
-    "(SELECT list_sort(list_distinct([n_nationkey::VARCHAR, n_regionkey::VARCHAR, n_name])) AS c FROM nation)"
-)

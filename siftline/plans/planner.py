@@ -31,7 +31,6 @@ HIERARCHY = frozenset("root parent path".split())
 MACROS = frozenset("foreach coltorow anycol allcol".split())
 SIDE = frozenset("rcount rmember rmembers rmemberid".split())
 RESERVED = frozenset("RAW ROW FILE LINE FILEID FILELINE N % LEVEL NODEID ISLEAF ROOT PATH DUPID".split())
-WIDTH_SAMPLE = 50
 
 
 @dataclass
@@ -392,9 +391,12 @@ class Plan:
                     parsing.delimited(F.col("_raw"), mode) if mode.kind == "delimiter" else F.array("_raw")
                 ).first()[0]
                 names = tuple(x.strip().upper() for x in got)
-            sizes = [r[0] for r in rows.select(F.size("_f")).limit(WIDTH_SAMPLE).collect()]
+            sizes = [r[0] for r in rows.select(F.size("_f")).limit(max(1, self.options.detect_rows)).collect()]
             width = len(names) or max(sizes, default=1)
             self.ragged = not names and mode.kind == "delimiter"
+            if self.ragged and "%" in self._all_text():
+                # the widest of all rows, as items up to the last field are asked for
+                width = max(width, rows.agg(F.max(F.size("_f"))).first()[0] or 0)
             self.fields = [Val(F.get("_f", F.lit(i)), STRING) for i in range(width)]
         self.names = {n: i for i, n in enumerate(names, 1) if n}
         self.headings = [n or f"@FIELD{i}" for i, n in enumerate(names or [""] * len(self.fields), 1)]
@@ -698,6 +700,9 @@ class Plan:
     def _horizontal(self, call: Call):
         items = self.each(call)
         rest = call.args[3:]
+        if call.name == "concatcol" and self.ragged:
+            # a row's own fields only
+            return Call("_concatcol", ((rest[1] if len(rest) > 1 else Lit(""), *items),))
         if call.name == "concatcol":
             mark = rest[1] if len(rest) > 1 else Lit("")
             out = []
@@ -716,6 +721,13 @@ for _op in ("sum", "average", "max", "min", "count", "uniquecount"):
     scalar.FUNCTIONS[f"_calcol_{_op}"] = _build
 
 
+def _joined(mark: Val, *items: Val) -> Val:
+    return Val(F.array_join(F.array(*[text(x) for x in items]), str(mark.literal)), STRING)
+
+
+scalar.FUNCTIONS["_concatcol"] = _joined
+
+
 def detected(value: str) -> tuple[str, str | None]:
     """Type and date layout of a value: date, whole number, number, else text."""
     layout = dates.detect(value)
