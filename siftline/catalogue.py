@@ -158,6 +158,11 @@ CASES: dict[str, Case] = {
         ("orders",),
         "SELECT o_custkey AS cust, arg_min(o_orderstatus, o_orderkey) AS first_status, 0::BIGINT AS zero, count(*) AS n FROM orders GROUP BY 1",
     ),
+    "agg_first_row": Case(
+        "s o_custkey as cust, o_orderstatus as first_status, count(1) as n | g o_custkey",
+        ("orders",),
+        "SELECT o_custkey AS cust, arg_min(o_orderstatus, o_orderkey) AS first_status, count(*) AS n FROM orders GROUP BY 1",
+    ),
     "report_footer": Case(
         "s c_mktsegment as seg, count(1) as n, max(c_acctbal) as top | g c_mktsegment | r 2:sum,3:max",
         ("customer",),
