@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import bucketed
-from siftline.llm.hashing import WordHashes
+from siftline.llm.hashing import FlatHashes, flat, spaced
 
 #: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
 BLOCK_WORDS = 2_200_000
@@ -49,45 +49,61 @@ def places(lengths: np.ndarray) -> np.ndarray:
     return (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None, most: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, bytes and offsets of rows that together have at most so many bytes, or of one row."""
+    for batch in batches:
+        data, offsets = flat(batch.column("text"))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
+            hi = min(max(hi, lo + 1), lo + BLOCK_ROWS, batch.num_rows)
+            yield batch.column("key").slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None) -> Iterator[pa.RecordBatch]:
+    hashes = FlatHashes()
+    table = np.frombuffer(fold, np.uint8) if fold else None
     first = TaskContext.get().partitionId() << 32
-    count, rows, held = 0, [], 0
+    count, held, keys, words, lengths = 0, 0, [], [], []
 
     def block() -> pa.RecordBatch:
-        words = np.concatenate([x for _, x in rows])
-        n_words = len(words)
-        lengths = np.array([len(x) for _, x in rows])
-        keys = pa.concat_arrays([k for k, _ in rows])
-        rows.clear()
-        vocabulary, number, n = np.unique(words, return_inverse=True, return_counts=True)
-        del words
-        by_count = np.argsort(-n, kind="stable")  # small numbers pack well, and so do ascending hashes
+        rows, n = pa.concat_arrays(keys), np.concatenate(lengths)
+        x = np.concatenate(words)
+        for part in (keys, words, lengths):
+            part.clear()
+        vocabulary, number, times = np.unique(x, return_inverse=True, return_counts=True)
+        total = len(x)
+        del x
+        by_count = np.argsort(-times, kind="stable")  # small numbers pack well, and so do ascending hashes
         by_count[FREQUENT:].sort()
-        rank = np.empty(len(n), np.uint64)
-        rank[by_count] = np.arange(len(n), dtype=np.uint64)
+        rank = np.empty(len(times), np.uint32)
+        rank[by_count] = np.arange(len(times), dtype=np.uint32)
+        number = rank[number]
         ordered = vocabulary[by_count]
         ordered[FREQUENT + 1 :] -= ordered[FREQUENT:-1].copy()
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([first + count], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                pa.array([n_words], pa.int64()),
-                *(pa.array([packed(x)], pa.binary()) for x in (lengths, ordered, rank[number])),
+                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+                pa.array([total], pa.int64()),
+                *(pa.array([packed(p)], pa.binary()) for p in (n, ordered, number)),
             ],
             names=["block", "keys", "n", "lengths", "vocabulary", "words"],
         )
 
-    for batch in batches:
-        key, text = batch.column("key"), batch.column("text").cast(pa.binary())
-        for i in range(batch.num_rows):
-            x = hashes.of((text[i].as_py() or b"").translate(fold).split())
-            if rows and (held + len(x) > most or len(rows) == BLOCK_ROWS):
-                yield block()
-                count, held = count + 1, 0
-            rows.append((key.slice(i, 1), x))
-            held += len(x)
-    if rows:
+    for some, data, offsets in _slices(batches, 1 << 20):
+        if table is not None:
+            data = table[data]
+        starts, ends = spaced(data, offsets)
+        if keys and (held + len(starts) > BLOCK_WORDS or sum(map(len, keys)) + len(some) > BLOCK_ROWS):
+            yield block()
+            count, held = count + 1, 0
+        keys.append(some)
+        words.append(hashes.of(data, starts, ends))
+        lengths.append(np.diff(np.searchsorted(starts, offsets)))
+        held += len(starts)
+    if keys:
         yield block()
 
 
@@ -98,16 +114,16 @@ def words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary[unpacked(row["words"]).view(np.int64)], unpacked(row["lengths"]).view(np.int64)
 
 
-def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None, most: int = BLOCK_WORDS) -> DataFrame:
+def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None) -> DataFrame:
     """Blocks of rows: keys, n (words), words per row, hashes of the distinct words, and each word's number there.
 
-    fold: a translation of the text's bytes; most: words of a block of several texts. The table is written, as blocks are told apart by where they were
+    fold: a translation of the text's bytes. The table is written, as blocks are told apart by where they were
     made, and in buckets, so that they need not move to meet their counts.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary"
-    return bucketed(rows.mapInArrow(lambda batches: _blocks(batches, fold, most), schema), "block")
+    return bucketed(rows.mapInArrow(lambda batches: _blocks(batches, fold), schema), "block")
 
 
 def least_hash(slot: int, slots: int, bits: int) -> int:

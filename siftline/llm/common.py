@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,5 +73,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def identified(df: DataFrame, name: str) -> DataFrame:
+    """df with a column that tells its rows apart whenever it is read: file and place of rows of files, else numbers in a written copy."""
+    try:
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:  # no rows of files
+        return written(numbered(df, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

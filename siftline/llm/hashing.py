@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 MASK = (1 << 64) - 1
@@ -60,3 +61,55 @@ class Rolling:
 
     def between(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (sums[stop] - sums[start]) * self.down[start]
+
+
+class FlatHashes:
+    """Hashes of words that lie in one byte array, all at once."""
+
+    #: Bytes of a word that is known by a polynomial hash; longer ones by another.
+    LONG = 64
+    #: Bytes whose prefix sums are held at a time.
+    WINDOW = 1 << 20
+
+    def __init__(self):
+        self.rolling = Rolling(0x5851F42D4C957F2D)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + self.WINDOW, side="right")))
+            first = int(starts[lo])
+            if ends[hi - 1] - first <= self.WINDOW:
+                sums = self.rolling.prefix(data[first : ends[hi - 1]].astype(np.uint64) + np.uint64(1))
+                out[lo:hi] = self.rolling.between(sums, starts[lo:hi] - first, ends[lo:hi] - first)
+            lo = hi
+        length = ends - starts
+        out = mix(out ^ length.astype(np.uint64), 61)
+        for i in np.flatnonzero(length > self.LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        return out
+
+
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts laid end to end, and where each begins (and the last ends). A null is an empty text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end: runs of bytes without white space inside one text."""
+    word = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    after_space, before_space = np.ones(len(word), bool), np.ones(len(word), bool)
+    after_space[1:] = ~word[:-1]
+    before_space[:-1] = ~word[1:]
+    return np.flatnonzero(word & (edge[:-1] | after_space)), np.flatnonzero(word & (edge[1:] | before_space)) + 1

@@ -11,8 +11,9 @@ Copies can be counted as one page (pages_of), so that a text that many rows of a
 boilerplate for that.
 
 Defined results: a null text stays null; rows without a host are unchanged; a line that a page
-repeats counts once for it; repeated rows count as pages each; an empty table gives an empty table;
-the input's columns are returned, with the text replaced.
+repeats counts once for it; repeated rows count as pages each; a very long text is cleaned whole; a ratio
+that equals the limit keeps the line; an empty table gives an empty table; the input's columns are
+returned, with the text replaced, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def boilerplate(
         held = pages.select(F.col(host).alias("host"), F.explode(keys).alias("line"))
     else:
         row = next(c for c in pages_of.columns if c != "page")
-        known = pages.select(row, F.col(host).alias("host"), keys.alias("keys")).join(pages_of, row)
+        known = pages.select(F.col(f"`{row}`"), F.col(host).alias("host"), keys.alias("keys")).join(pages_of, row)
         owners = known.select("host", "page").distinct()
         held = known.select("host", "page", F.explode("keys").alias("line")).distinct()
     totals = owners.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
@@ -69,12 +70,12 @@ def without_boilerplate(
     """docs with the host's boilerplate lines dropped from the text."""
     drop = written(boilerplate(docs, text, host, ratio, min_pages, min_line_pages, pages_of))
     # a host has at most (lines a page) / ratio such lines, so that a list per host is short
-    lists = drop.groupBy(F.col("host").alias("_drop_host")).agg(F.collect_set("line").alias("_drop"))
+    lists = drop.groupBy(F.col("host").alias("h")).agg(F.collect_set("line").alias("drop"))
     if drop.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    joined = docs.join(lists, F.col(f"`{host}`") == F.col("_drop_host"), "left")
-    left = F.array_join(
-        F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_drop", _line_key(x))), "\n"
-    )
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(left)
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    # the input's columns travel in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(lists, F.col("row")[host] == F.col("h"), "left")
+    left = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x: ~F.array_contains("drop", _line_key(x))), "\n")
+    cleaned = F.when(F.col("drop").isNull(), F.col("row")[text]).otherwise(left)
+    return joined.select(*[(cleaned if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.blocks import SLOT_WORDS, blocks, elsewhere, packed, places, unpacked, words_of
-from siftline.llm.common import dropped, numbered, written
+from siftline.llm.common import dropped, identified, written
 from siftline.llm.components import labelled
 from siftline.llm.hashing import mix
 
@@ -231,6 +231,15 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
     shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     lists = written(lists.join(shared, "key"))
     links = None
+
+    def more(found: DataFrame) -> DataFrame:
+        if links is None:
+            return found
+        both = written(links.unionByName(found))
+        dropped(links)
+        dropped(found)
+        return both
+
     for round_ in range(0 if every else ROUNDS):
         pivot = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("v", F.lit(round_)).alias("h"), "v", "n", "marks", "label")).alias("p"))
         pairs = (
@@ -239,12 +248,14 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
             .select(F.col("v").alias("a"), F.col("p.v").alias("b"))
             .distinct()
         )
-        found = _links(written(pairs), vertices, num, den)
-        links = found if links is None else written(links.unionByName(found))
+        pairs = written(pairs)
+        links = more(_links(pairs, vertices, num, den))
         labels = _labels(vertices, links)
         before, lists = lists, _lists(lists, labels)
-        dropped(before)
+        for table in (pairs, labels, before):
+            dropped(table)
         if lists.isEmpty():
+            dropped(lists)
             return links
     # the members outside of a list's largest component meet all members of other components
     members = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -259,8 +270,10 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
     # two members that are both outside of the largest meet once
     met = met.where(F.col("v") < F.col("_v")) if every else met.where((F.col("_label") == F.col("main")) | (F.col("v") < F.col("_v")))
     pairs = written(met.select(F.greatest("v", "_v").alias("a"), F.least("v", "_v").alias("b")).distinct())
-    found = _links(pairs, vertices, num, den)
-    return found if links is None else written(links.unionByName(found))
+    links = more(_links(pairs, vertices, num, den))
+    for table in (pairs, lists):
+        dropped(table)
+    return links
 
 
 def grouped(
@@ -292,16 +305,19 @@ def grouped(
     )
     links = similar_links(vertices, num, den, count_links)
     labels = _labels(vertices, links)
-    named = sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("least"))
-    per_vertex = named.join(labels, "v")
+    dropped(vertices)
+    per_vertex = written(sets.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("least")).join(labels, "v"))
     component = per_vertex.groupBy("label").agg(F.min("least").alias("component"))
-    per_vertex = per_vertex.join(component, "label").select("v", "component")
+    found = per_vertex.join(component, "label").select("v", "component")
     columns = ["id", "n", F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")]
     if count_links:
         sides = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v")))
-        per_vertex = per_vertex.join(sides.groupBy("v").agg(F.count(F.lit(1)).alias("links")), "v", "left")
+        found = found.join(sides.groupBy("v").agg(F.count(F.lit(1)).alias("links")), "v", "left")
         columns.append(F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return sets.select("id", "n", "v").join(per_vertex, "v", "left").select(*columns)
+    out = written(sets.select("id", "n", "v").join(found, "v", "left").select(*columns))
+    for table in (sets, links, labels, per_vertex):
+        dropped(table)
+    return out
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -309,7 +325,7 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
 
     Rows without words are linked with nothing, so that each of them stays.
     """
-    rows = written(numbered(docs, "_group_row"))
+    rows = identified(docs, "_group_row")
     groups = grouped(rows, "_group_row", text, **options)
     ranked = rows.select("_group_row", F.col(key).alias("_id")).join(groups.withColumnRenamed("id", "_group_row"), "_group_row")
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_group_row")

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import written
-from siftline.llm.hashing import Rolling, mix
+from siftline.llm.hashing import FlatHashes, flat
 
 #: Rank groups: pieces of a length are numbered within such a group, then groups are laid end to end.
 GROUPS = 1024
@@ -39,11 +38,6 @@ CLASSES[[*range(65, 91), *range(97, 123)]] = 1
 CLASSES[[ord(c) for c in ".,;:!?"]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of a word that is known by a polynomial hash; longer ones by another.
-LONG_WORD = 64
-#: Bytes whose prefix sums are held at a time.
-WINDOW = 1 << 20
-
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin and end in texts laid end to end.
@@ -81,7 +75,7 @@ class WordIds:
         #: ids that end a word
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
-        self.rolling = Rolling(0x5851F42D4C957F2D)
+        self.word_hashes = FlatHashes()
         self.clear()
 
     def clear(self) -> None:
@@ -93,28 +87,12 @@ class WordIds:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _hashed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        lo = 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + WINDOW, side="right")))
-            first = int(starts[lo])
-            if ends[hi - 1] - first <= WINDOW:
-                sums = self.rolling.prefix(data[first : ends[hi - 1]].astype(np.uint64) + np.uint64(1))
-                out[lo:hi] = self.rolling.between(sums, starts[lo:hi] - first, ends[lo:hi] - first)
-            lo = hi
-        length = ends - starts
-        out = mix(out ^ length.astype(np.uint64), 61)
-        for i in np.flatnonzero(length > LONG_WORD).tolist():
-            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-        return out
-
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and where each text's ids begin (and the last's end)."""
         if b"<|" not in data.tobytes():  # special tokens are told by their case
             data = LOWER[data]
         starts, ends = cut_words(data, offsets)
-        distinct, example, word = np.unique(self._hashed(data, starts, ends), return_index=True, return_inverse=True)
+        distinct, example, word = np.unique(self.word_hashes.of(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > self.LIMIT:
             self.clear()
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
@@ -180,15 +158,11 @@ def cutter(tokenizer_file: str, key: str, text: str, room: int, end_id: int):
         for big in batches:
             for lo in range(0, big.num_rows, 512):
                 batch = big.slice(lo, 512)
-                texts = batch.column(text).cast(pa.large_binary()).fill_null(b"")
-                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-                data = texts.buffers()[2]
-                data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-                flat, begin = known.encoded(data, offsets - offsets[0])
-                flat, begin = flat.tobytes(), (4 * begin).tolist()
+                ids, begin = known.encoded(*flat(batch.column(text)))
+                ids_of, begin = ids.tobytes(), (4 * begin).tolist()
                 source, piece, start, length, crc = [], [], [], [], []
                 for i in range(batch.num_rows):
-                    ids = flat[begin[i] : begin[i + 1]] + end
+                    ids = ids_of[begin[i] : begin[i + 1]] + end
                     for n, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
                         source.append(i)

@@ -6,8 +6,9 @@ CASE expression stops at the first that fires. The order changes the cost only:
 if no rule rejects it.
 
 Defined results: a null text counts as an empty one; an empty text has no words and fails the base
-rule; repeated rows are judged one by one; an empty table gives an empty table; columns of the
-input whose names clash are not used, as the operator works on the text expression it is given.
+rule; repeated rows are judged one by one; a very long text is judged whole; of rules that gain alike
+the one listed first runs first; an empty table gives an empty table; `quality` replaces an input
+column of that name in judged(), and kept() returns the input's columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -174,5 +175,5 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 def kept(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """Rows of docs that the cascade keeps, with the columns of docs."""
-    names = docs.columns
-    return judged(docs, text, **options).where(F.col("quality.kept")).select(*names)
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))  # no name of the input's can clash
+    return judged(rows, "text", **options).where(F.col("quality.kept")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,10 +2,12 @@
 
 Candidates are found by pattern in the whole text. Each candidate's value is hashed, and over the
 corpus the distinct owners and repositories that hold it are counted: a value that several owners
-share is a widely copied example, one that belongs to few is a live-looking credential.
+share, or very many repositories of one, is a widely copied example, one that belongs to few is a
+live-looking credential.
 
 Defined results: a null text counts as an empty one, without spans; a null owner or repository counts
-as no owner or repository; repeated rows are scanned each and count once per repository; an
+as no owner or repository; repeated rows are scanned each and count once per repository; a very
+long text is scanned whole; of spans that begin together the kind listed first comes first; an
 empty table gives an empty table; the input's own columns are returned unchanged beside `secrets`,
 which replaces an input column of that name.
 """
@@ -45,6 +47,8 @@ KINDS = (
     Kind("jwt", False, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, "eyJ"),
     Kind("pem", False, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 60, "PRIVATE KEY"),
 )
+#: A value in more spans is joined to its verdict in so many parts.
+OFTEN, SALTS = 100_000, 64
 SPAN = "array<struct<start:int,k:int,stop:int,hash:string>>"
 
 
@@ -108,46 +112,43 @@ def scanned(
     repository: str = "doc_id",
     kinds: tuple[Kind, ...] = KINDS,
     example_owners: int = 3,
+    example_repositories: int = 20,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The columns `keep` of docs (all, unless given) and `secrets`: array of start, k, stop, owners, repositories, live.
 
-    A value that example_owners owners or more hold is an example: live is false for it.
+    A value that example_owners owners or more hold, or example_repositories repositories of any owners, is an
+    example: live is false for it.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c != "secrets"]
-    base = written(
-        numbered(
-            docs.select(
-                *[F.col(f"`{c}`") for c in names],
-                F.col(owner).alias("_secret_owner"),
-                F.col(repository).alias("_secret_repo"),
-                candidates(F.col(text), kinds).alias("_secret_spans"),
-            ),
-            "_secret_row",
-        )
-    )
-    spans = base.where(F.size("_secret_spans") > 0).select(
-        "_secret_row", "_secret_owner", "_secret_repo", F.inline("_secret_spans")
-    )
-    held = spans.groupBy("hash").agg(
-        F.count_distinct("_secret_owner").alias("owners"), F.count_distinct("_secret_repo").alias("repositories")
-    )
+    shown = [F.col(f"`{c}`") for c in names]
+    found = candidates(F.col(f"`{text}`"), kinds)
+    # rows without a candidate, nearly all as a rule, stay where they are; their texts need not meet any verdict
+    rows = docs.select(*shown, F.col(f"`{owner}`").alias("_secret_owner"), F.col(f"`{repository}`").alias("_secret_repo"), found.alias("_secret_spans"))
+    held = written(numbered(rows.where(F.size("_secret_spans") > 0), "_secret_row"))
+    spans = held.select("_secret_row", "_secret_owner", "_secret_repo", F.inline("_secret_spans"))
+    # of a value its distinct owners and repositories, each counted after a distinct, so that a frequent value makes no large group
+    owners = spans.select("hash", "_secret_owner").distinct().groupBy("hash").agg(F.count("_secret_owner").alias("owners"))
+    repos = spans.select("hash", "_secret_repo").distinct().groupBy("hash").agg(F.count("_secret_repo").alias("repositories"))
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
+    judged = written(owners.join(repos, "hash").select("hash", "owners", "repositories", live.alias("live")))
+    # values that many rows hold are few: they are joined apart, so that none makes a large task
+    often = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("hash")
+    placed = spans.select("_secret_row", "start", "k", "stop", "hash").join(often.withColumn("_often", F.lit(True)), "hash", "left")
+    placed = placed.withColumn("_salt", F.when(F.col("_often"), F.pmod("_secret_row", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    dealt = judged.join(often.withColumn("_often", F.lit(True)), "hash", "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    )
+    verdict = F.struct("start", "k", "stop", "owners", "repositories", "live")
     verdicts = (
-        spans.select("_secret_row", "start", "k", "stop", "hash")
-        .join(held, "hash")
+        placed.drop("_often")
+        .join(dealt.drop("_often"), ["hash", "_salt"])
         .groupBy("_secret_row")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("start", "k", "stop", "owners", "repositories", (F.col("owners") < example_owners).alias("live"))
-                )
-            ).alias("secrets")
-        )
+        .agg(F.sort_array(F.collect_list(verdict)).alias("secrets"))
     )
     empty = F.array().cast(verdicts.schema["secrets"].dataType)
-    return base.join(verdicts, "_secret_row", "left").select(
-        *[F.col(f"`{c}`") for c in names], F.coalesce("secrets", empty).alias("secrets")
-    )
+    with_spans = held.join(verdicts, "_secret_row").select(*shown, "secrets")
+    return rows.where(F.size("_secret_spans") == 0).select(*shown, empty.alias("secrets")).unionByName(with_spans)
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import (
-    blocks, components, html_text, line_dedup, lm_scores, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup, topk,
+    blocks, components, hashing, html_text, line_dedup, lm_scores, ngram_join, packing, pieces, quality_rules, secrets, substring_dedup, topk,
 )
 from tests.llm.fixtures import documents, empty
 
@@ -234,7 +234,7 @@ def test_word_ids_are_the_library_s(monkeypatch):
         "\x85", "Σας", "İstanbul", "漢字", "😀", "word", "Word,", "WORD!?", "3.14", "...", "a:b;c", "'S", "ß", "_", "\n", "\x0b", "x" * 90, "\0",
     ]
     texts = ["".join(r.choice(bits) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 20))) for _ in range(600)]
-    monkeypatch.setattr(packing, "WINDOW", 100)
+    monkeypatch.setattr(hashing.FlatHashes, "WINDOW", 100)
     monkeypatch.setattr(packing.WordIds, "LIMIT", 150)
     for lo in range(0, 600, 40):
         part = pa.array(texts[lo : lo + 40], pa.large_string())
