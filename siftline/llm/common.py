@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 
 
+#: Tables of this process that were not dropped yet.
+_kept: list[DataFrame] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -45,6 +50,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._siftline_path = path
+    _kept.append(table)
     return table
 
 
@@ -56,18 +62,29 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     table = spark.table(name)
     table._siftline_path, table._siftline_name = path, name
+    _kept.append(table)
     return table
 
 
 def dropped(table: DataFrame) -> None:
     """Deletes a table of written() or bucketed() that nothing will read again."""
     spark = table.sparkSession
+    _kept[:] = [t for t in _kept if t is not table]
     if hasattr(table, "_siftline_name"):
         spark.sql(f"DROP TABLE IF EXISTS {table._siftline_name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(table._siftline_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def handed_over(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; the tables that were made for it are dropped."""
+    before = set(map(id, _kept))
+    out = written(make())
+    for table in [t for t in _kept if id(t) not in before and t is not out]:
+        dropped(table)
+    return out
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a unique row number; write it before the number is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
