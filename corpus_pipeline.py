@@ -2,6 +2,10 @@
 
 Each stage works on the documents that the one before it kept; all but the last return the columns
 of documents.
+
+Defined results: rows with a null text go with the quality rules, as do empty and blank ones; rows with a
+null id are judged like others and go last among near copies; rows that repeat are near copies of one
+another, so that one stays; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import line_dedup, ngram_join, packing, quality_rules, secrets
-from siftline.llm.common import documents, numbered, written
+from siftline.llm.common import documents, dropped, handed_over, identified
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +25,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their source's boilerplate lines. Exact and near copies count as one page, wordless texts too."""
-    rows = written(numbered(docs, "_row"))
+    rows = identified(docs, "_row")
     groups = ngram_join.grouped(rows, "_row")
-    page = F.when(F.col("n") > 0, F.col("component")).otherwise(-1)
-    pages_of = written(groups.select(F.col("id").alias("_row"), page.alias("page")))
+    # pages without words have a null page: they hold no line, and count as one page
+    pages_of = groups.select(F.col("id").alias("_row"), F.when(F.col("n") > 0, F.col("component")).alias("page"))
     # a line on two distinct pages is the least that a ratio can judge, whatever the source's size
     cleaned = line_dedup.without_boilerplate(rows, min_pages=2, min_line_pages=2, pages_of=pages_of)
     return with_length(cleaned.select(*docs.columns))
@@ -69,8 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        docs = handed_over(lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if before is not None:
+            dropped(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
