@@ -188,6 +188,95 @@ def test_html_formulas_drawings_options_dialogs():
     assert text("<datalist><option>no</datalist>yes") == "yes"
 
 
+def test_html_spans_sections_and_styles():
+    text = html_text.visible_text
+    assert text("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert text("<table><tr><td>A<td rowspan=3 colspan=2>B<td>C<tr><td>D<td>E<tr><td>F</table>") == "A  B  C\nD     E\nF"
+    assert text("<table><tr><td colspan=5000>A<td>B<tr><td>C</table>") == "A  B\nC"
+    assert text("<table><tfoot><tr><td>total<tbody><tr><td>x<thead><tr><td>name</table>") == "name\nx\ntotal"
+    assert text("<style>.no, #gone {color: red; display:none} p.b{visibility:hidden} @media print {.c{display:none}}</style><p class='a no'>1<p id=gone>2<p class=b>3<p class=c>4") == "4"
+    assert text("<style>.x{display:none}</style><p class=x style='display:block'>shown") == "shown"
+    assert text("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<table><tr><td>d</table></div>") == "b"
+    assert text("<input type=submit value=Send><input type=text value=no>") == "Send"
+    assert text("a < b <3 <") == "a < b <3 <" and text("x<a title='open") == "x" and text("a<?php x?>b</ c>d") == "abd"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><tr><td>" * 5000 + "deep", "deep"),
+        ("<a " * 350_000, ""),
+        ("<div>" * 100_000 + "deep", "deep"),
+        ("<p><button>" + "<span>" * 50_000 + "<div>" * 50_000 + "deep", "deep"),
+        ("<ol>" + "<li>x" * 50_000, None),
+        ("<ul><li>" * 3_000 + "deep", None),
+        ("<!-- " * 100_000, ""),
+        ("</p>" * 50_000 + "x", "x"),
+        ("<td>" * 50_000 + "x", "x"),
+        ("<table>" + "<tr><td rowspan=9999>" * 2_000 + "x", None),
+        ("<b class='x y z'>w " * 20_000, None),
+        ("x &amp; " * 100_000, None),
+    ],
+)
+def test_html_takes_time_in_proportion(page, want):
+    import time
+
+    began = time.process_time()
+    got = html_text.visible_text(page)
+    assert time.process_time() - began < 2
+    assert want is None or got == want
+
+
+def test_html_against_another_renderer():
+    """Random pages of nested blocks, against a recursive renderer over the standard library's parser."""
+    import random
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        hidden, out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "nav") and (tag == "script" or ("hidden", None) in attrs):
+                self.hidden += 1
+            elif tag in ("p", "div", "li", "td", "h2", "br"):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "nav") and self.hidden:
+                self.hidden -= 1
+            elif tag in ("p", "div", "li", "td", "h2"):
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    r = random.Random(8)
+
+    def block(depth):
+        kind = r.choice(["p", "div", "ul", "table", "h2", "text", "script", "nav"])
+        word = lambda: r.choice(["alpha", "be&amp;ta", "<b>gam</b>ma", "d &lt; e", "<i>x</i> y"])
+        if kind == "text" or depth > 4:
+            return word() + "<br>"
+        if kind in ("p", "h2"):
+            return f"<{kind}>{word()} {word()}</{kind}>"
+        if kind == "div":
+            return f"<div>{''.join(block(depth + 1) for _ in range(r.randint(1, 3)))}</div>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{word()}</li>" for _ in range(r.randint(1, 3))) + "</ul>"
+        if kind == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{block(depth + 2)}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>"
+        return "<script>if (a < b) c</script>" if kind == "script" else f"<nav hidden>{word()}</nav>"
+
+    for _ in range(150):
+        page = "".join(block(0) for _ in range(r.randint(1, 6)))
+        other = Words()
+        other.out = []
+        other.feed(page)
+        got = html_text.visible_text(page)
+        assert [w for w in got.split() if w != "-"] == [w for w in "".join(other.out).split() if w != "-"]
+
+
 def test_html_frame(spark):
     frame = spark.createDataFrame([(1, "<p>a</p>", "x"), (2, None, "y"), (1, "<p>a</p>", "x")], "page_id long, html string, text string")
     assert sorted(html_text.extracted(frame).collect(), key=repr) == [(1, "a"), (1, "a"), (2, None)]
