@@ -109,6 +109,36 @@ def test_topk(spark):
     assert topk.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def clustered(r, n, groups=40, size=16):
+    middles = r.normal(size=(groups, size)) * 300
+    return np.rint(middles[r.integers(0, groups, n)] + r.normal(size=(n, size)) * 12).astype(np.int64)
+
+
+def test_trees_prune():
+    r = np.random.default_rng(3)
+    x = clustered(r, 3000)
+    tally: list[int] = []
+    got = topk.best(x[:200], np.arange(200), x, np.arange(3000), 5, tally=tally)
+    assert tally[0] < 200 * 3000 / 2
+    want = brute_topk(list(enumerate(x.tolist())), dict(enumerate(x[:200].tolist())), 5)
+    assert {(q, n + 1, v, s) for q, found in enumerate(got) for n, (s, v) in enumerate(found)} == want
+
+
+def test_cells_prune(spark):
+    r = np.random.default_rng(4)
+    x = clustered(r, 2000)
+    centres = topk.centres_of(x[:800], 64)
+    gap = ((x[:, None] - centres) ** 2).sum(axis=2)
+    radius = np.array([np.sqrt(gap[gap.argmin(axis=1) == c, c].max()) for c in range(len(centres))])
+    kth = np.sort(x[:100] @ x.T, axis=1)[:, -6].astype(float)
+    hit = topk.reached(x[:100].astype(float), centres, radius, kth)
+    assert hit.mean() < 0.5
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate((x / 256).tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = topk.nearest(frame, F.col("vec_id") % 20 == 0, shard_rows=60, block_rows=7)
+    want = brute_topk(list(enumerate(x.tolist())), {i: x[i].tolist() for i in range(0, 2000, 20)}, 5)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_cover_tree_covers():
     r = np.random.default_rng(2)
     tree = topk.CoverTree(r.integers(-50, 50, (500, 6)))
