@@ -85,6 +85,22 @@ def handed_over(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, total: int, kept: str) -> DataFrame:
+    """big joined to small (one row a key) on keys, with the rows of frequent keys dealt over several tasks.
+
+    counts: keys and n, the rows of big that hold them; total: their sum. A key is frequent from
+    max(20,000, total / 100,000) rows on, so that at most 100,000 keys are: that list is broadcast.
+    kept: a column of big that tells the rows of a key apart.
+    """
+    most = max(20_000, total // 100_000)
+    often = counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_salts"))
+    often = F.broadcast(often)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(often, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(kept), salts).cast("int")).drop("_salts")
+    right = small.join(often, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a unique row number; write it before the number is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

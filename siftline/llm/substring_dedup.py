@@ -4,18 +4,21 @@ A window is `length` consecutive words. Its anchor is its least-hash k-gram (win
 ties), which depends on the window's words only, so equal windows have equal anchors. Successive
 windows of a document that share an anchor form one occurrence of it.
 
-Seed: occurrences are joined on the anchor's hash; anchors of one document drop out.
-Extend: an occurrence carries a hash of the whole stretch that its windows cover, left and right of
-the anchor. Occurrences with equal stretches are one class, whose smallest document covers the rest
-at once, without pairs. Where an anchor has several classes, their first documents are compared
-window by window, which finds how far a match extends each way. The union of the covered windows is
-the union of the maximal repeats of at least `length` words.
+Seed: occurrences are joined on the anchor's hash; anchors of one document drop out. Anchors that very
+many documents hold are dealt over several tasks.
+Extend: an occurrence carries a hash of the whole stretch that its windows cover, from as far left to as
+far right of the anchor as windows with this anchor reach. Occurrences with equal stretches extend
+alike: they are one class, whose smallest document covers the rest at once, without pairs. Where
+an anchor has several classes, a match may end within the stretch: their first documents are extended
+window by window to the left and right of the anchor, as far as a smaller document has the same window.
+Stretches and windows that overlap make up the maximal repeats of at least `length` words.
 
 Equality is decided on two independent 64-bit hashes (anchor and stretch or window).
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; rows with a
 null id neither lose words nor make others lose any; rows with equal ids do not affect one another;
-repeated rows each get the same result; an empty table gives an empty table; only the id, the text
+repeated rows each get the same result; a very long text is searched whole; of several smaller documents
+with a window the smallest stands for all; an empty table gives an empty table; only the id, the text
 and the result columns are used, so that clashing names do no harm.
 """
 
@@ -30,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import dropped, written
+from siftline.llm.common import dropped, salted_join, written
 from siftline.llm.hashing import Rolling, WordHashes, mix
 
 #: Bases of the anchor, stretch and window hashes.
@@ -166,36 +169,60 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
         .select("id", "doc", "text")
         .mapInArrow(_find_anchors(length), f"h long, sig long, id {kind}, doc long, first int, count int")
     )
-    ends = anchors.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shared = ends.where(F.col("least") < F.col("most")).select("h")
-    seeds = written(anchors.join(shared, "h"))
+    ends = anchors.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+    shared = written(ends.where(F.col("least") < F.col("most")).select("h", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    seeds = written(salted_join(anchors, shared.select("h"), ["h"], shared, total, "doc"))
     dropped(anchors)
-    classes = seeds.groupBy("h", "sig").agg(F.min("id").alias("least"))
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h")
-    judged = written(seeds.join(classes, ["h", "sig"]).select("h", "sig", "id", "doc", "first", "count", "least"))
+    classes = written(seeds.groupBy("h", "sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h")
+    judged = written(
+        salted_join(seeds, classes.drop("n"), ["h", "sig"], classes.select("h", "sig", "n"), total, "doc")
+        .select("h", "sig", "id", "doc", "first", "count", "least")
+    )
+    for table in (shared, seeds):
+        dropped(table)
     whole = judged.where(F.col("id") > F.col("least")).select(
         "doc", "first", (F.col("first") + F.col("count") + length - 1).alias("stop")
     )
-    heads = (
-        judged.where(F.col("id") == F.col("least"))
-        .join(several, "h")
+    heads = judged.where(F.col("id") == F.col("least"))
+    several = several.join(heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    runs = (
+        salted_join(heads, several.select("h"), ["h"], several, total, "doc")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("h", "first", "count")).alias("runs"))
     )
     windows = written(
-        rows.join(heads, "doc").mapInArrow(
+        rows.join(runs, "doc").mapInArrow(
             _find_windows(length), f"h long, w long, id {kind}, doc long, first int"
         )
     )
-    least = windows.groupBy("h", "w").agg(F.min("id").alias("least"))
+    least = written(windows.groupBy("h", "w").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     single = (
-        windows.join(least, ["h", "w"])
+        salted_join(windows, least.drop("n"), ["h", "w"], least.select("h", "w", "n"), total, "doc")
         .where(F.col("id") > F.col("least"))
         .select("doc", "first", (F.col("first") + length).alias("stop"))
     )
     return whole.unionByName(single)
 
 
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+    """key, first, stop: the maximal stretches of words (stop exclusive) whose windows also start in smaller documents."""
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text"))
+    spans = covered(rows, length).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
+
+    def extend(found, s):
+        last = F.element_at(found, -1)
+        longer = F.concat(
+            F.slice(found, 1, F.size(found) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["stop"], s["stop"]).alias("stop")))
+        )
+        return F.when(F.size(found) == 0, F.array(s)).when(s["first"] < last["stop"], longer).otherwise(F.concat(found, F.array(s)))
+
+    merged = F.aggregate("spans", F.array().cast("array<struct<first:int,stop:int>>"), extend)
+    ids = rows.select("id", "doc").distinct()
+    return spans.select("doc", F.inline(merged)).join(ids, "doc").select(F.col("id").alias(key), "first", "stop")
+
+
 def deduped(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_text: bool = True
 ) -> DataFrame:

@@ -85,6 +85,17 @@ def test_substring_dedup_of_partial_overlaps(spark):
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = Counter(tuple(r) for r in substring_dedup.deduped(frame).collect())
     assert got == brute_removed([(i, " ".join(t), None) for i, t in enumerate(texts)])
+    spans = Counter(tuple(r) for r in substring_dedup.repeats(frame).collect())
+    assert spans == Counter([(1, 0, 60), (2, 0, 140), (2, 140, 195), (3, 0, 70), (5, 0, 120)])
+
+
+def test_salted_join(spark):
+    from siftline.llm.common import salted_join
+
+    big = spark.range(50_000).select(F.col("id").alias("row"), F.when(F.col("id") < 45_000, 1).otherwise(F.col("id")).alias("k"))
+    small = big.groupBy("k").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n"))
+    got = salted_join(big, small.drop("n"), ["k"], small.select("k", "n"), 50_000, "row")
+    assert got.count() == 50_000 and got.where("k = 1 and least = 0").count() == 45_000 and got.columns == ["k", "row", "least"]
 
 
 def brute_topk(vectors, queries, k):
