@@ -105,7 +105,59 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_sentencepiece": op10_sentencepiece,
 }
+
+
+def _secrets_sql() -> str:
+    """Hits of each kind with the texts between them, which tell where they begin; then owners by value."""
+    parts = []
+    for n, kind in enumerate(secrets.KINDS):
+        pattern = kind.pattern.replace("(?<![0-9a-f])[0-9a-f]{16,}", "[0-9a-f]+").replace("'", "''")
+        parts.append(
+            f"SELECT r, doc_id, source, {n} AS k, '{kind.name}' AS kind, regexp_extract_all(x, '{pattern}') AS hits, "
+            f"regexp_split_to_array(x, '{pattern}') AS gaps, "
+            f"list_transform(regexp_extract_all(x, '{pattern}'), lambda h: regexp_extract(h, '{pattern}', {kind.group})) AS vals, {kind.least} AS least FROM t"
+        )
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS x FROM documents),
+a AS ({" UNION ALL ".join(parts)}),
+u AS (SELECT r, doc_id, source, k, kind, least, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM a WHERE len(hits) > 0),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, k ORDER BY i) AS stop FROM u),
+s AS (SELECT *, stop - length(hit) AS start FROM p WHERE length(val) >= least),
+o AS (SELECT val, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM s GROUP BY val),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans, count(*) FILTER (owners < 3 AND repos < 20) AS n_live
+      FROM s JOIN o USING (val) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM t LEFT JOIN g USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+s AS (SELECT r, doc_id, x, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+p AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM s),
+w AS (SELECT r, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM w WHERE c IS NOT NULL) WHERE n > 1),
+k AS (SELECT r, count(DISTINCT i + j) AS n FROM d, (VALUES (0), (1), (2)) v(j) GROUP BY r),
+m AS (SELECT s.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(k.n, 0)::BIGINT AS n_repeat_words
+      FROM s LEFT JOIN k ON s.r = k.r),
+f AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+  OR NOT word_chars / greatest(n_words, 1) BETWEEN 2.5 AND 12
+  OR n_symbols * 10 > n_words
+  OR n_dup_lines * 10 > len(ls) * 4
+  OR len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))) / greatest(n_words, 1) < 0.7
+  OR length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) * 10 > length(x) * 4
+  OR len(list_distinct(ws)) * 50 < n_words
+  OR len(list_filter(ls, lambda l: regexp_matches(l, '^\s*[-*•●]'))) / greatest(len(ls), 1) > 0.9
+  OR len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)\s*$'))) / greatest(len(ls), 1) > 0.5) AS kept
+FROM f""",
+    "op5_secrets": _secrets_sql(),
     "op3_topk": r"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
