@@ -106,6 +106,14 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identified(df: DataFrame, name: str) -> DataFrame:
     """df with a column that tells its rows apart whenever it is read: file and place of rows of files, else numbers in a written copy."""
     try:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.blocks import SLOT_WORDS, blocks, elsewhere, packed, places, unpacked, words_of
-from siftline.llm.common import dropped, identified, written
+from siftline.llm.common import dropped, free_name, identified, written
 from siftline.llm.components import labelled
 from siftline.llm.hashing import mix
 
@@ -325,9 +325,10 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
 
     Rows without words are linked with nothing, so that each of them stays.
     """
-    rows = identified(docs, "_group_row")
-    groups = grouped(rows, "_group_row", text, **options)
-    ranked = rows.select("_group_row", F.col(key).alias("_id")).join(groups.withColumnRenamed("id", "_group_row"), "_group_row")
-    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_group_row")
-    first = ranked.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first._group_row").alias("_group_row"))
-    return rows.join(first, "_group_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = free_name(docs, "_group_row")
+    rows = identified(docs, own)
+    groups = grouped(rows, own, text, **options).select(F.col("id").alias("row"), "component")
+    ids = rows.select(F.col(own).alias("row"), F.col(f"`{key}`").alias("id"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    first = ids.join(groups, "row").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias(own))
+    return rows.join(first, own, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

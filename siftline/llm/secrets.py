@@ -121,10 +121,11 @@ def scanned(
     example: live is false for it.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c != "secrets"]
-    shown = [F.col(f"`{c}`") for c in names]
+    # the input's columns travel in a struct, so that no name of theirs can clash
+    shown = [F.col("row")[c].alias(c) for c in names]
     found = candidates(F.col(f"`{text}`"), kinds)
     # rows without a candidate, nearly all as a rule, stay where they are; their texts need not meet any verdict
-    rows = docs.select(*shown, F.col(f"`{owner}`").alias("_secret_owner"), F.col(f"`{repository}`").alias("_secret_repo"), found.alias("_secret_spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{owner}`").alias("_secret_owner"), F.col(f"`{repository}`").alias("_secret_repo"), found.alias("_secret_spans"))
     held = written(numbered(rows.where(F.size("_secret_spans") > 0), "_secret_row"))
     spans = held.select("_secret_row", "_secret_owner", "_secret_repo", F.inline("_secret_spans"))
     # of a value its distinct owners and repositories, each counted after a distinct, so that a frequent value makes no large group
