@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import line_dedup, ngram_join, packing, quality_rules, secrets
-from siftline.llm.common import documents, dropped, handed_over, identified
+from siftline.llm.common import documents, dropped, free_name, handed_over, identified
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their source's boilerplate lines. Exact and near copies count as one page, wordless texts too."""
-    rows = identified(docs, "_row")
-    groups = ngram_join.grouped(rows, "_row")
+    row = free_name(docs, "_row")
+    rows = identified(docs, row)
+    groups = ngram_join.grouped(rows, row)
     # pages without words have a null page: they hold no line, and count as one page
-    pages_of = groups.select(F.col("id").alias("_row"), F.when(F.col("n") > 0, F.col("component")).alias("page"))
+    pages_of = groups.select(F.col("id").alias(row), F.when(F.col("n") > 0, F.col("component")).alias("page"))
     # a line on two distinct pages is the least that a ratio can judge, whatever the source's size
     cleaned = line_dedup.without_boilerplate(rows, min_pages=2, min_line_pages=2, pages_of=pages_of)
-    return with_length(cleaned.select(*docs.columns))
+    return with_length(cleaned.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     found = secrets.scanned(docs)
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("secrets")))
-    return with_length(clean.select(*names))
+    return with_length(clean.select(*[F.col(f"`{c}`") for c in names]))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
