@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +15,11 @@ from siftline.sources.text import Inventory, Lines, Table, Text
 
 
 def source_of(x, recursive: bool = False, whole: bool = False, file_header: bool = False):
-    """A DataFrame is a table; a path that exists or names a store or pattern is files; other texts are data."""
+    """A DataFrame is a table; "-" is standard input, as far as it goes; a path that exists or names a store or pattern is files; other texts are data."""
     if isinstance(x, DataFrame):
         return Table(x)
+    if x == "-":
+        return Lines(sys.stdin.read())
     if not isinstance(x, str):
         return x
     is_path = "://" in x or os.path.exists(x) or (("*" in x or "?" in x) and "/" in x and "\n" not in x)

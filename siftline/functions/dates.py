@@ -20,7 +20,8 @@ DATES = (
 )
 TIMES = ("%H/%M/%S", "%H:%M:%S")
 JOINS = (" ", "/", ":")
-ZONES = ("", " %z", "%z")
+ZONES = ("", " %z", "%z", " %Z", "%Z")
+NAMED_ZONES = frozenset("UTC GMT EST EDT CST CDT MST MDT PST PDT CET CEST EET EEST WET BST JST IST".split())
 DEFAULT = "%Y-%m-%d %H:%M:%S"
 
 
@@ -53,6 +54,9 @@ def java_pattern(layout: str) -> str:
 
 
 def matches(text: str, layout: str) -> bool:
+    if layout.endswith("%Z"):
+        name = re.search(r"[A-Z]{3,4}$", text)
+        return bool(name) and name[0] in NAMED_ZONES and matches(text[: name.start()], layout[:-2])
     try:
         datetime.strptime(text, layout)
     except ValueError:
@@ -87,7 +91,7 @@ def parsed(text: Column, layout: str) -> Column:
 
 def recognised(text: Column) -> Column:
     """The timestamp of a text in any known date-first layout, null for others."""
-    shape = r"^([0-9A-Za-z]+)([-/])([0-9A-Za-z]+)\2([0-9A-Za-z]+)(?:[ :/]([0-9]{1,2})[:/]([0-9]{2})[:/]([0-9]{2}))?(?: ?([+-][0-9]{4}))?$"
+    shape = r"^([0-9A-Za-z]+)([-/])([0-9A-Za-z]+)\2([0-9A-Za-z]+)(?:[ :/]([0-9]{1,2})[:/]([0-9]{2})[:/]([0-9]{2}))?(?: ?([+-][0-9]{4}|[A-Z]{3,4}))?$"
     part = lambda n: F.regexp_extract(text, shape, n)
     clock = F.when(part(5) == "", F.lit("00:00:00")).otherwise(
         F.concat_ws(":", F.lpad(part(5), 2, "0"), part(6), part(7))
@@ -99,7 +103,9 @@ def recognised(text: Column) -> Column:
         whole = F.concat(day, F.lit(" "), clock)
         tries.append(
             F.when(zone.isNull(), F.try_to_timestamp(whole, F.lit(f"{layout} HH:mm:ss"))).otherwise(
-                F.try_to_timestamp(F.concat(whole, F.lit(" "), zone), F.lit(f"{layout} HH:mm:ss xx"))
+                F.when(zone.rlike("[A-Z]"), F.try_to_timestamp(F.concat(whole, F.lit(" "), zone), F.lit(f"{layout} HH:mm:ss z"))).otherwise(
+                    F.try_to_timestamp(F.concat(whole, F.lit(" "), zone), F.lit(f"{layout} HH:mm:ss xx"))
+                )
             )
         )
     return F.when(text.rlike(shape), F.coalesce(*tries))

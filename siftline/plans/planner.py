@@ -391,16 +391,21 @@ class Plan:
                     parsing.delimited(F.col("_raw"), mode) if mode.kind == "delimiter" else F.array("_raw")
                 ).first()[0]
                 names = tuple(x.strip().upper() for x in got)
-            sizes = [r[0] for r in rows.select(F.size("_f")).limit(max(1, self.options.detect_rows)).collect()]
+            if rows.isStreaming:  # nothing can be looked at: the fields that the query names, as texts
+                sizes = [int(x) for x in re.findall(r"@(?:field)?(\d+)", self._all_text(), re.I)]
+            else:
+                sizes = [r[0] for r in rows.select(F.size("_f")).limit(max(1, self.options.detect_rows)).collect()]
             width = len(names) or max(sizes, default=1)
             self.ragged = not names and mode.kind == "delimiter"
+            if rows.isStreaming and self.ragged and "%" in self._all_text():
+                raise QueryError("the number of fields of a stream is not known")
             if self.ragged and "%" in self._all_text():
                 # the widest of all rows, as items up to the last field are asked for
                 width = max(width, rows.agg(F.max(F.size("_f"))).first()[0] or 0)
             self.fields = [Val(F.get("_f", F.lit(i)), STRING) for i in range(width)]
         self.names = {n: i for i, n in enumerate(names, 1) if n}
         self.headings = [n or f"@FIELD{i}" for i, n in enumerate(names or [""] * len(self.fields), 1)]
-        if not self.options.textonly:
+        if not self.options.textonly and not rows.isStreaming:
             self._detect(rows)
         self._assign_types()
         return rows

@@ -2,6 +2,7 @@ import json
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftline.api import Query, Table, run, sinks
 from siftline.operators import parsing
@@ -104,6 +105,73 @@ def test_stream_with_blocking_clauses(spark, tmp_path):
     assert got == [r["event_id"] for r in source.orderBy(source.event_id.desc()).limit(3).collect()]
 
 
+def test_blocking_clauses_over_several_batches(spark, tmp_path):
+    for n, part in enumerate(["a 3\nb 9\n", "c 7\nd 1\n", "e 8\n"]):
+        (tmp_path / f"in{n}").mkdir()
+        (tmp_path / f"in{n}" / "x.txt").write_text(part)
+    (tmp_path / "in").mkdir()
+    got = []
+    for n in range(3):
+        (tmp_path / "in" / f"{n}.txt").write_text((tmp_path / f"in{n}" / "x.txt").read_text())
+        rows = stream.lines(spark, str(tmp_path / "in"))
+        stream.foreach_batch(
+            spark, "p d/ / | s @1, @2 | o tolong(@2) desc | l 2", rows, lambda f, b: got.append([tuple(r) for r in f.collect()]), str(tmp_path / "cp")
+        ).awaitTermination()
+    assert got == [[("b", "9"), ("a", "3")], [("b", "9"), ("c", "7")], [("b", "9"), ("e", "8")]]
+
+
+def collected(spark, frame, name, mode="append"):
+    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return [tuple(r) for r in spark.table(name).collect()]
+
+
+def test_text_streams_are_parsed(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("k=1 x\nnone\nk=22 y\n")
+    rows = stream.lines(spark, str(tmp_path))
+    named = stream.streamed(spark, r"p /k=(?P<n>\d+) (?P<w>\w)/ | t n long | s w as w, n+1 as m | f n > 1", rows)
+    assert collected(spark, named, "named") == [("y", 23)]
+    split = stream.streamed(spark, "p d/ / | s @2 as b, @1 as a | f @2 like '?'", rows)
+    assert sorted(collected(spark, split, "split")) == [("x", "k=1"), ("y", "k=22")]
+
+
+def test_running_totals_over_batches(spark, tmp_path):
+    schema = "k string, i long, v double"
+    (tmp_path / "in").mkdir()
+    rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    totals = stream.running(rows, "k", "v", "i")
+    got = []
+    for part in ([("a", 1, 2.0), ("b", 2, 5.0), ("a", 3, 4.0)], [("a", 4, 1.0), ("b", 5, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = totals.writeStream.foreachBatch(lambda f, n: got.extend(tuple(r) for r in f.collect()))
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r[1], r[3], r[4]) for r in got) == [(1, 1, 2.0), (2, 1, 5.0), (3, 2, 6.0), (4, 3, 7.0), (5, 2, 5.0)]
+
+
+def test_tumbling_buckets_with_late_rows(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    got = collected(spark, stream.bucketed(rows, "ts", 3600, ["event_type"], {"n": "count(1)", "top": "max(value)"}, "1 hour"), "buckets", "complete")
+    want = source.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp"))).agg(F.count("*"), F.max("value")).collect()
+    assert {(r[3], r[0], r[1], r[2]) for r in got} == {(r[1], r[0], r[2], r[3]) for r in want}
+
+
+def test_standard_input(spark, monkeypatch):
+    import io
+    import sys
+
+    monkeypatch.setattr(sys, "stdin", io.StringIO("x 1\ny 2\n"))
+    assert sinks.lines(run(spark, "s @1 | f @2 = 2", "-")) == ["y"]
+
+
+def test_named_zones(spark):
+    got = sinks.lines(run(spark, "s datetolong('2024-01-31 10:00:00 EST'), detectdt(@1), timediff('2024-01-31 10:00:00 UTC','2024-01-31 10:00:00 +0100')", "x"))
+    assert got == ["1706713200\tSTRING\t3600"]
+    assert sinks.lines(run(spark, "p d/,/ | s truncdate(@1,3600)", "2024-01-31 10:20:00 UTC,1")) == ["2024-01-31 10:00:00 UTC"]
+
+
 def test_clause_splitting():
     assert clauses("p d/ /\"\"[]/r | s upper('a|b') | f (@1='x' or @2='|') | > 'f'") == {
         "parse": "d/ /\"\"[]/r", "select": "upper('a|b')", "filter": "(@1='x' or @2='|')", ">": "'f'",
