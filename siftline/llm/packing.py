@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import written
 from siftline.llm.hashing import FlatHashes, flat
 
-#: Rank groups: pieces of a length are numbered within such a group, then groups are laid end to end.
-GROUPS = 1024
+#: Pieces for each of which there is a rank group: pieces of a length are numbered within a group, then groups are laid end to end.
+GROUP_PIECES = 100_000
 
 
 #: Bytes by class: 0 white space, 1 ASCII letter, 2 stop, 3 all else.
@@ -278,9 +278,11 @@ def packed(docs: DataFrame, tokenizer_file: str, room: int = 4096, end_id: int =
     """One row per piece with its sequence_id and its offset there; offsets of a sequence leave no gap."""
     names = [key, "piece", "start", "length", "ids_crc32"]
     cut = pieces(docs, tokenizer_file, room, end_id, key, text)
-    cut = written(cut.withColumn("grp", F.pmod(F.xxhash64(*names), F.lit(GROUPS)).cast("int")))
+    cut = written(cut)
+    groups = max(16, cut.count() // GROUP_PIECES)
+    cut = cut.withColumn("grp", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
     counted = cut.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
-    counted = written(counted)  # at most room * GROUPS rows
+    counted = written(counted)  # at most room * groups rows
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     entries, _ = plan(histogram, room)
     before = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
