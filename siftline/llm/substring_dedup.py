@@ -183,17 +183,17 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
     for table in (shared, seeds):
         dropped(table)
     whole = judged.where(F.col("id") > F.col("least")).select(
-        "doc", "first", (F.col("first") + F.col("count") + length - 1).alias("stop")
+        "id", "doc", "first", (F.col("first") + F.col("count") + length - 1).alias("stop")
     )
     heads = judged.where(F.col("id") == F.col("least"))
     several = several.join(heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
     runs = (
         salted_join(heads, several.select("h"), ["h"], several, total, "doc")
-        .groupBy("doc")
+        .groupBy("id", "doc")
         .agg(F.collect_set(F.struct("h", "first", "count")).alias("runs"))
     )
     windows = written(
-        rows.join(runs, "doc").mapInArrow(
+        rows.join(runs, ["id", "doc"]).select("id", "doc", "text", "runs").mapInArrow(
             _find_windows(length), f"h long, w long, id {kind}, doc long, first int"
         )
     )
@@ -201,7 +201,7 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
     single = (
         salted_join(windows, least.drop("n"), ["h", "w"], least.select("h", "w", "n"), total, "doc")
         .where(F.col("id") > F.col("least"))
-        .select("doc", "first", (F.col("first") + length).alias("stop"))
+        .select("id", "doc", "first", (F.col("first") + length).alias("stop"))
     )
     return whole.unionByName(single)
 
@@ -209,7 +209,7 @@ def covered(rows: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """key, first, stop: the maximal stretches of words (stop exclusive) whose windows also start in smaller documents."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text"))
-    spans = covered(rows, length).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
+    spans = covered(rows, length).groupBy("id", "doc").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
 
     def extend(found, s):
         last = F.element_at(found, -1)
@@ -219,8 +219,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         return F.when(F.size(found) == 0, F.array(s)).when(s["first"] < last["stop"], longer).otherwise(F.concat(found, F.array(s)))
 
     merged = F.aggregate("spans", F.array().cast("array<struct<first:int,stop:int>>"), extend)
-    ids = rows.select("id", "doc").distinct()
-    return spans.select("doc", F.inline(merged)).join(ids, "doc").select(F.col("id").alias(key), "first", "stop")
+    return spans.select(F.col("id").alias(key), F.inline(merged))
 
 
 def deduped(
@@ -230,9 +229,9 @@ def deduped(
     rows = docs.select(
         F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text")
     )
-    spans = covered(rows, length).groupBy("doc").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
+    spans = covered(rows, length).groupBy("id", "doc").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     kind = docs.schema[key].dataType.simpleString()
-    out = rows.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(
+    out = rows.join(spans, ["id", "doc"], "left").select("id", "text", "spans").mapInArrow(
         _apply(with_text), f"id {kind}, n_words long, n_removed long, kept string"
     )
     return out.withColumnRenamed("id", key)
