@@ -11,14 +11,14 @@ similar one and takes no further part.
 Short lists. Of the others' sets, the T - 1 longest lists are set aside (DivideSkip), so that a similar
 pair meets in at least one of the n - T + 1 short ones. Only those are laid out, by shingle.
 
-Merging. Every list has a pivot, the member of least salted hash, and each member is a candidate to be
-linked to it. Candidates of right size and likely parity sketch (each shingle flips one bit, so that
-sketches differ in no more bits than sets in shingles) are verified: the shingles of one, rarest
-first, are probed by binary search in the other until the overlap is reached or out of reach. The
-links' components follow. Lists within one component are done; the others get another pivot, and
-at last, of each list that still spans several components, the members outside of its largest meet
-all its members of other components. So every similar pair ends up in one component, lists of very many near copies cost
-about their length, and no text is copied.
+Merging. A pair that meets, has sizes that fit and likely parity sketches (each shingle flips one bit, so
+that sketches differ in no more bits than sets in shingles) is verified: one set's shingles are
+probed by binary search in the other until the overlap is reached or out of reach. As links only
+have to connect, most of them are found before the lists are merged, among sets that share the least
+of their salted shingles, in groups of bounded size. Lists within one component of these links are
+done. Of each list that spans several, the members outside of its largest component meet all its
+members of other components. So every similar pair ends up in one component, a list of very many near
+copies costs little more than its length, and no text is copied.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit ones; list lengths may come from shorter
 hashes, as a chance match only lengthens a list.
@@ -45,8 +45,8 @@ from siftline.llm.components import labelled
 from siftline.llm.hashing import mix
 
 UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
-#: Rounds of pivots before the members left are compared with one another.
-ROUNDS = 2
+#: Buckets of a set, and members of a bucket that are compared with one another.
+BUCKETS, BUCKET = 8, 32
 #: Pairs of one vertex that a task verifies; more are dealt over several.
 SALTED = 4096
 
@@ -113,12 +113,14 @@ def _sets(size: int, num: int, den: int, slots: int, bits: int):
         h, row, held = h[by_row], row[by_row], held[by_row]
         cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
         sums = [np.add.reduceat(mix(h, salt), cut) if len(cut) else h for salt in (11, 13)]
+        least = np.stack([np.minimum.reduceat(mix(h, 100 + k), cut) if len(cut) else h for k in range(BUCKETS)], 1).view(np.int64)
         vertex: list[bytes | None] = [None] * len(lengths)
         body: list[bytes | None] = [None] * len(lengths)
         prefix: list[np.ndarray | None] = [None] * len(lengths)
         marks: list[np.ndarray | None] = [None] * len(lengths)
+        mins: list[np.ndarray | None] = [None] * len(lengths)
         seen = set()
-        for a, b, one, two in zip(cut.tolist(), np.r_[cut[1:], len(row)][: len(cut)].tolist(), *(s.tolist() for s in sums), strict=True):
+        for a, b, one, two, low in zip(cut.tolist(), np.r_[cut[1:], len(row)][: len(cut)].tolist(), *(s.tolist() for s in sums), least, strict=True):
             r = int(row[a])
             vertex[r] = v = one.to_bytes(8, "little") + two.to_bytes(8, "little")
             if v in seen:
@@ -130,12 +132,13 @@ def _sets(size: int, num: int, den: int, slots: int, bits: int):
             body[r] = packed(np.r_[shared[:1], np.diff(shared)])
             prefix[r] = shared[rarest[: len(shared) - int(need[r]) + 1]].view(np.int64)
             marks[r] = sketch(own)
+            mins[r] = low
         return pa.table(
             [
                 keys, pa.array(n, pa.int64()), pa.array(vertex, pa.binary()), pa.array(body, pa.binary()),
-                pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())),
+                *(pa.array(x, pa.list_(pa.int64())) for x in (prefix, marks, mins)),
             ],
-            names=["id", "n", "v", "body", "prefix", "marks"],
+            names=["id", "n", "v", "body", "prefix", "marks", "mins"],
         )
 
     return run
@@ -230,26 +233,17 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
     lists = vertices.select(F.explode("prefix").alias("key"), "v", "n", "marks", F.col("v").alias("label"))
     shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     lists = written(lists.join(shared, "key"))
-    links = None
-
-    def more(found: DataFrame) -> DataFrame:
-        if links is None:
-            return found
-        both = written(links.unionByName(found))
-        dropped(links)
-        dropped(found)
-        return both
-
-    for round_ in range(0 if every else ROUNDS):
-        pivot = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("v", F.lit(round_)).alias("h"), "v", "n", "marks", "label")).alias("p"))
-        pairs = (
-            lists.join(pivot, "key")
-            .where((F.col("label") != F.col("p.label")) & _fits(F.col("n"), F.col("p.n"), F.col("marks"), F.col("p.marks"), num, den))
-            .select(F.col("v").alias("a"), F.col("p.v").alias("b"))
-            .distinct()
-        )
-        pairs = written(pairs)
-        links = more(_links(pairs, vertices, num, den))
+    # most links: sets that share the least of their salted shingles meet in small groups
+    buckets = vertices.select(F.posexplode("mins").alias("salt", "key"), "v", "n", "marks")
+    sizes = buckets.groupBy("salt", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    buckets = buckets.join(sizes, ["salt", "key"]).withColumn("part", F.pmod(F.xxhash64("v", "salt"), F.ceil(F.col("c") / BUCKET)))
+    others = buckets.select("salt", "key", "part", *[F.col(c).alias(f"_{c}") for c in ("v", "n", "marks")])
+    near = buckets.join(others, ["salt", "key", "part"]).where(
+        (F.col("v") > F.col("_v")) & _fits(F.col("n"), F.col("_n"), F.col("marks"), F.col("_marks"), num, den)
+    )
+    if not every:
+        pairs = written(near.select(F.col("v").alias("a"), F.col("_v").alias("b")).distinct())
+        links = _links(pairs, vertices, num, den)
         labels = _labels(vertices, links)
         before, lists = lists, _lists(lists, labels)
         for table in (pairs, labels, before):
@@ -270,10 +264,15 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
     # two members that are both outside of the largest meet once
     met = met.where(F.col("v") < F.col("_v")) if every else met.where((F.col("_label") == F.col("main")) | (F.col("v") < F.col("_v")))
     pairs = written(met.select(F.greatest("v", "_v").alias("a"), F.least("v", "_v").alias("b")).distinct())
-    links = more(_links(pairs, vertices, num, den))
+    found = _links(pairs, vertices, num, den)
     for table in (pairs, lists):
         dropped(table)
-    return links
+    if every:
+        return found
+    both = written(links.unionByName(found))
+    for table in (links, found):
+        dropped(table)
+    return both
 
 
 def grouped(
@@ -294,14 +293,14 @@ def grouped(
         .groupBy("block")
         .cogroup(counted.groupBy("block"))
         .applyInArrow(
-            _sets(size, num, den, slots, bits), f"id {kind}, n long, v binary, body binary, prefix array<bigint>, marks array<bigint>"
+            _sets(size, num, den, slots, bits), f"id {kind}, n long, v binary, body binary, prefix array<bigint>, marks array<bigint>, mins array<bigint>"
         )
     )
     dropped(table)
     vertices = written(
         sets.where(F.col("body").isNotNull())
         .groupBy("v")
-        .agg(F.first("n").alias("n"), F.first("body").alias("body"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "body", "prefix", "marks", "mins")])
     )
     links = similar_links(vertices, num, den, count_links)
     labels = _labels(vertices, links)

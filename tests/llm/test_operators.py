@@ -535,11 +535,12 @@ def test_one_per_group(spark, docs, rows):
     assert got == Counter([(1, "a b"), (None, "c d"), (5, None), (None, ""), (None, "")])
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_ngram_join_of_families(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("buckets", [0, 8])
+def test_ngram_join_of_families(spark, monkeypatch, buckets):
     import random
 
-    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "BUCKETS", buckets)
+    monkeypatch.setattr(ngram_join, "BUCKET", 5)
     monkeypatch.setattr(ngram_join, "SALTED", 5)
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
     monkeypatch.setattr(ngram_join, "SLOT_WORDS", 500)
@@ -559,6 +560,22 @@ def test_ngram_join_of_families(spark, monkeypatch, rounds):
     assert got == brute_groups(rows)
 
 
+def test_ngram_join_of_sparse_copies(spark):
+    """A large group of near copies of which few are similar enough: chains connect it."""
+    import random
+
+    r = random.Random(5)
+    base, rows = [f"b{i}" for i in range(100)], []
+    for n in range(150):
+        w = list(base)
+        for k in r.sample(range(100), 3):
+            w[k] = f"e{n}x{k}"
+        rows.append((n, " ".join(w), None))
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    got = Counter(tuple(x) for x in ngram_join.grouped(frame).collect())
+    assert got == brute_groups(rows) and len({x[2] for x in got}) > 1
+
+
 def test_ngram_join_through_a_row_without_id(spark):
     a = [f"w{i}" for i in range(100)]
     b = [*a[:95], *(f"x{i}" for i in range(10))]
