@@ -113,7 +113,9 @@ def _sets(size: int, num: int, den: int, slots: int, bits: int):
         h, row, held = h[by_row], row[by_row], held[by_row]
         cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
         sums = [np.add.reduceat(mix(h, salt), cut) if len(cut) else h for salt in (11, 13)]
-        least = np.stack([np.minimum.reduceat(mix(h, 100 + k), cut) if len(cut) else h for k in range(BUCKETS)], 1).view(np.int64)
+        least = np.empty((len(cut), BUCKETS), np.int64)
+        for k in range(BUCKETS if len(cut) else 0):
+            least[:, k] = np.minimum.reduceat(mix(h, 100 + k), cut).view(np.int64)
         vertex: list[bytes | None] = [None] * len(lengths)
         body: list[bytes | None] = [None] * len(lengths)
         prefix: list[np.ndarray | None] = [None] * len(lengths)
