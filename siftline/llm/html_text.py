@@ -65,8 +65,8 @@ ROWS = frozenset("tr tbody thead tfoot".split())
 BUTTONS = frozenset("submit button reset".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-#: Up to the end of a tag; quoted values are passed over as a whole.
-REST = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
+#: Up to the end of a tag; quoted values are passed over as a whole, other quotes are like any character.
+REST = re.compile(r"""(?:[^>"'=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?|["'])*+""")
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
 SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?((?:[.#][a-zA-Z_][a-zA-Z0-9_-]*)?)")
@@ -137,8 +137,7 @@ def parse(markup: str) -> Element:
             at = text_from = size if found < 0 else found + (3 if comment else 1)
             continue
         end = REST.match(markup, named.end()).end()
-        if end >= size or markup[end] != ">":
-            # an unclosed quote or no end: the rest of the page belongs to the tag
+        if end >= size:  # no end: the rest of the page belongs to the tag
             return root
         name, attributes = named[0].lower(), markup[named.end() : end]
         at = text_from = end + 1

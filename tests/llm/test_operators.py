@@ -286,7 +286,7 @@ def test_html_spans_sections_and_styles():
     assert text("<style>.x{display:none}</style><p class=x style='display:block'>shown") == "shown"
     assert text("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<table><tr><td>d</table></div>") == "b"
     assert text("<input type=submit value=Send><input type=text value=no>") == "Send"
-    assert text("a < b <3 <") == "a < b <3 <" and text("x<a title='open") == "x" and text("a<?php x?>b</ c>d") == "abd"
+    assert text("a < b <3 <") == "a < b <3 <" and text("x<a title='open") == "x" and text("<p it's>don't <b title=\"a>b\">c</b><i title=\"open>d") == "don't cd" and text("a<?php x?>b</ c>d") == "abd"
 
 
 @pytest.mark.parametrize(
@@ -300,6 +300,9 @@ def test_html_spans_sections_and_styles():
         ("<ul><li>" * 3_000 + "deep", None),
         ("<!-- " * 100_000, ""),
         ("</p>" * 50_000 + "x", "x"),
+        ("<a b='" * 100_000 + ">", None),
+        ("<a b=" * 200_000 + ">x", "x"),
+        ("<a '" * 200_000 + ">x", "x"),
         ("<td>" * 50_000 + "x", "x"),
         ("<table>" + "<tr><td rowspan=9999>" * 2_000 + "x", None),
         ("<b class='x y z'>w " * 20_000, None),
