@@ -61,7 +61,7 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
             lo = hi
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None, most: int) -> Iterator[pa.RecordBatch]:
     hashes = FlatHashes()
     table = np.frombuffer(fold, np.uint8) if fold else None
     first = TaskContext.get().partitionId() << 32
@@ -96,7 +96,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], fold: bytes | None) -> Iterator[p
         if table is not None:
             data = table[data]
         starts, ends = spaced(data, offsets)
-        if keys and (held + len(starts) > BLOCK_WORDS or sum(map(len, keys)) + len(some) > BLOCK_ROWS):
+        if keys and (held + len(starts) > most or sum(map(len, keys)) + len(some) > BLOCK_ROWS):
             yield block()
             count, held = count + 1, 0
         keys.append(some)
@@ -114,16 +114,16 @@ def words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary[unpacked(row["words"]).view(np.int64)], unpacked(row["lengths"]).view(np.int64)
 
 
-def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None) -> DataFrame:
+def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None, most: int = BLOCK_WORDS) -> DataFrame:
     """Blocks of rows: keys, n (words), words per row, hashes of the distinct words, and each word's number there.
 
-    fold: a translation of the text's bytes. The table is written, as blocks are told apart by where they were
+    fold: a translation of the text's bytes; most: words of a block of several texts. The table is written, as blocks are told apart by where they were
     made, and in buckets, so that they need not move to meet their counts.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary"
-    return bucketed(rows.mapInArrow(lambda batches: _blocks(batches, fold), schema), "block")
+    return bucketed(rows.mapInArrow(lambda batches: _blocks(batches, fold, most), schema), "block")
 
 
 def least_hash(slot: int, slots: int, bits: int) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,11 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
 _kept: list[DataFrame] = []
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Python workers get at most so many rows at a time in the jobs run here: texts and sets are long."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, 1000):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._siftline_path = path
     _kept.append(table)
@@ -59,7 +75,8 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     spark = df.sparkSession
     path, name = shared_dir(spark), f"siftline_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    with batches_of(spark, 1000):
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
     table = spark.table(name)
     table._siftline_path, table._siftline_name = path, name
     _kept.append(table)

@@ -45,6 +45,8 @@ from siftline.llm.components import labelled
 from siftline.llm.hashing import mix
 
 UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+#: Words of a block.
+BLOCK_WORDS = 800_000
 #: Buckets of a set, and members of a bucket that are compared with one another.
 BUCKETS, BUCKET = 8, 32
 #: Pairs of one vertex that a task verifies; more are dealt over several.
@@ -285,7 +287,7 @@ def grouped(
     count_links: links as well, the number of other distinct sets that are similar to the row's.
     """
     kind = docs.schema[key].dataType.simpleString()
-    table = blocks(docs, key, text, UPPER)
+    table = blocks(docs, key, text, UPPER, BLOCK_WORDS)
     total = table.agg(F.sum("n")).first()[0] or 0
     slots = total // SLOT_WORDS + 1
     bits = min(64, total.bit_length() + 10)
