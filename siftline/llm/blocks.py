@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bucketed
+from siftline.llm.common import bucketed, written
 from siftline.llm.hashing import FlatHashes, flat, spaced
 
 #: Words and rows of a block, and n-grams of each order for which there is a slot, at least about.
@@ -114,16 +114,18 @@ def words_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary[unpacked(row["words"]).view(np.int64)], unpacked(row["lengths"]).view(np.int64)
 
 
-def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None, most: int = BLOCK_WORDS) -> DataFrame:
+def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None, most: int = BLOCK_WORDS, stay: bool = False) -> DataFrame:
     """Blocks of rows: keys, n (words), words per row, hashes of the distinct words, and each word's number there.
 
-    fold: a translation of the text's bytes; most: words of a block of several texts. The table is written, as blocks are told apart by where they were
-    made, and in buckets, so that they need not move to meet their counts.
+    fold: a translation of the text's bytes; most: words of a block of several texts. The table is written, as
+    blocks are told apart by where they were made; stay: in buckets, so that they need not move to meet their counts
+    (less disk, more files).
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary"
-    return bucketed(rows.mapInArrow(lambda batches: _blocks(batches, fold, most), schema), "block")
+    made = rows.mapInArrow(lambda batches: _blocks(batches, fold, most), schema)
+    return bucketed(made, "block") if stay else written(made)
 
 
 def least_hash(slot: int, slots: int, bits: int) -> int:

@@ -115,7 +115,7 @@ def _scores(order: int, slots: int, bits: int, total: int, alpha: float):
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.4, order: int = 3) -> DataFrame:
     """key, n_tokens, n_backed_off (words whose longest history was not used), log_score (natural logs) and mean_log_score."""
     kind = docs.schema[key].dataType.simpleString()
-    table = blocks(docs, key, text)
+    table = blocks(docs, key, text, stay=True)
     total = table.agg(F.sum("n")).first()[0] or 0
     slots = total // SLOT_WORDS + 1
     bits = min(64, (total * order).bit_length() + 30)
