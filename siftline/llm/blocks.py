@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm import memory
 from siftline.llm.common import bucketed, written
 from siftline.llm.hashing import FlatHashes, flat, spaced
 
@@ -124,7 +125,7 @@ def blocks(docs: DataFrame, key: str, text: str, fold: bytes | None = None, most
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"block long, keys array<{kind}>, n long, lengths binary, vocabulary binary, words binary"
-    made = rows.mapInArrow(lambda batches: _blocks(batches, fold, most), schema)
+    made = rows.mapInArrow(memory.streamed(lambda batches: _blocks(batches, fold, most)), schema)
     return bucketed(made, "block") if stay else written(made)
 
 
@@ -148,8 +149,8 @@ def dealt(features: Callable[[dict], Iterator[np.ndarray]], slots: int, bits: in
                     found = found[new]
                     cut = np.r_[0, np.searchsorted(found, bounds), len(found)]
                     parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                    for lo in range(0, len(parts), 4096):
-                        some = parts[lo : lo + 4096]
+                    for lo in range(0, len(parts), 512):
+                        some = parts[lo : lo + 512]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([row["block"]] * len(some), pa.int64()),
@@ -180,6 +181,6 @@ def _elsewhere(table: pa.Table) -> pa.Table:
 def elsewhere(table: DataFrame, features: Callable[[dict], Iterator[np.ndarray]], slots: int, bits: int) -> DataFrame:
     """block, slot (order * slots + slot), counts: how often each of the block's features there, by hash, stands in other blocks."""
     rows = table.select("block", "lengths", "vocabulary", "words").mapInArrow(
-        dealt(features, slots, bits), "block long, slot long, hashes binary, counts binary"
+        memory.streamed(dealt(features, slots, bits)), "block long, slot long, hashes binary, counts binary"
     )
-    return rows.groupBy("slot").applyInArrow(_elsewhere, "block long, slot long, counts binary")
+    return rows.groupBy("slot").applyInArrow(memory.grouped(_elsewhere), "block long, slot long, counts binary")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm import memory
 from siftline.llm.blocks import SLOT_WORDS, blocks, elsewhere, least_hash, places, unpacked, words_of
 from siftline.llm.hashing import mix
 
@@ -125,7 +126,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
         .groupBy("block")
         .cogroup(counted.groupBy("block"))
         .applyInArrow(
-            _scores(order, slots, bits, total, alpha),
+            memory.cogrouped(_scores(order, slots, bits, total, alpha)),
             f"key {kind}, n_tokens long, n_backed_off long, log_score double, mean_log_score double",
         )
     )

@@ -39,14 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.blocks import SLOT_WORDS, blocks, elsewhere, packed, places, unpacked, words_of
+from siftline.llm import memory
+from siftline.llm.blocks import blocks, elsewhere, packed, places, unpacked, words_of
 from siftline.llm.common import dropped, free_name, identified, written
 from siftline.llm.components import labelled
 from siftline.llm.hashing import mix
 
 UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
-#: Words of a block.
-BLOCK_WORDS = 800_000
+#: Words of a block, and of a slot of list lengths.
+BLOCK_WORDS, SLOT_WORDS = 800_000, 1 << 18
 #: Buckets of a set, and members of a bucket that are compared with one another.
 BUCKETS, BUCKET = 8, 32
 #: Pairs of one vertex that a task verifies; more are dealt over several.
@@ -213,7 +214,7 @@ def _links(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFra
         F.col("v").alias("b"), F.col("n").alias("nb"), F.col("body").alias("body_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
     joined = left.join(right, ["b", "salt"]).select("a", "b", "na", "nb", "body_a", "body_b")
-    return written(joined.mapInArrow(_verified(num, den), "a binary, b binary"))
+    return written(joined.mapInArrow(memory.streamed(_verified(num, den)), "a binary, b binary"))
 
 
 def _labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,7 +298,7 @@ def grouped(
         .groupBy("block")
         .cogroup(counted.groupBy("block"))
         .applyInArrow(
-            _sets(size, num, den, slots, bits), f"id {kind}, n long, v binary, body binary, prefix array<bigint>, marks array<bigint>, mins array<bigint>"
+            memory.cogrouped(_sets(size, num, den, slots, bits)), f"id {kind}, n long, v binary, body binary, prefix array<bigint>, marks array<bigint>, mins array<bigint>"
         )
     )
     dropped(table)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.llm import memory
 from siftline.llm.common import written
 from siftline.llm.hashing import FlatHashes, flat
 
@@ -62,7 +63,7 @@ class WordIds:
     A full table is dropped, so that its size is bounded.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 600_000
     #: Stands between words that are encoded together; a special token, which no other text gives.
     MARK = "<|endoftext|>"
 
@@ -188,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, room: int = 4096, end_id: int =
     """One row per piece: key, piece, start, length, ids_crc32."""
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(
-        cutter(tokenizer_file, key, text, room, end_id),
+        memory.streamed(cutter(tokenizer_file, key, text, room, end_id)),
         f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long",
     )
 
@@ -294,4 +295,4 @@ def packed(docs: DataFrame, tokenizer_file: str, room: int = 4096, end_id: int =
         .select(*names, (F.col("base") + F.col("own") - 1).alias("rank"))
     )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*names).schema)
-    return ranked.mapInArrow(placer(entries, names), f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(memory.streamed(placer(entries, names)), f"{kinds}, sequence_id long, offset long")
