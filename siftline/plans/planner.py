@@ -21,7 +21,7 @@ from siftline.operators import numbering, parsing, tree
 from siftline.plans import syntax
 from siftline.plans.clauses import QueryError, split_outside
 from siftline.plans.syntax import And, Bin, Call, Cmp, Each, Field, In, Last, Lit, Neg, Or, Param, Side, Sorted, Var
-from siftline.sources.text import Inventory, Lines, Table, Text, numbered_files, raw_of
+from siftline.sources.text import Lines, Table, Text, numbered_files, raw_of
 
 AGGREGATES = frozenset("count sum average max min uniquecount grouplist".split())
 ANALYTIC = frozenset("rank denserank nearby counta uniquecounta suma averagea maxa mina".split())
