@@ -235,7 +235,7 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
 
     vertices: v, n (shingles), body (packed shared shingles), prefix (short lists), marks (sketch).
     """
-    lists = vertices.select(F.explode("prefix").alias("key"), "v", "n", "marks", F.col("v").alias("label"))
+    lists = vertices.select(F.explode("prefix").alias("key"), "v", "n", F.col("v").alias("label"))
     shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     lists = written(lists.join(shared, "key"))
     # most links: sets that share the least of their salted shingles meet in small groups
@@ -256,8 +256,12 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
         if lists.isEmpty():
             dropped(lists)
             return links
+    # sketches join only the lists that are still open
+    kept = lists
+    lists = lists.join(vertices.select("v", "marks"), "v")
     # the members outside of a list's largest component meet all members of other components
-    members = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    held = lists.drop("marks")
+    members = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = members.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     left = lists if every else lists.join(main, "key").where(F.col("label") != F.col("main")).drop("main")
     right = lists.select("key", *[F.col(c).alias(f"_{c}") for c in ("v", "n", "marks", "label")])
@@ -270,7 +274,7 @@ def similar_links(vertices: DataFrame, num: int, den: int, every: bool = False)
     met = met.where(F.col("v") < F.col("_v")) if every else met.where((F.col("_label") == F.col("main")) | (F.col("v") < F.col("_v")))
     pairs = written(met.select(F.greatest("v", "_v").alias("a"), F.least("v", "_v").alias("b")).distinct())
     found = _links(pairs, vertices, num, den)
-    for table in (pairs, lists):
+    for table in (pairs, kept):
         dropped(table)
     if every:
         return found
