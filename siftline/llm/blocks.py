@@ -33,7 +33,7 @@ def packed(x: np.ndarray) -> bytes:
     x = np.ascontiguousarray(x, "<u8")
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return struct.pack("<BQ", width, len(x)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return struct.pack("<BQ", width, len(x)) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if width else b"")
 
 
 def unpacked(b: bytes) -> np.ndarray:
@@ -45,6 +45,34 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def rising(x: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as Rice codes of their differences: evenly spread ones take their entropy, also if they are few."""
+    gaps = np.diff(np.ascontiguousarray(x, "<u8"), prepend=np.uint64(0))
+    low = max(0, (int(x[-1]) // len(x)).bit_length() - 1) if len(x) else 0
+    whole, rest = divmod(low, 8)
+    planes = gaps.view(np.uint8).reshape(-1, 8)
+    bits = np.unpackbits(planes[:, whole : whole + 1], axis=1, count=rest, bitorder="little") if rest else planes[:, :0]
+    stops = np.cumsum((gaps >> np.uint64(low)).astype(np.int64) + 1) - 1  # at most 3 n bits, by the choice of low
+    high = np.zeros(int(stops[-1]) + 1 if len(x) else 0, np.uint8)
+    high[stops] = 1
+    return struct.pack("<BI", low, len(x)) + planes[:, :whole].tobytes() + np.packbits(bits.ravel()).tobytes() + np.packbits(high).tobytes()
+
+
+def risen(b: bytes) -> np.ndarray:
+    low, n = struct.unpack_from("<BI", b)
+    whole, rest = divmod(low, 8)
+    raw = np.frombuffer(b, np.uint8, offset=5)
+    to = n * whole
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :whole] = raw[:to].reshape(n, whole)
+    if rest:
+        bits = np.unpackbits(raw[to:], count=n * rest).reshape(n, rest)
+        planes[:, whole] = np.packbits(bits, axis=1, bitorder="little").ravel()
+        to += -(-n * rest // 8)
+    high = np.diff(np.flatnonzero(np.unpackbits(raw[to:])), prepend=-1) - 1
+    return np.cumsum(planes.view("<u8").ravel() | (high.astype(np.uint64) << np.uint64(low)), dtype=np.uint64)
+
+
 def places(lengths: np.ndarray) -> np.ndarray:
     """Each word's place in its text."""
     return (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
@@ -134,7 +162,7 @@ def least_hash(slot: int, slots: int, bits: int) -> int:
 
 
 def dealt(features: Callable[[dict], Iterator[np.ndarray]], slots: int, bits: int):
-    """block, slot, its features there (differences of ascending hashes) and their counts in the block.
+    """block, slot, its features there (ascending hashes, from the slot's least on) and their counts in the block, less 1.
 
     features: from a block, per order an ascending array of hashes of so many bits.
     """
@@ -155,8 +183,8 @@ def dealt(features: Callable[[dict], Iterator[np.ndarray]], slots: int, bits: in
                             [
                                 pa.array([row["block"]] * len(some), pa.int64()),
                                 pa.array([n * slots + k for k, _ in some], pa.int64()),
-                                pa.array([packed(np.r_[found[s][:1], np.diff(found[s])]) for _, s in some], pa.binary()),
-                                pa.array([packed(count[s]) for _, s in some], pa.binary()),
+                                pa.array([rising(found[s] - np.uint64(least_hash(k, slots, bits))) for k, s in some], pa.binary()),
+                                pa.array([packed(count[s] - 1) for _, s in some], pa.binary()),
                             ],
                             names=["block", "slot", "hashes", "counts"],
                         )
@@ -166,9 +194,8 @@ def dealt(features: Callable[[dict], Iterator[np.ndarray]], slots: int, bits: in
 
 def _elsewhere(table: pa.Table) -> pa.Table:
     """How often each block's features of the slot stand in other blocks."""
-    hashes = [np.cumsum(unpacked(g.as_py()), dtype=np.uint64) for g in table.column("hashes")]
-    counts = [unpacked(c.as_py()) for c in table.column("counts")]
-    own = np.concatenate(counts).astype(np.int64)
+    hashes = [risen(g.as_py()) for g in table.column("hashes")]
+    own = np.concatenate([unpacked(c.as_py()).view(np.int64) for c in table.column("counts")]) + 1
     distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(place, own, len(distinct)).astype(np.int64)
     other = np.split(total[place] - own, np.cumsum([len(g) for g in hashes])[:-1])

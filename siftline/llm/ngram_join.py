@@ -46,8 +46,8 @@ from siftline.llm.components import labelled
 from siftline.llm.hashing import mix
 
 UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
-#: Words of a block, and of a slot of list lengths.
-BLOCK_WORDS, SLOT_WORDS = 800_000, 1 << 18
+#: Words of a block, and of a slot of list lengths while slots are at most SLOTS; LARGE_SLOT_WORDS beyond.
+BLOCK_WORDS, SLOT_WORDS, SLOTS, LARGE_SLOT_WORDS = 800_000, 1 << 18, 512, 1 << 20
 #: Buckets of a set, and members of a bucket that are compared with one another.
 BUCKETS, BUCKET = 8, 32
 #: Pairs of one vertex that a task verifies; more are dealt over several.
@@ -81,6 +81,11 @@ def _features(size: int, bits: int):
     return of
 
 
+def slots_of(total: int) -> int:
+    """Slots for so many words. From SLOTS on they grow in size first, as a block sends a row to each."""
+    return max(min(total // SLOT_WORDS + 1, SLOTS), total // LARGE_SLOT_WORDS + 1)
+
+
 def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-n * num // den)
 
@@ -202,18 +207,19 @@ def _fits(na: Column, nb: Column, marks_a: Column, marks_b: Column, num: int, de
 def _links(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
     """The similar ones of distinct pairs a, b. A vertex in very many pairs (as b) is dealt over several tasks."""
     much = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SALTED)
-    much = much.select(F.col("b").alias("v"), F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    left = (
-        pairs.join(much.withColumnRenamed("v", "b"), "b", "left")
-        .withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
-        .join(vertices.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("body").alias("body_a")), "a")
+    much = F.broadcast(much.select("b", F.ceil(F.col("c") / SALTED).cast("int").alias("salts")))
+    # all joins on v ask for the same columns of the vertices, so that these are dealt once
+    one, other = (vertices.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("body").alias(f"body_{x}")) for x in "ab")
+    few = pairs.join(much, "b", "left_anti").join(one, "a").join(other, "b")
+    many = (
+        pairs.join(much, "b")
+        .withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
         .drop("salts")
+        .join(one, "a")
+        .join(other.join(much, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["b", "salt"])
     )
-    right = vertices.join(much, "v", "left").select(
-        F.col("v").alias("b"), F.col("n").alias("nb"), F.col("body").alias("body_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    )
-    joined = left.join(right, ["b", "salt"]).select("a", "b", "na", "nb", "body_a", "body_b")
+    columns = ["a", "b", "na", "nb", "body_a", "body_b"]
+    joined = few.select(columns).unionByName(many.select(columns))
     return written(joined.mapInArrow(memory.streamed(_verified(num, den)), "a binary, b binary"))
 
 
@@ -292,10 +298,10 @@ def grouped(
     count_links: links as well, the number of other distinct sets that are similar to the row's.
     """
     kind = docs.schema[key].dataType.simpleString()
-    table = blocks(docs, key, text, UPPER, BLOCK_WORDS)
+    table = blocks(docs, key, text, UPPER, BLOCK_WORDS, stay=True)
     total = table.agg(F.sum("n")).first()[0] or 0
-    slots = total // SLOT_WORDS + 1
-    bits = min(64, total.bit_length() + 10)
+    slots = slots_of(total)
+    bits = min(64, total.bit_length() + 6)
     counted = elsewhere(table, _features(size, bits), slots, bits)
     sets = written(
         table.select("block", "keys", "lengths", "vocabulary", "words")

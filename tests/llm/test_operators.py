@@ -579,6 +579,78 @@ def test_ngram_join_of_sparse_copies(spark):
     assert got == brute_groups(rows) and len({x[2] for x in got}) > 1
 
 
+def test_rising_numbers():
+    r = np.random.default_rng(1)
+    cases = [np.unique(r.integers(0, top, n, dtype=np.uint64)) for n in (0, 1, 3, 8, 50, 3000) for top in (1, 2, 255, 1 << 20, 1 << 63)]
+    cases += [np.array([0, 2**64 - 1], np.uint64), np.r_[np.arange(1000), 1 << 40].astype(np.uint64)]
+    for x in cases:
+        got = blocks.risen(blocks.rising(x))
+        assert got.dtype == np.uint64 and got.tolist() == x.tolist()
+
+
+def test_rows_of_few_features_stay_small():
+    """At 30 GB a block has few features in each slot: what it sends must not be mostly frames."""
+    import pyarrow as pa
+
+    n, bits, slots = 20_000, 38, 1000
+    found = np.unique(np.random.default_rng(2).integers(0, 1 << bits, n, dtype=np.uint64))
+    block = pa.RecordBatch.from_pydict({"block": pa.array([7], pa.int64())})
+    sent = pa.Table.from_batches(blocks.dealt(lambda row: iter([found]), slots, bits)(iter([block])))
+    size = sum(len(b) for c in ("hashes", "counts") for b in sent.column(c).to_pylist())
+    assert 8 * size / len(found) < np.log2((1 << bits) / len(found)) + 10
+    assert sum(len(blocks.unpacked(b)) for b in blocks._elsewhere(sent).column("counts").to_pylist()) == len(found)
+
+
+def test_ngram_join_slots_grow_in_size():
+    few, many = ngram_join.slots_of(130_000_000), ngram_join.slots_of(520_000_000)
+    assert few == 496 and many == 512 and ngram_join.slots_of(7_400_000_000) < 7100
+
+
+def moved(spark) -> int:
+    """Bytes that were shuffled in the session so far."""
+    jvm = spark._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_ngram_join_leaves_blocks_in_place(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 10**6, 200).tolist())) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    frame.count()
+    table = blocks.blocks(frame, "doc_id", "text")
+    size = table.agg(F.sum(F.length("vocabulary") + F.length("words"))).first()[0]
+    before = moved(spark)
+    assert ngram_join.grouped(frame).count() == 1000
+    assert moved(spark) - before < size
+
+
+def test_links_move_sets_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SALTED", 5)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 60, 3000, dtype=np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.r_[x[: 2900 - i], r.integers(0, 1 << 60, 40, dtype=np.uint64)]) for i, x in enumerate([sets[0]] * 8)]
+    names = [f"v{i:03}".encode() for i in range(len(sets))]
+    bodies = [bytearray(blocks.packed(np.r_[x[:1], np.diff(x)])) for x in sets]
+    rows = [(v, len(x), b) for v, x, b in zip(names, sets, bodies, strict=True)]
+    vertices = ngram_join.written(spark.createDataFrame(rows, "v binary, n long, body binary"))
+    asked = [(names[40 + i], names[0]) for i in range(8)] + [(names[2], names[1])]
+    pairs = ngram_join.written(spark.createDataFrame([tuple(map(bytearray, x)) for x in asked], "a binary, b binary"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved(spark)
+        got = {(bytes(x["a"]), bytes(x["b"])) for x in ngram_join._links(pairs, vertices, 80, 100).collect()}
+        sent = moved(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == set(asked[:8])
+    # the sets by vertex once, then the few that are asked for once or twice
+    assert sent < 1.6 * sum(map(len, bodies))
+
+
 def test_ngram_join_through_a_row_without_id(spark):
     a = [f"w{i}" for i in range(100)]
     b = [*a[:95], *(f"x{i}" for i in range(10))]
