@@ -8,6 +8,7 @@ Everything is declared on DataFrames; only type detection looks at data (a bound
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from siftline.functions import dates, scalar
 from siftline.functions.values import (
     BOOLEAN, DATE, DOUBLE, LONG, NUMBERS, STRING, TYPES, Val, common, constant, kind_of, number, stamp, text, typed,
 )
-from siftline.operators import numbering, parsing, tree
+from siftline.operators import numbering, ordered, parsing, tree
 from siftline.plans import syntax
 from siftline.plans.clauses import QueryError, split_outside
 from siftline.plans.syntax import And, Bin, Call, Cmp, Each, Field, In, Last, Lit, Neg, Or, Param, Side, Sorted, Var
@@ -54,6 +55,21 @@ class Result:
     matched: DataFrame | None = None
 
 
+@dataclass
+class Running:
+    """A recurrence over blocks of rows.
+
+    own: what a block's rows up to a row give, over a window (None: the row alone); of_block: what a block gives, as an
+    aggregate; over_blocks: what blocks give together, over a window; value: the variable's, from the row's own part and the
+    blocks before (None: there are none).
+    """
+
+    own: Callable | None
+    of_block: Column
+    over_blocks: Callable
+    value: Callable
+
+
 @dataclass
 class Scope:
     """What a name means at a stage. known: nodes that are columns already."""
@@ -486,6 +502,8 @@ class Plan:
             body = syntax.expression(pieces[2]) if len(pieces) > 2 and pieces[2].strip() else None
             parsed.append((name, init, body, len(pieces) > 3 and pieces[3].strip().lower() == "g"))
         order = {n: i for i, (n, *_) in enumerate(parsed)}
+        # those that use none that runs go through the rows together
+        together: list[tuple] = []
         for i, (name, init, body, everywhere) in enumerate(parsed):
             if name == "R":
                 continue
@@ -493,18 +511,16 @@ class Plan:
             if body is None:
                 self.vars[name] = first
                 continue
-            keys = [] if everywhere else ["_fileid"]
-            window = Window.partitionBy(*keys).orderBy("_fileid", "_pos")
-            column = f"_v_{name.lower()}"
-            later = {x.name for x in syntax.walk(body) if isinstance(x, Var) and order.get(x.name, -1) > i}
+            body = self.normal(body)
+            uses = {x.name for x in syntax.walk(body) if isinstance(x, Var)}
+            later = {n for n in uses if order.get(n, -1) > i}
             if later:
                 raise QueryError(f"@{name} uses @{later.pop()} before it is declared; only 'r:' may")
-            rows = rows.withColumn(column, self._running(name, body, first, window))
-            kind = kind_of(rows.schema[column].dataType)
-            self.vars[name] = Val(F.col(column), kind)
-            previous = F.lag(column, 1).over(window)
-            start = typed(first, kind) if kind in NUMBERS else text(first)
-            rows = rows.withColumn(f"{column}_before", F.coalesce(previous, start))
+            if uses & {n for n, *_ in together}:
+                rows, together = self._run(rows, together), []
+            asked = any(place < i for *_, place in self.side_vars)
+            together.append((name, body, first, everywhere, asked))
+        rows = self._run(rows, together).drop("_block")
         # an 'r:' expression may use a variable that is declared after it: then its previous value
         for n, (body, test, place) in enumerate(self.side_vars):
             node = self.normal(syntax.expression(body))
@@ -518,31 +534,85 @@ class Plan:
             rows = rows.withColumn(f"_r{n + 1}", value)
         return rows
 
-    def _running(self, name: str, body, first: Val, window) -> Column:
-        body = self.normal(body)
-        me = Var(name)
+    def _run(self, rows: DataFrame, variables: list[tuple]) -> DataFrame:
+        """rows with the columns of variables (name, body, first value, over all files or each, whether the value before is asked for)."""
+        if not variables:
+            return rows
+        steps = [self._running(name, body, first) for name, body, first, *_ in variables]
+        runs = any(s.own for s in steps) or any(asked for *_, asked in variables)
+        if runs and "_block" not in rows.columns:
+            rows, self.blocks = ordered.blocked(rows, [(F.col(c), False) for c in ORDER])
+        blocks = self.blocks if runs else 1
+        if blocks > 1:
+            sums = rows.groupBy("_fileid", "_block").agg(*[s.of_block.alias(f"_b{i}") for i, s in enumerate(steps)])
+            carried = []
+            for i, (step, (_, _, _, everywhere, _)) in enumerate(zip(steps, variables, strict=True)):
+                before = Window.partitionBy(*([] if everywhere else ["_fileid"])).orderBy("_fileid", "_block")
+                carried.append(step.over_blocks(F.col(f"_b{i}"), before.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_e{i}"))
+            sums = sums.select(F.col("_fileid").alias("_sf"), F.col("_block").alias("_sb"), *carried)
+            hit = (F.col("_fileid") == F.col("_sf")) & (F.col("_block") == F.col("_sb"))
+            rows = rows.join(F.broadcast(sums), hit, "left").drop("_sf", "_sb")
+        for i, (step, (name, _, first, everywhere, asked)) in enumerate(zip(steps, variables, strict=True)):
+            keys = ["_fileid", "_block"] if blocks > 1 else [] if everywhere else ["_fileid"]
+            window = Window.partitionBy(*keys).orderBy(*ORDER)
+            earlier = F.col(f"_e{i}") if blocks > 1 else None
+            column = f"_v_{name.lower()}"
+            own = step.own(window.rowsBetween(Window.unboundedPreceding, 0)) if step.own else None
+            rows = rows.withColumn(column, step.value(own, earlier))
+            kind = kind_of(rows.schema[column].dataType)
+            self.vars[name] = Val(F.col(column), kind)
+            if not asked:
+                continue
+            previous = F.lag(column, 1).over(window)
+            if blocks > 1:
+                end = step.value(F.lit(None), earlier) if step.own else earlier
+                previous = F.when(F.lag(F.lit(1), 1).over(window).isNull(), end).otherwise(previous)
+            start = typed(first, kind) if kind in NUMBERS else text(first)
+            rows = rows.withColumn(f"{column}_before", F.coalesce(previous, start))
+        return rows.drop(*[f"_e{i}" for i in range(len(steps))])
+
+    def _running(self, name: str, body, first: Val) -> Running:
+        me, place = Var(name), F.struct(*ORDER)
         if not any(x == me for x in syntax.walk(body)):
             v = Scope(self).value(body)
-            return v.col if v.kind != DATE else text(v)
-        up_to_here = window.rowsBetween(Window.unboundedPreceding, 0)
+            col = v.col if v.kind != DATE else text(v)
+            return Running(None, F.max_by(col, place), lambda b, w: F.last(b).over(w), lambda own, earlier: col)
+        some = lambda *cols: [c for c in cols if c is not None]
         bare = lambda x: x.args[0] if isinstance(x, Call) and x.name in ("tolong", "toint", "tofloat") else x
         if isinstance(body, Bin) and body.op in "+-" and bare(body.left) == me and not any(x == me for x in syntax.walk(body.right)):
             v = Scope(self).value(body.right)
             if v.kind == STRING and first.kind == STRING and body.op == "+" and bare(body.left) is body.left:
-                joined = F.array_join(F.collect_list(text(v)).over(up_to_here), "")
-                return F.concat(text(first), joined)
+                listed = F.sort_array(F.collect_list(F.struct(*ORDER, text(v).alias("x"))))
+                return Running(
+                    lambda w: F.array_join(F.collect_list(text(v)).over(w), ""),
+                    F.array_join(F.transform(listed, lambda s: s["x"]), ""),
+                    lambda b, w: F.array_join(F.collect_list(b).over(w), ""),
+                    lambda own, earlier: F.concat(text(first), *[F.coalesce(c, F.lit("")) for c in some(earlier, own)]),
+                )
             exact = v.kind in (LONG, "INTEGER") and first.kind == LONG
-            total = F.sum(F.coalesce(v.col if exact else number(v), F.lit(0))).over(up_to_here)
+            added = F.coalesce(v.col if exact else number(v), F.lit(0))
             start = first.col if exact else number(first)
-            return start + total if body.op == "+" else start - total
+
+            def total(own: Column, earlier: Column | None) -> Column:
+                sums = [F.coalesce(c, F.lit(0)) for c in some(earlier, own)]
+                held = sums[0] if len(sums) == 1 else sums[0] + sums[1]
+                return start + held if body.op == "+" else start - held
+
+            return Running(lambda w: F.sum(added).over(w), F.sum(added), lambda b, w: F.sum(b).over(w), total)
         if isinstance(body, Call) and body.name in ("greatest", "least") and len(body.args) == 2 and me in body.args:
-            other = Scope(self).value(body.args[0] if body.args[1] == me else body.args[1])
-            edge = (F.max if body.name == "greatest" else F.min)(number(other)).over(up_to_here)
-            return (F.greatest if body.name == "greatest" else F.least)(number(first), edge)
+            other = number(Scope(self).value(body.args[0] if body.args[1] == me else body.args[1]))
+            over, of = (F.max, F.greatest) if body.name == "greatest" else (F.min, F.least)
+            return Running(
+                lambda w: over(other).over(w), over(other), lambda b, w: over(b).over(w),
+                lambda own, earlier: of(number(first), *some(earlier, own)),
+            )
         if isinstance(body, Call) and body.name == "when" and len(body.args) == 3 and body.args[2] == me:
             v = Scope(self).value(body.args[1])
-            kept = F.last(F.when(Scope(self).test(body.args[0]), text(v)), ignorenulls=True).over(up_to_here)
-            return F.coalesce(kept, text(first))
+            kept = F.when(Scope(self).test(body.args[0]), text(v))
+            return Running(
+                lambda w: F.last(kept, ignorenulls=True).over(w), F.max_by(kept, F.when(kept.isNotNull(), place)),
+                lambda b, w: F.last(b, ignorenulls=True).over(w), lambda own, earlier: F.coalesce(*some(own, earlier), text(first)),
+            )
         raise QueryError(f"@{name}: this recurrence has no declarative form")
 
     # side works
