@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import dates
 from siftline.functions.values import DATE, DOUBLE, LONG, STRING, Val, number, text, typed, whole
-from siftline.operators import numbering, tree
+from siftline.operators import numbering, ordered, tree
 from siftline.plans import syntax
 from siftline.plans.clauses import QueryError, clauses, split_outside
 from siftline.plans.planner import (
@@ -18,6 +18,9 @@ from siftline.plans.planner import (
 )
 from siftline.plans.syntax import Bin, Call, Each, Field, In, Last, Lit, Neg, Side, Sorted, Var
 
+#: Rows at the edges of blocks that are sent to all tasks at most.
+BROADCAST_EDGES = 2_000
+
 
 def build(spark: SparkSession, query: str | dict[str, str], sources: list, options: Options | None = None) -> Result:
     found = clauses(query) if isinstance(query, str) else dict(query)
@@ -293,7 +296,16 @@ class Builder:
 
     def windowed(self, rows: DataFrame, nodes: list) -> DataFrame:
         calls = dict.fromkeys(x for n in nodes for x in syntax.walk(n) if isinstance(x, Call) and x.name in ANALYTIC)
+        orders: dict[tuple, list] = {}
+        for i, call in enumerate(calls, 1):
+            if call.name == "nearby":
+                # those of one order go through the rows together
+                orders.setdefault(call.parts[1] if len(call.parts) > 1 else (), []).append((f"_w{i}", call))
+        for nodes_of, near in orders.items():
+            rows = self.nearby(rows, nodes_of, near)
         for i, call in enumerate(calls, 1):
+            if call.name == "nearby":
+                continue
             if call.name == "uniquecounta":
                 # the greatest dense rank of a value is the number of values
                 v = F.coalesce(text(self.scope.value(call.parts[1][0])), F.lit(""))
@@ -307,41 +319,72 @@ class Builder:
             self.known[call] = Val(F.col(f"_w{i}"), kind)
         return rows
 
+    def ordering(self, nodes: tuple) -> list[tuple[Column, bool]]:
+        """What nodes sort by, and whether descending."""
+        return [(self.scope.value(n.of if isinstance(n, Sorted) else n).col, isinstance(n, Sorted) and n.descending) for n in nodes]
+
+    def nearby(self, rows: DataFrame, nodes: tuple, calls: list[tuple[str, Call]]) -> DataFrame:
+        """rows with a column for each call of one order over all rows: within blocks by windows, at their edges from other blocks' edges."""
+        keys = self.ordering(nodes) + [(F.col(c), False) for c in ORDER if c in rows.columns]
+        order = [c.desc_nulls_last() if down else c.asc_nulls_first() for c, down in keys] or [F.lit(1)]
+        back = [c.asc_nulls_first() if down else c.desc_nulls_last() for c, down in keys] or [F.lit(1)]
+        base, blocks = ordered.blocked(rows, keys) if keys else (rows.withColumn("_block", F.lit(0)), 1)
+        # rows of each block and of all before it
+        before = F.sum("_held").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+        held = base.groupBy("_block").agg(F.count(F.lit(1)).alias("_held")).withColumn("_start", F.coalesce(before, F.lit(0)))
+        base = base.join(F.broadcast(held), "_block") if blocks > 1 else base
+        w = Window.partitionBy("_block").orderBy(*order) if blocks > 1 else Window.orderBy(*order)
+        rows = base
+        if blocks > 1:
+            rows = rows.withColumn("_own", F.row_number().over(w))
+        found = []
+        for column, call in calls:
+            parts = call.parts
+            v = self.scope.value(parts[0][0])
+            distance = self.plan.constant(parts[2][0]) if len(parts) > 2 and parts[2] else 1
+            default = self.scope.value(parts[3][0]) if len(parts) > 3 and parts[3] else None
+            if default is not None and default.kind != v.kind and not (default.kind in (LONG, "INTEGER") and v.kind in (LONG, "INTEGER", DOUBLE)):
+                v = Val(text(v), STRING)
+            moved, fixed = F.lead if distance >= 0 else F.lag, None
+            if default is not None and default.literal is not None and v.kind in (STRING, DOUBLE):
+                fixed = str(default.literal) if v.kind == STRING else float(default.literal)
+            filling = None if default is None else F.lit(fixed) if fixed is not None else typed(default, v.kind)
+            far = abs(distance)
+            if blocks > 1:
+                rows = rows.withColumn(column, moved(v.col, far).over(w))
+                found.append((column, v, distance, far, filling))
+            elif default is None or fixed is not None:
+                rows = rows.withColumn(column, moved(v.col, far, fixed).over(w))
+            else:
+                place = F.row_number().over(w) + distance
+                outside = (place < 1) | (place > F.count(F.lit(1)).over(Window.partitionBy()))
+                rows = rows.withColumn(column, F.when(outside, filling).otherwise(moved(v.col, far).over(w)))
+            self.known[call] = Val(F.col(column), v.kind)
+        for column, v, distance, far, filling in found:
+            if not far:
+                continue
+            # a block's rows that rows of other blocks ask for: its first, or its last
+            edge = F.row_number().over(Window.partitionBy("_block").orderBy(*(order if distance > 0 else back)))
+            edges = base.withColumn("_edge", edge).where(F.col("_edge") <= far)
+            place = F.col("_start") + (F.col("_edge") if distance > 0 else F.col("_held") - F.col("_edge") + 1)
+            edges = edges.select((place - distance).alias("_asker"), v.col.alias("_there"), F.lit(True).alias("_is"))
+            edges = F.broadcast(edges) if far * blocks <= BROADCAST_EDGES else edges
+            rows = rows.join(edges, F.col("_start") + F.col("_own") == F.col("_asker"), "left")
+            inside = F.col("_own") <= F.col("_held") - far if distance > 0 else F.col("_own") > far
+            there = F.col("_there") if filling is None else F.when(F.col("_is"), F.col("_there")).otherwise(filling.cast(rows.schema[column].dataType))
+            rows = rows.withColumn(column, F.when(inside, F.col(column)).otherwise(there)).drop("_asker", "_there", "_is")
+        return rows.drop("_block", "_held", "_start", "_own")
+
     def analytic(self, call: Call, rows: DataFrame) -> tuple[Column, str]:
         parts, name = call.parts, call.name
-        tie = [F.col(c) for c in ("_fileid", "_pos") if c in rows.columns]
-
-        def order(nodes: tuple) -> list[Column]:
-            out = []
-            for n in nodes:
-                down = isinstance(n, Sorted) and n.descending
-                col = self.scope.value(n.of if isinstance(n, Sorted) else n).col
-                out.append(col.desc_nulls_last() if down else col.asc_nulls_first())
-            return out
-
+        tie = [F.col(c) for c in ORDER if c in rows.columns]
+        order = lambda nodes: [c.desc_nulls_last() if down else c.asc_nulls_first() for c, down in self.ordering(nodes)]
         groups = [self.scope.value(n).col for n in parts[0]]
         if name in ("rank", "denserank"):
             sort = order(parts[1]) if len(parts) > 1 else []
             if name == "rank":
                 return F.row_number().over(Window.partitionBy(*groups).orderBy(*(sort + tie or [F.lit(1)]))).cast("long"), LONG
             return F.rank().over(Window.partitionBy(*groups).orderBy(*(sort or [F.lit(1)]))).cast("long"), LONG
-        if name == "nearby":
-            v = self.scope.value(parts[0][0])
-            distance = self.plan.constant(parts[2][0]) if len(parts) > 2 and parts[2] else 1
-            w = Window.orderBy(*((order(parts[1]) if len(parts) > 1 else []) + tie or [F.lit(1)]))
-            default = self.scope.value(parts[3][0]) if len(parts) > 3 and parts[3] else None
-            if default is not None and default.kind != v.kind and not (default.kind in (LONG, "INTEGER") and v.kind in (LONG, "INTEGER", DOUBLE)):
-                v = Val(text(v), STRING)
-            moved = F.lead(v.col, distance).over(w) if distance >= 0 else F.lag(v.col, -distance).over(w)
-            if default is None:
-                return moved, v.kind
-            if default.literal is not None and v.kind in (STRING, DOUBLE):
-                filling = str(default.literal) if v.kind == STRING else float(default.literal)
-                return (F.lead if distance >= 0 else F.lag)(v.col, abs(distance), filling).over(w), v.kind
-            place = F.row_number().over(w) + distance
-            count = F.count(F.lit(1)).over(Window.partitionBy())
-            outside = (place < 1) | (place > count)
-            return F.when(outside, typed(default, v.kind)).otherwise(moved), v.kind
         w = Window.partitionBy(*groups)
         v = self.scope.value(parts[1][0]) if len(parts) > 1 and parts[1] else Val(F.lit(1), LONG)
         if name == "counta":

@@ -100,3 +100,30 @@ def test_value_before_a_block(spark, small_blocks):
     assert [r["last"] for r in out.orderBy("k").collect()] == ["-7", *[str((i - 1) % 5) for i in range(1, 60)]]
     out = run(spark, "s k as k, rmember(1,1,-1) as last", Table(rows, "k"), variables="r:@sum;sum:10:@sum+1").frame
     assert [r["last"] for r in out.orderBy("k").collect()] == [str(10 + i) for i in range(60)]
+
+
+def test_nearby_windows_are_within_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 70)
+    frame = catalogue.QUERIES["win_nearby"](spark, SF)
+    assert not undivided(frame)
+    same(spark, "win_nearby", frame, catalogue.ORACLE_SQL["win_nearby"], None)
+
+
+def test_nearby_over_blocks(spark, small_blocks):
+    dice = random.Random(8)
+    data = [(i, dice.choice([None, 1, 2, 3]), dice.choice(["a", "b", None])) for i in range(60)]
+    dice.shuffle(data)
+    query = "s k as k, nearby(v;k;-1) as a, nearby(v;k;20;-5) as b, nearby(w;v desc,k;-3;'none') as c, nearby(v;k;1;k) as d, nearby(v;k;0;9) as e, nearby(w;k;100;'x') as f"
+    frame = run(spark, query, Table(spark.createDataFrame(data, "k long, v long, w string"), "k")).frame
+    got = {r["k"]: tuple(r)[1:] for r in frame.collect()}
+    by_key = sorted(data)
+    by_value = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+
+    def at(rows, i, place, other):
+        return rows[i][place] if 0 <= i < len(rows) else other
+
+    assert len(got) == 60
+    for i, (k, v, _) in enumerate(by_key):
+        j = [r[0] for r in by_value].index(k)
+        want = (at(by_key, i - 1, 1, None), at(by_key, i + 20, 1, -5), at(by_value, j - 3, 2, "none"), at(by_key, i + 1, 1, k), v, "x")
+        assert got[k] == want
